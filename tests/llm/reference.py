@@ -53,3 +53,11 @@ def op10(docs):
         again = {j for x in at.values() if len(x) > 1 for i in x for j in range(i, i + 8)}
         out[doc] = (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(again), len(w) < 20 or 100 * len(again) > 30 * len(w))
     return out
+
+
+def ids_of(texts, tokenizer):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(tokenizer)
+    t.encode_special_tokens = True
+    return [t.encode(x or "", add_special_tokens=False).ids + [0] for x in texts]
