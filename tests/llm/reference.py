@@ -61,3 +61,19 @@ def ids_of(texts, tokenizer):
     t = Tokenizer.from_file(tokenizer)
     t.encode_special_tokens = True
     return [t.encode(x or "", add_special_tokens=False).ids + [0] for x in texts]
+
+
+def op2(docs, size=13):
+    first = {}
+    key = {id(r): (-(2**63) if r[0] is None else r[0]) for r in docs}
+    for r in docs:
+        w = SPACED.findall(r[1] or "")
+        for i in range(len(w) - size + 1):
+            g = tuple(w[i : i + size])
+            first[g] = min(first.get(g, 2**63), key[id(r)])
+    out = []
+    for r in docs:
+        w = SPACED.findall(r[1] or "")
+        gone = {j for i in range(len(w) - size + 1) if first[tuple(w[i : i + size])] < key[id(r)] for j in range(i, i + size)}
+        out.append((r[0], len(w), len(gone), sha(" ".join(x for i, x in enumerate(w) if i not in gone))))
+    return sorted(out, key=str)
