@@ -36,7 +36,7 @@ from larkspur.llm import shared
 from larkspur.llm import textkit as T
 from larkspur.llm.tokens import encoder
 
-SHARD_IDS = 4 << 20
+SHARD_IDS = 2 << 20
 GAMMA = 2.0
 #: Bases of so many shards are sent to the readers (16 bytes each); beyond, they are joined.
 MAX_BROADCAST_SHARDS = 1_000_000
