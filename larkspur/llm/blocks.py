@@ -52,20 +52,30 @@ def ids(column: pa.ChunkedArray) -> np.ndarray:
     return column.fill_null(np.iinfo(np.int64).min).to_numpy()
 
 
-def outbox(block: int, reducers: int, keys: np.ndarray, *values: np.ndarray) -> pa.Table:
-    """Rows (reducer, block, keys, values ...) for sorted distinct keys."""
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences, all first bytes before all second bytes: high bytes are mostly zero, so shuffles compress them away."""
+    return np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpack_keys(raw: bytes) -> np.ndarray:
+    planes = np.frombuffer(raw, np.uint8).reshape(8, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+
+
+def outbox(block: int, reducers: int, keys: np.ndarray, *values: np.ndarray, to_all: bool = False) -> pa.Table:
+    """Rows (reducer, block, keys, values ...) for sorted distinct keys; to_all: also to reducers that own none of them."""
     owner = ((keys >> np.uint64(32)) * np.uint64(reducers)) >> np.uint64(32)
-    to, first = np.unique(owner, return_index=True)
-    bounds = [*first.tolist(), len(keys)]
-    cols = [[x[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)] for x in (keys, *values)]
+    to = np.arange(reducers) if to_all else np.unique(owner)
+    bounds = [*np.searchsorted(owner, to.astype(np.uint64)).tolist(), len(keys)]
+    spans = [*zip(bounds, bounds[1:], strict=False)]
+    cols = [[pack_keys(keys[a:b]) for a, b in spans], *([x[a:b].tobytes() for a, b in spans] for x in values)]
     return pa.table([pa.array(to.astype(np.int32)), pa.array([block] * len(to), pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], names=["reducer", "block", "keys", *(f"v{i}" for i in range(len(values)))])
 
 
 def inbox(table: pa.Table, *types: str) -> tuple[np.ndarray, ...]:
     """The arrays of all rows, one after another."""
-    names = ["keys", *(f"v{i}" for i in range(len(types)))]
-    kinds = ["<u8", *types]
-    return tuple(np.frombuffer(b"".join(table.column(n).to_pylist()), k) for n, k in zip(names, kinds, strict=True))
+    keys = [unpack_keys(x) for x in table.column("keys").to_pylist()]
+    return (np.concatenate([*keys, np.zeros(0, np.uint64)]), *(np.frombuffer(b"".join(table.column(f"v{i}").to_pylist()), k) for i, k in enumerate(types)))
 
 
 def letters(values: int) -> str:

@@ -100,7 +100,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
         for block, raw in zip(table.column("block").to_pylist(), table.column("keys").to_pylist(), strict=True):
             here = hit[at : at + len(raw) // 8]
             if here.any():
-                rows.append((block, key[at : at + len(raw) // 8][here].tobytes()))
+                rows.append((block, B.pack_keys(key[at : at + len(raw) // 8][here])))
             at += len(raw) // 8
         return B.answers(rows)
 
@@ -135,7 +135,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
             for block, raw in zip(table.column("block").to_pylist(), table.column("keys").to_pylist(), strict=True):
                 span = slice(at, at + len(raw) // 8)
                 if hit[span].any():
-                    rows.append((block, key[span][hit[span]].tobytes(), least[span][hit[span]].tobytes()))
+                    rows.append((block, B.pack_keys(key[span][hit[span]]), least[span][hit[span]].tobytes()))
                 at = span.stop
             return B.answers(rows) if rows else B.answers([]).append_column("v0", pa.array([], pa.binary()))
 

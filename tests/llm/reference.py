@@ -77,3 +77,35 @@ def op2(docs, size=13):
         gone = {j for i in range(len(w) - size + 1) if first[tuple(w[i : i + size])] < key[id(r)] for j in range(i, i + size)}
         out.append((r[0], len(w), len(gone), sha(" ".join(x for i, x in enumerate(w) if i not in gone))))
     return sorted(out, key=str)
+
+
+def op5(docs, mass=200.0, order=2):
+    import math
+    import zlib
+    from collections import Counter
+
+    rows = []
+    for doc, text in docs:
+        out = zlib.crc32(("" if doc is None else str(doc)).encode()) % 5 == 1
+        rows.append((doc, out, [*SPACED.findall(lower(text)), None]))
+    counts = Counter()
+    for _, out, toks in rows:
+        if not out:
+            full = [None, *toks]
+            counts.update((t,) for t in toks)
+            for k in range(2, order + 1):
+                counts.update(tuple(full[i : i + k]) for i in range(len(full) - k + 1))
+    total = sum(v for g, v in counts.items() if len(g) == 1)
+    kinds = sum(len(g) == 1 for g in counts)
+
+    def p(context, t):
+        if not context:
+            return (counts[(t,)] + 0.5) / (total + 0.5 * (kinds + 1))
+        return (counts[(*context, t)] + mass * p(context[1:], t)) / (counts[context] + mass)
+
+    result = []
+    for doc, out, toks in rows:
+        full = [None, *toks]
+        score = sum(math.log10(p(tuple(full[max(0, i - order + 1) : i]), full[i])) for i in range(1, len(full)))
+        result.append((doc, out, len(toks), sum(counts[(t,)] > 0 for t in toks), total, sum(math.log10(p((), t)) for t in toks), score))
+    return result
