@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from larkspur.llm import blocks as B
 from larkspur.llm import textkit as T
 
-ORDER, MASS, FOLDS, FOLD = 2, 200.0, 5, 1
+ORDER, MASS, FOLDS, FOLD = 2, 800.0, 5, 1
 _END = np.uint64(0x5851F42D4C957F2D)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"

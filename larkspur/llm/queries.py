@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from larkspur.llm import decontam, lm, packing, quality, substrings, token_store
+from larkspur.llm import decontam, lm, packing, quality, simhash, substrings, token_store
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,10 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(_table(spark, sf_dir, "documents"))
 
 
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.cluster(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = token_store.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return found.select("doc_id", "start", "n_tokens", "ids_crc32")
@@ -44,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op4_decontamination": op4_decontamination,
     "op5_lm_scoring": op5_lm_scoring,
+    "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_token_store": op7_token_store,
     "op9_packing": op9_packing,
     "op10_quality_rules": op10_quality_rules,

@@ -79,7 +79,7 @@ def op2(docs, size=13):
     return sorted(out, key=str)
 
 
-def op5(docs, mass=200.0, order=2):
+def op5(docs, mass=800.0, order=2):
     import math
     import zlib
     from collections import Counter
@@ -109,3 +109,30 @@ def op5(docs, mass=200.0, order=2):
         score = sum(math.log10(p(tuple(full[max(0, i - order + 1) : i]), full[i])) for i in range(1, len(full)))
         result.append((doc, out, len(toks), sum(counts[(t,)] > 0 for t in toks), total, sum(math.log10(p((), t)) for t in toks), score))
     return result
+
+
+def op6(docs):
+    import xxhash
+
+    prints = []
+    for _, text in docs:
+        w = [x.encode() for x in SPACED.findall(lower(text))]
+        grams = [w[i : i + 4] for i in range(len(w) - 3)] if len(w) >= 4 else [w] if w else []
+        h = [xxhash.xxh64_intdigest(b" ".join(g), 42) for g in grams]
+        prints.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)))
+    parent = list(range(len(docs)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(docs)):
+        for j in range(i):
+            if (prints[i] ^ prints[j]).bit_count() <= 4:
+                parent[root(i)] = root(j)
+    least = {}
+    for i, (doc, _) in enumerate(docs):
+        if doc is not None:
+            least[root(i)] = min(least.get(root(i), doc), doc)
+    return [(doc, f"{prints[i]:016x}", least.get(root(i))) for i, (doc, _) in enumerate(docs)]
