@@ -136,3 +136,30 @@ def op6(docs):
         if doc is not None:
             least[root(i)] = min(least.get(root(i), doc), doc)
     return [(doc, f"{prints[i]:016x}", least.get(root(i))) for i, (doc, _) in enumerate(docs)]
+
+
+def one_edit(a, b):
+    if len(a) > len(b):
+        a, b = b, a
+    if len(b) - len(a) > 1:
+        return False
+    i = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), len(a))
+    return a[i + (len(a) == len(b)) :] == b[i + 1 :]
+
+
+def op1(docs, min_chars=20):
+    first = {}
+    rows = [(-(2**63) if d is None else d, d, (t.split("\n") if t is not None else [])) for d, t in docs]
+    for key, _, lines in rows:
+        for no, line in enumerate(lines):
+            if len(line) >= min_chars:
+                first[line] = min(first.get(line, (key, no)), (key, no))
+    best = {}
+    every = sorted(first, key=first.get)
+    for i, line in enumerate(every):
+        best[line] = next((first[x] for x in every[: i + 1] if one_edit(x, line)), None)
+    out = []
+    for key, d, lines in rows:
+        gone = [(no, first[x] == (key, no)) for no, x in enumerate(lines) if len(x) >= min_chars and best[x] < (key, no)]
+        out.append((d, len(lines), len(gone), sum(n for _, n in gone), ",".join(str(no) for no, _ in gone)))
+    return sorted(out, key=str)
