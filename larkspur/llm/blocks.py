@@ -41,7 +41,7 @@ def dealt(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
 
 def sorted_unique(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The order that sorts the keys, where each distinct key starts in it, and the distinct keys."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     ranked = keys[order]
     first = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(keys) else np.zeros(0, np.int64)
     return order, first, ranked[first]

@@ -68,10 +68,18 @@ def _wide(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
 
 
+def _of(hashes: np.ndarray, key: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The count of each hash; all are keys. Sorted look-ups stay in cache."""
+    order, at, unique = B.sorted_unique(hashes)
+    out = np.empty(len(hashes), np.int64)
+    out[order] = np.repeat(count[np.searchsorted(key, unique)], np.diff(np.append(at, len(hashes))))
+    return out
+
+
 def score(docs: DataFrame, order: int = ORDER, mass: float = MASS, folds: int = FOLDS, fold: int = FOLD, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = T.BLOCK_BYTES) -> DataFrame:
     """A row for each document, training and held out."""
     n = B.count_for(docs.select(id_col, text_col).toDF("doc_id", "text"), block_bytes)
-    reducers = max(1, n // 4)
+    reducers = n
     dealt = B.dealt(docs, n, id_col, text_col)
 
     def distinct(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -128,7 +136,7 @@ def score(docs: DataFrame, order: int = ORDER, mass: float = MASS, folds: int =
             train_tokens, kinds = sum(mail.column("words").to_pylist()), sum(mail.column("kinds").to_pylist())
             for part, texts in T.chunks(table.to_batches()):
                 hashes, valid, first = ngrams(texts, order)
-                c = count[np.searchsorted(key, hashes[0])]
+                c = _of(hashes[0], key, count)
                 p = (c + 0.5) / (train_tokens + 0.5 * (kinds + 1))
                 base, known = np.log10(p), c > 0
                 ends = float(count[np.searchsorted(key, _END)])
@@ -136,7 +144,7 @@ def score(docs: DataFrame, order: int = ORDER, mass: float = MASS, folds: int =
                 weight = base
                 for h, v in zip(hashes[1:], valid[1:], strict=True):
                     seen = np.zeros(len(h))
-                    seen[v] = count[np.searchsorted(key, h[v])]
+                    seen[v] = _of(h[v], key, count)
                     t = np.where(v, context, 0)
                     fail = np.log10(mass / (t + mass))
                     arc = np.log10((seen + mass * 10**weight) / (t + mass))
