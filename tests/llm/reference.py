@@ -163,3 +163,88 @@ def op1(docs, min_chars=20):
         gone = [(no, first[x] == (key, no)) for no, x in enumerate(lines) if len(x) >= min_chars and best[x] < (key, no)]
         out.append((d, len(lines), len(gone), sum(n for _, n in gone), ",".join(str(no) for no, _ in gone)))
     return sorted(out, key=str)
+
+
+def luhn(digits):
+    total = 0
+    for i, c in enumerate(reversed(digits)):
+        x = int(c) * (1 + i % 2)
+        total += x - 9 if x > 9 else x
+    return total % 10 == 0
+
+
+def op3(docs):
+    kinds = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+        "card": r"[0-9]([\x20-]?[0-9])+",
+        "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    }
+    out = []
+    for doc, text in docs:
+        spans, n = [], []
+        for rank, (kind, pattern) in enumerate(kinds.items()):
+            found = []
+            for m in re.finditer(pattern, text or ""):
+                d = re.sub("[^0-9]", "", m[0])
+                ok = kind == "email" or kind == "ip" and all(int(x) <= 255 for x in m[0].split(".")) or kind == "card" and 12 <= len(d) <= 19 and luhn(d) or kind == "phone" and 9 <= len(d) <= 15
+                if ok:
+                    found.append((m.start(), rank, m.end(), kind))
+            n.append(len(found))
+            spans += found
+        base = ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(spans))
+        out.append((doc, *n, sha(base), base))
+    return out
+
+
+def op8_parts(url):
+    if url is None or "://" not in url:
+        return "", ""
+    rest = url.partition("://")[2]
+    host = re.match(r"[^/?#]*", rest)[0]
+    return lower(host), re.match(r"[^?#]*", rest[len(host) :])[0]
+
+
+def op8(pages, rules, damping=0.85, threshold=0.5, rounds=200):
+    """pages: (id, url, [linked hosts])"""
+    rows, tally = [], {}
+    for page, url, links in pages:
+        host, path = op8_parts(url)
+        best = None
+        for rule, verdict in rules:
+            domain, _, start = rule.partition("/")
+            if (host == domain or host.endswith("." + domain)) and path.startswith("/" + start) and (best is None or len(rule) > len(best[0])):
+                best = (rule, verdict)
+        rows.append((page, host, path, *(best or (None, None))))
+        t = tally.setdefault(host, [0, 0, 0])
+        t[0] += 1
+        t[1] += bool(best) and best[1] == "allow"
+        t[2] += bool(best) and best[1] == "block"
+    weight = {}
+    for page, url, links in pages:
+        host, _ = op8_parts(url)
+        for to in set(links):
+            if host and to and host != to:
+                weight[host, to] = weight.get((host, to), 0) + 1
+
+    def flow(edges, seeds):
+        total = {}
+        for (a, _), w in edges.items():
+            total[a] = total.get(a, 0) + w
+        score, moving = dict(seeds), dict(seeds)
+        for _ in range(rounds):
+            sent = {}
+            for (a, b), w in edges.items():
+                sent[b] = sent.get(b, 0) + moving.get(a, 0) * w / total[a] * damping
+            moving = sent
+            for k, v in sent.items():
+                score[k] = score.get(k, 0) + v
+        return score
+
+    trust = flow(weight, {h: t[1] / t[0] for h, t in tally.items() if t[1]})
+    distrust = flow({(b, a): w for (a, b), w in weight.items()}, {h: t[2] / t[0] for h, t in tally.items() if t[2]})
+    out = []
+    for page, host, path, rule, verdict in rows:
+        bad = bool(host) and distrust.get(host, 0) >= threshold and distrust.get(host, 0) > trust.get(host, 0)
+        out.append((page, host, path, rule, verdict or ("block" if bad else "allow")))
+    return out
