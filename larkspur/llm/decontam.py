@@ -144,6 +144,26 @@ def flag(docs: DataFrame, bench: DataFrame, window: int = WINDOW, gram: int = GR
     return src.mapInArrow(run, _out(kind))
 
 
+def clean(docs: DataFrame, bench: DataFrame, window: int = WINDOW, gram: int = GRAM, max_broadcast: int = MAX_BROADCAST_WORDS, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """The documents without any benchmark window, with all columns. Up to the bound each task drops them as it reads."""
+    wins = benchmark_windows(bench, window, gram, id_col=id_col)
+    held = wins.limit(max_broadcast + 1).collect()
+    if len(held) > max_broadcast:
+        keyed = docs.select(F.xxhash64(text_col).alias("_text"), F.col(text_col).alias("text")).dropDuplicates(["_text"])
+        bad = flag(keyed, bench, window, gram, max_broadcast, id_col="_text").where("contaminated").select(F.col("doc_id").alias("_text"))
+        return docs.join(bad, F.xxhash64(docs[text_col]) == bad["_text"], "left_anti")
+    index = docs.sparkSession.sparkContext.broadcast(Index([(r.item, r.len, *_unsigned(r.win, r.fp)) for r in held]))
+    src = docs.withColumn(text_col, F.col(text_col).cast("string"))
+
+    def run(batches):
+        for part, texts in T.chunks(batches, text_col):
+            w = _parsed(texts)
+            mask, _ = hits(w, index.value, window, gram)
+            yield part.filter(pa.array(T.sums(mask, w.first) == 0))
+
+    return src.mapInArrow(run, src.schema)
+
+
 def _unsigned(*values: int) -> list[int]:
     return [v & 0xFFFFFFFFFFFFFFFF for v in values]
 
