@@ -260,7 +260,8 @@ def cluster(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, i
     rooted = classes.join(roots, classes.fp == roots.node).select("fp", "root", "first")
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     of = rooted.join(least, "root").select(F.col("fp").alias("of"), F.col("component_id"))
-    named = classes.join(of, classes.fp == of.of, "left").select(F.col("fp").alias("class"), F.coalesce("component_id", "first").alias("component_id"))
+    # written first, so that both sides of the last join are shuffled for it and large classes are split
+    named = shared.saved(classes.join(of, classes.fp == of.of, "left").select(F.col("fp").alias("class"), F.coalesce("component_id", "first").alias("component_id")), "named")
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return each.join(named, each.fp == named["class"]).select("doc_id", hexed.alias("fingerprint"), "component_id", "fp", "text_hash")
 
