@@ -111,6 +111,8 @@ def removals(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     wanted = codes.join(classes.select("h", "first"), "h").select("h", "first", F.array(*(F.col(f"c{c}") for c in range(4))).alias("codes"))
     texts = shared.saved(lines.select("h", "at", "line").join(wanted, "h").where("at = first").dropDuplicates(["h"]).select("h", "first", "codes", "line"), "lines")
     best = classes.select("h", "first", "n").join(_neighbours(texts), "h", "left").where("n > 1 OR earlier IS NOT NULL").select("h", "first", F.coalesce(F.least("first", "earlier"), F.col("first")).alias("best"))
+    # written first, so that both sides of the join are shuffled for it and very common lines are split
+    best = shared.saved(best, "lines")
     gone = lines.select("doc_id", "text_hash", "no", "h", "at").join(best, "h").where("best < at")
     return gone.groupBy(F.col("doc_id").alias("of"), F.col("text_hash").alias("of_text")).agg(F.array_sort(F.collect_set("no")).alias("lines"), F.collect_set(F.when(F.col("first") == F.col("at"), F.col("no"))).alias("near")).withColumn("near", F.size("near"))
 
