@@ -76,7 +76,8 @@ def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING, threshold: fl
     links = F.transform(F.regexp_extract_all(F.coalesce(F.col(html_col).cast("string"), F.lit("")), F.lit(_LINK), F.lit(1)), lambda x: _host(F.substr(x, F.instr(x, "//") + 2)))
     parsed = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), F.array_distinct(links).alias("links"))
     parsed = shared.saved(parsed, "pages")
-    per_host = _rules_of_hosts(parsed.select("host").distinct(), rules)
+    # what is joined to pages is written first: then both sides are shuffled for the join, and large hosts are split
+    per_host = shared.saved(_rules_of_hosts(parsed.select("host").distinct(), rules), "rules")
     fits = F.filter("rules", lambda r: F.startswith(F.col("path"), r["start"]))
     best = F.array_max(F.transform(fits, lambda r: F.struct(F.length(r["rule"]).alias("n"), r["rule"].alias("rule"), r["verdict"].alias("verdict"))))
     ruled = parsed.select("page_id", "host", "path").join(per_host, "host", "left").select("page_id", "host", "path", best.alias("best"))
@@ -94,5 +95,6 @@ def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING, threshold: fl
     trust = _flow(edges("host", "to"), seeds.where("good > 0").select("host", F.col("good").alias("score")), damping).select("host", F.col("score").alias("trust"))
     distrust = _flow(edges("to", "host"), seeds.where("bad > 0").select("host", F.col("bad").alias("score")), damping).select("host", F.col("score").alias("distrust"))
     scores = seeds.select("host").join(trust, "host", "left").join(distrust, "host", "left").na.fill(0.0, ["trust", "distrust"])
+    scores = shared.saved(scores, "scores")
     verdict = F.when(F.col("ruled").isNotNull(), F.col("ruled")).when((F.col("distrust") >= threshold) & (F.col("distrust") > F.col("trust")) & (F.col("host") != ""), "block").otherwise("allow")
     return ruled.join(scores, "host", "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"), F.round("trust", 6).alias("trust"), F.round("distrust", 6).alias("distrust"))
