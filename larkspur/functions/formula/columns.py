@@ -36,7 +36,7 @@ _MATH = {
     "abs": F.abs, "ceil": F.ceil, "floor": F.floor, "round": lambda x: F.floor(x + F.lit(Decimal("0.5"))), "sign": F.signum,
     "min": lambda *x: F.least(*x) if len(x) > 1 else x[0], "max": lambda *x: F.greatest(*x) if len(x) > 1 else x[0],
 }
-_LISTS = {"join": lambda v, by=None: F.array_join(v, ",") if by is None else F.array_join(v, by), "includes": F.array_contains, "flat": lambda v: F.flatten(v)}
+_LISTS = {"join": lambda v, by=None: F.array_join(v, ",") if by is None else F.call_function("array_join", v, by), "includes": F.array_contains, "flat": lambda v: F.flatten(v)}
 
 
 def _cut(s: Column, a: Column, b: Column | None) -> Column:

@@ -16,7 +16,9 @@ from larkspur.functions import paths, predicates
 from larkspur.functions.formula import columns as C
 from larkspur.functions.formula.compiler import Definition
 
-SUM, LENGTH, MIN, MAX = "values.reduce((sum, value) => sum + value, 0)", "values.length", "Math.min", "Math.max"
+SUM, LENGTH = "values.reduce((sum, value) => sum + value, 0)", "values.length"
+#: Rounds of a field that reads itself along relations.
+MAX_DEPTH = 256
 
 
 @dataclass(frozen=True)
@@ -57,7 +59,7 @@ def _strata(definitions: list) -> list[list]:
     done: set[str] = set()
     left, out = list(definitions), []
     while left:
-        now = [d for d in left if d.target_field not in names or d.target_field in done]
+        now = [d for d in left if d.target_field not in names or d.target_field in done or d.target_field == d.field]
         if not now:
             break
         out.append(now)
@@ -78,14 +80,15 @@ def derive(files: DataFrame, related: DataFrame, definitions: list[Lookup | Roll
     for group in _strata(definitions):
         parts = []
         for d in group:
-            stuck = d.target_field in {x.field for x in definitions} - done
-            parts.append(_cyclic(files, d) if stuck else _lookup(files, related, values, d) if isinstance(d, Lookup) else _rollup(files, related, values, d))
+            stuck = d.target_field in {x.field for x in definitions} - done - {d.field}
+            one = _lookup if isinstance(d, Lookup) else _rollup
+            parts.append(_cyclic(files, d) if stuck else _by_levels(files, related, values, d, one) if d.target_field == d.field else one(files, related, values, d))
         one = parts[0]
         for p in parts[1:]:
             one = one.unionByName(p)
         values = _over(values, one.select("path", "field", "value", "code"))
         out = one if out is None else out.unionByName(one)
-        done |= {d.field for d in group if d.target_field in done or d.target_field not in {x.field for x in definitions}}
+        done |= {d.field for d in group if d.target_field in done | {d.field} or d.target_field not in {x.field for x in definitions}}
     return out
 
 
@@ -102,6 +105,24 @@ def _cyclic(files: DataFrame, d) -> DataFrame:
     return _result(files.where(paths.in_scope(F.col("path"), d.scope)).select("path"), d.field, F.lit(None).cast("string"), F.lit("dependency_cycle"))
 
 
+def _by_levels(files: DataFrame, related: DataFrame, values: DataFrame, d, one) -> DataFrame:
+    """A field that reads itself in other documents: those outside its scope are given, each round settles the owners whose targets are settled; owners that never settle wait for each other."""
+    owners = files.where(paths.in_scope(F.col("path"), d.scope)).select("path")
+    given = values.join(owners.withColumn("field", F.lit(d.field)), ["path", "field"], "left_anti")
+    known, settled = given, -1
+    for _ in range(MAX_DEPTH):
+        found = one(files, related, known, d).persist()
+        good = found.where("code IS NULL").select("path", "field", "value", "code")
+        n = good.count()
+        if n == settled:
+            break
+        known, settled = given.unionByName(good), n
+    waits = (F.col("code") == "target_field_missing") & F.col("waits")
+    on = related.where(F.col("field") == d.relation).select("source", "target").join(owners.withColumnRenamed("path", "target"), "target", "left_semi").select(F.col("source").alias("path")).distinct()
+    marked = found.join(on.withColumn("waits", F.lit(True)), "path", "left")
+    return marked.withColumn("code", F.when(waits, "dependency_cycle").otherwise(F.col("code"))).select("path", "field", "value", "code", F.when(F.col("code").isNotNull(), F.concat(F.lit(f"{d.field}: "), "code")).alias("message"))
+
+
 def _steps(related: DataFrame, values: DataFrame, d) -> DataFrame:
     """(source, pos, target, exists, value, code): each relation value with the target's field."""
     mine = related.where(F.col("field") == d.relation).drop("field")
