@@ -47,7 +47,7 @@ def schema_infer(spark, d):
     return S.infer(T.files(spark, d)).withColumn("samples", F.array_join("samples", ","))
 
 
-@query("SELECT * FROM (VALUES ('a', 'Mixed', 2), ('b', 'Boolean', 1), ('d', 'Date', 2), ('e', 'List', 2), ('f', 'File', 1), ('j', 'Json', 2), ('m', 'Mixed', 1), ('r', 'Relation', 3), ('s', 'String', 1)) t(name, field_type, occurrences)")
+@query("SELECT name, field_type, occurrences::BIGINT AS occurrences FROM (VALUES ('a', 'Mixed', 2), ('b', 'Boolean', 1), ('d', 'Date', 2), ('e', 'List', 2), ('f', 'File', 1), ('j', 'Json', 2), ('m', 'Mixed', 1), ('r', 'Relation', 3), ('s', 'String', 1)) t(name, field_type, occurrences)")
 def schema_infer_kinds(spark, d):
     rows = [
         ("x/1.md", '{"a":1,"b":true,"d":"2024-99-99","e":[],"f":"[[pic.png]]","j":{"k":1},"r":"[[n]]","s":"t","z":null}'),

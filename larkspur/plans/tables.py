@@ -68,7 +68,7 @@ def edge_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 #: The same tables in SQL, to be put after WITH.
 FILES = "files AS (SELECT d.doc_id, d.lang || '/' || d.source || '/' || d.doc_id || '.md' AS path, d.lang, d.source, d.n_chars, d.text, l.quality, l.toxic FROM documents d LEFT JOIN labels l USING (doc_id))"
-LINKS = """links AS (SELECT a.source, coalesce(b.path, 'missing/' || a.t || '.md') AS target, min(a.line) AS line
+LINKS = """links AS (SELECT a.source, coalesce(b.path, 'missing/' || a.t || '.md') AS target, min(a.line)::BIGINT AS line
   FROM (SELECT path AS source, doc_id + 1 AS t, 1 AS line FROM files UNION ALL SELECT path, doc_id * 3 + 1, 2 FROM files) a
   LEFT JOIN files b ON b.doc_id = a.t WHERE a.source != coalesce(b.path, 'missing/' || a.t || '.md') GROUP BY ALL)"""
 VECS = "vecs AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings)"
