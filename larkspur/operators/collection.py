@@ -89,14 +89,15 @@ def relations(files: DataFrame, folders: dict[str, str] | None = None) -> DataFr
 
 
 def populate(page_: DataFrame, related: DataFrame, files: DataFrame) -> DataFrame:
-    """The page's rows with `relations`: field to the ordered targets, each with path, whether it exists, title and metadata. Self-references are left out."""
+    """The page's rows, in their order, with `relations`: field to the ordered targets, each with path, whether it exists, title and metadata. Self-references are left out."""
+    page_ = page_.withColumn("_pos", F.monotonically_increasing_id())
     name = predicates.plain(predicates.field(F.col("metadata"), "title"))
     of = files.select(F.col("path").alias("target"), paths.title(name, F.col("path")).alias("target_title"), F.col("metadata").alias("target_metadata"))
     mine = related.where("source != target").join(page_.select(F.col("path").alias("source")).distinct(), "source", "left_semi").join(of, "target", "left")
     item = F.struct("pos", "target", "exists", F.coalesce("target_title", paths.stem(F.col("target"))).alias("title"), F.col("target_metadata").alias("metadata"))
     by_field = mine.groupBy("source", "field").agg(F.array_sort(F.collect_list(item), lambda a, b: a["pos"] - b["pos"]).alias("items"))
     per_doc = by_field.groupBy(F.col("source").alias("path")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "items")), lambda a, b: F.when(a["field"] < b["field"], -1).when(a["field"] > b["field"], 1).otherwise(0))).alias("relations"))
-    return page_.join(per_doc, "path", "left")
+    return page_.join(per_doc, "path", "left").orderBy("_pos").drop("_pos")
 
 
 def referenced_by(related: DataFrame, files: DataFrame, target: str | None = None) -> DataFrame:
