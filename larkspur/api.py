@@ -88,7 +88,7 @@ class Collection:
     def search(self, text: str = "", vector: list[float] | None = None, shard: str | None = None, filters: list[str] | None = None, **kw) -> DataFrame:
         """Results of any mode. The query's vector is given, or made by the provider or the mock."""
         c = self.config
-        q = searching.Query(text=text, mode=c.search_mode, limit=c.search_limit, boost_links=c.boost_links, boost_weight=c.boost_weight, boost_hops=c.boost_hops, half_life=c.decay_half_life if c.decay else None)
+        q = searching.Query(text=text, mode=c.search_mode, limit=c.search_limit, boost_links=c.boost_links, boost_weight=c.boost_weight, boost_hops=c.boost_hops, half_life=c.decay_half_life if c.decay else None, stemmed=c.stemming)
         q = replace(q, **kw, filters=tuple(map(predicates.parse, filters or [])))
         if shard:
             q = replace(q, scope=self.shards.get(shard).path)

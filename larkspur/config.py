@@ -17,6 +17,7 @@ class Config:
     embedding_batch: int = 100
     search_mode: str = "hybrid"
     search_limit: int = 10
+    stemming: bool = True
     decay: bool = False
     decay_half_life: float = 90.0
     boost_links: bool = False

@@ -31,6 +31,7 @@ class Query:
     boost_weight: float = BOOST
     boost_hops: int = 1
     reference_window: bool = False
+    stemmed: bool = False
 
 
 @dataclass(frozen=True)
@@ -102,7 +103,7 @@ def candidates(index: Index, q: Query, window: int | None) -> DataFrame:
     """(chunk_id, score) of one mode; `window` bounds each ranked list of the hybrid mode."""
     if q.mode == "semantic":
         return semantic(index.vectors, q.vector)
-    lex = lexical.score(index.chunks, q.text, headings="headings" if "headings" in index.chunks.columns else None)
+    lex = lexical.score(index.chunks, q.text, headings="headings" if "headings" in index.chunks.columns else None, stemmed=q.stemmed)
     if q.mode == "lexical":
         return lex.select("chunk_id", lexical.saturated(F.col("bm25")).alias("score"))
     lists = [ranked(semantic(index.vectors, q.vector), "score", "chunk_id", window, "rank"), ranked(lex, "bm25", "chunk_id", window, "rank")]

@@ -28,6 +28,22 @@ def test_headings_weigh_more(spark):
     assert lexical.score(df, "").count() == 0 and lexical.score(df, "-cat").count() == 0
 
 
+STEMS = (
+    "caresses:caress ponies:poni ties:ti cats:cat feed:feed agreed:agre plastered:plaster motoring:motor sing:sing conflated:conflat troubled:troubl sized:size hopping:hop tanned:tan falling:fall hissing:hiss fizzed:fizz failing:fail filing:file "
+    "happy:happi sky:sky relational:relat conditional:condit rational:ration digitizer:digit vietnamization:vietnam predication:predic operator:oper feudalism:feudal decisiveness:decis hopefulness:hope sensibiliti:sensibl triplicate:triplic formative:form "
+    "electrical:electr goodness:good revival:reviv allowance:allow inference:infer airliner:airlin gyroscopic:gyroscop adjustable:adjust irritant:irrit replacement:replac adoption:adopt communism:commun activate:activ homologous:homolog effective:effect "
+    "bowdlerize:bowdler probate:probat rate:rate cease:ceas controlling:control roll:roll be:be été:été a1b:a1b"
+).split()
+
+
+def test_stems(spark):
+    from larkspur.functions.stem import stem
+
+    assert [f"{w}:{stem(w)}" for w in (x.split(":")[0] for x in STEMS)] == STEMS
+    df = spark.createDataFrame([("a", "He was running"), ("b", "runs"), ("c", "walk")], "chunk_id string, content string")
+    assert {r.chunk_id for r in lexical.score(df, "run", stemmed=True).collect()} == {"a", "b"} and lexical.score(df, "run").count() == 0
+
+
 @slow
 @given(st.permutations([*range(6)]), st.permutations([*range(6)]))
 def test_rrf_does_not_depend_on_row_order(spark, p, q):
