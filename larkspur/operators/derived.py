@@ -159,13 +159,13 @@ def _rollup(files: DataFrame, related: DataFrame, values: DataFrame, d: Rollup)
         inside = related.where((F.col("field") == d.relation) & paths.in_scope(F.col("source"), d.relation_scope))
         # one bad relation in the scanned scope fails every owner
         raw = values.where((F.col("field") == d.relation) & paths.in_scope(F.col("path"), d.relation_scope) & (F.col("value") != "null"))
-        wanted = raw.select(F.sum(F.when(F.col("value").startswith("["), F.size(F.from_json("value", "array<variant>"))).otherwise(1)).alias("wanted"))
-        seen = inside.agg(F.count("*").alias("seen"), F.max((~F.col("exists")).cast("int")).alias("bad"))
-        w, s = wanted.head()[0] or 0, seen.head()
-        blocked = "relation_unresolved" if s.bad else "invalid_relation" if w > s.seen else None
+        wanted = raw.select(F.coalesce(F.sum(F.when(F.col("value").startswith("["), F.size(F.from_json("value", "array<variant>"))).otherwise(1)), F.lit(0)).alias("wanted"), F.lit(1).alias("one"))
+        seen = inside.agg(F.count("*").alias("seen"), F.coalesce(F.max((~F.col("exists")).cast("int")), F.lit(0)).alias("bad")).withColumn("one", F.lit(1))
+        verdict = F.when(F.col("bad") == 1, "relation_unresolved").when(F.col("wanted") > F.col("seen"), "invalid_relation")
+        blocked = wanted.join(seen, "one").select("one", verdict.alias("blocked"))  # one row
         mine = values.where(F.col("field") == d.target_field).select(F.col("path").alias("source"), "value", "code")
         steps = inside.select("source", "target").distinct().join(mine, "source", "left").groupBy(F.col("target").alias("path")).agg(F.array_sort(F.collect_list(F.struct("source", F.lit(True).alias("exists"), "value", "code"))).alias("xs"))
-        rows = scope.join(steps, "path", "left").withColumn("blocked", F.lit(blocked).cast("string"))
+        rows = scope.join(steps, "path", "left").withColumn("one", F.lit(1)).join(F.broadcast(blocked), "one").drop("one")
         code = F.coalesce("blocked", F.get(F.filter(F.transform("xs", lambda x: F.when(x["code"].isNotNull(), "dependency_failed").when(x["value"].isNull(), "target_field_missing")), lambda c: c.isNotNull()), F.lit(0)))
     rows = rows.withColumn("failed", code).withColumn("vs", F.coalesce(F.transform("xs", lambda x: x["value"]), F.array().cast("array<string>")))
     return _aggregated(rows, d)

@@ -11,7 +11,9 @@ from larkspur.functions import paths, predicates
 from larkspur.functions import vectors as V
 from larkspur.operators import graph, lexical
 
-RRF_K, HALF_LIFE_DAYS, BOOST, SEEDS, MAX_HOPS = 60, 90.0, 0.15, 3, 3
+RRF_K, HALF_LIFE_DAYS, BOOST, SEEDS = 60, 90.0, 0.15, 3
+#: Rows of a top-k that the driver may hold.
+HELD = 10_000
 
 
 @dataclass(frozen=True)
@@ -62,6 +64,13 @@ def ranked(scored: DataFrame, score: str, key: str, k: int, name: str) -> DataFr
     return top_k(scored, score, key, k).withColumn(name, F.row_number().over(Window.orderBy(F.desc(score), key)).cast("long"))
 
 
+def held(df: DataFrame, most: int) -> DataFrame:
+    """A result of at most `most` rows, worked out once and kept as literal rows; left as a plan if it may be large."""
+    if most > HELD:
+        return df
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def fuse(lists: list[DataFrame], key: str, k: int = RRF_K) -> DataFrame:
     """(key, score): reciprocal-rank fusion, 1 for a row that leads all lists. Each list: key and rank."""
     both = None
@@ -107,7 +116,7 @@ def candidates(index: Index, q: Query, window: int | None) -> DataFrame:
     if q.mode == "lexical":
         return lex.select("chunk_id", lexical.saturated(F.col("bm25")).alias("score"))
     lists = [ranked(semantic(index.vectors, q.vector), "score", "chunk_id", window, "rank"), ranked(lex, "bm25", "chunk_id", window, "rank")]
-    return fuse(lists, "chunk_id")
+    return fuse([held(x.select("chunk_id", "rank"), window) for x in lists], "chunk_id")
 
 
 def search(index: Index, q: Query) -> DataFrame:
@@ -143,9 +152,10 @@ def edge_scores(index: Index, vector: tuple[float, ...]) -> DataFrame:
 
 def boosted(found: DataFrame, index: Index, q: Query) -> DataFrame:
     """The same rows, those near the leading rows' documents in the link graph scored higher. Seeds are at most three paths."""
+    found = held(found, q.limit)
     seeds = [r.path for r in found.orderBy(F.desc("score"), "chunk_id").limit(SEEDS).select("path").collect()]
     hops = graph.bfs(index.links, seeds, q.boost_hops)
-    rows = found.join(F.broadcast(hops), "path", "left") if len(seeds) == 0 else found.join(hops, "path", "left")
+    rows = found.join(hops, "path", "left")
     weight = F.lit(q.boost_weight)
     if index.edge_vectors is not None and q.vector:
         rows = rows.join(edge_scores(index, q.vector), "path", "left")
@@ -156,9 +166,9 @@ def boosted(found: DataFrame, index: Index, q: Query) -> DataFrame:
 
 def expand(found: DataFrame, index: Index, vector: tuple[float, ...], depth: int = 1, per_hop: int = 3) -> DataFrame:
     """Documents around the leading results: each with its best chunk among the nearest max(100, 10 n), or else its first; the best of each hop."""
-    first = found.orderBy(F.desc("score"), "chunk_id").select("path").collect()
+    first = found.orderBy(F.desc("score"), "chunk_id").select("path").limit(HELD).collect()
     seeds = [*dict.fromkeys(r.path for r in first[:SEEDS])]
-    seen = found.select("path").distinct()
+    seen = found.select("path").distinct() if len(first) == HELD else found.sparkSession.createDataFrame([*{(r.path,) for r in first}], "path string")
     targets = graph.bfs(index.links, seeds, depth).join(seen, "path", "left_anti")
     n = max(100, 10 * targets.count())
     near = top_k(semantic(index.vectors, vector), "score", "chunk_id", n).join(index.chunks.select("chunk_id", "path"), "chunk_id")

@@ -43,7 +43,7 @@ def nearest_centroid(spark, d):
 
 
 def _keywords(spark, d):
-    docs = T.table(spark, d, "documents").select(F.col("lang").alias("cluster_id"), "text")
+    docs = T.spread(T.table(spark, d, "documents")).select(F.col("lang").alias("cluster_id"), "text")
     return C.keywords(docs)
 
 

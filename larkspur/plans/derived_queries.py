@@ -93,7 +93,7 @@ def formula_regex(spark, d):
 
 @query("SELECT event_id, json_extract_string(props, '$.k')::BIGINT + 1 AS k1 FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
 def formula_json(spark, d):
-    rows = T.table(spark, d, "events").select(F.col("event_id").cast("string").alias("path"), F.to_json(F.struct("props")).alias("metadata"))
+    rows = T.spread(T.table(spark, d, "events")).select(F.col("event_id").cast("string").alias("path"), F.to_json(F.struct("props")).alias("metadata"))
     got = derived.formulas(rows, [Definition("k1", "JSON.parse(props)?.k + 1", "number")]).where("code IS NULL AND value != 'null'")
     return got.select(F.col("path").cast("long").alias("event_id"), F.col("value").cast("long").alias("k1"))
 

@@ -14,13 +14,19 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table whose files give fewer partitions than there are cores, dealt to all of them, for work that costs far more than a shuffle of so little; larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def path_of(doc_id: Column, lang: Column, source: Column) -> Column:
     return F.concat_ws("/", lang, source, F.concat(doc_id.cast("string"), F.lit(".md")))
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
     """doc_id, path, lang, source, n_chars, text."""
-    return table(spark, d, "documents").select("doc_id", path_of(F.col("doc_id"), F.col("lang"), F.col("source")).alias("path"), "lang", "source", "n_chars", "text")
+    return spread(table(spark, d, "documents")).select("doc_id", path_of(F.col("doc_id"), F.col("lang"), F.col("source")).alias("path"), "lang", "source", "n_chars", "text")
 
 
 def files(spark: SparkSession, d: str) -> DataFrame:
