@@ -268,7 +268,11 @@ def cluster(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, i
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """One document of each component, with all its columns: that with the least id. Rows with one id count as one document, of which one stays; those without an id are told apart by their fingerprints."""
-    found = cluster(docs, id_col=id_col, text_col=text_col, **options)
+    return chosen(docs, cluster(docs, id_col=id_col, text_col=text_col, **options), id_col, text_col)
+
+
+def chosen(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The representatives of the components in `found` (doc_id, component_id, fp, text_hash)."""
     own = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("fp")).alias("nameless"))
     first = shared.saved(own.agg(F.min("text_hash").alias("_hash"), F.count("*").alias("_copies")).select(F.col("doc_id").alias("_first"), "_hash", "_copies"), "first")
     out = docs.join(first, docs[id_col].cast("long").eqNullSafe(F.col("_first")) & (F.xxhash64(docs[text_col]) == F.col("_hash")))
