@@ -5,7 +5,8 @@ bytes of each by itself, so the ids of a pre-token are the same wherever it
 stands. Here numpy cuts thousands of texts at once, and the library encodes each
 distinct pre-token once; a Python worker keeps the ids of those it has met, up to
 a fixed number. Tokenizers of other kinds are asked to encode whole texts, and so
-are those texts that hold characters on which two Unicode versions may disagree.
+are those texts that hold characters on which two Unicode versions may disagree,
+or the string of an added token, which the library makes one id.
 """
 
 from __future__ import annotations
@@ -81,12 +82,15 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         spec = json.loads(self.tokenizer.to_str())
+        added = spec.get("added_tokens") or []
+        self.added = [x["content"] for x in added]
         pre = spec.get("pre_tokenizer") or {}
-        self.by_pretoken = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout")
+        self.by_pretoken = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout") and all(x["special"] for x in added)
         self._forget()
         if self.by_pretoken:
+            self.plain = Tokenizer.from_file(path)  # for pre-tokens: none is an added token
+            self.plain.encode_special_tokens = True
             # byte-level vocabularies write each byte as one character
             self.bytes_of = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
             for token, i in self.tokenizer.get_vocab().items():
@@ -103,7 +107,7 @@ class Encoder:
         """Ids of all pre-tokens end to end, and how many each has. Those of a space and letters are told apart inside a longer text."""
         alone, run = np.flatnonzero(~spaced).tolist(), np.flatnonzero(spaced).tolist()
         groups = [run[i : i + 1000] for i in range(0, len(run), 1000)]
-        found = self.tokenizer.encode_batch_fast(["".join([tokens[i] for i in g]) for g in groups], add_special_tokens=False)
+        found = self.plain.encode_batch_fast(["".join([tokens[i] for i in g]) for g in groups], add_special_tokens=False)
         count = np.zeros(len(tokens), np.int64)
         parts = []
         for g, e in zip(groups, found, strict=True):
@@ -112,7 +116,7 @@ class Encoder:
             at = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1
             count[g] = np.diff(at, prepend=0)
             parts.append(ids)
-        for i, e in zip(alone, self.tokenizer.encode_batch_fast([tokens[i] for i in alone], add_special_tokens=False), strict=True):
+        for i, e in zip(alone, self.plain.encode_batch_fast([tokens[i] for i in alone], add_special_tokens=False), strict=True):
             count[i] = len(e.ids)
             parts.append(np.array(e.ids, "<u4"))
         flat = np.concatenate([*parts, np.zeros(0, "<u4")])
@@ -155,6 +159,8 @@ class Encoder:
         raw = self.flat[np.repeat(first - total[:-1], count) + np.arange(total[-1])].tobytes()
         span = (total[np.searchsorted(starts, bounds)] * 4).tolist()
         out = [raw[a:b] for a, b in zip(span, span[1:], strict=False)]
+        if any(x in text for x in self.added):
+            strange |= [any(x in t for x in self.added) for t in texts]
         for i in np.flatnonzero(strange):
             out[i] = self._whole([texts[i]])[0]
         return out
