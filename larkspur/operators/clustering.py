@@ -2,7 +2,8 @@
 
 Distances, centroids, keywords and assignments are distributed. Community detection
 itself works on the k-NN graph (k edges per document) in one task, as a single
-sequential optimisation must; beyond `MAX_NODES` nodes K-means takes its place.
+sequential optimisation must; beyond `MAX_NODES` nodes it refuses, and the caller may
+choose `kmeans`, whose clusters are of another kind.
 """
 
 from __future__ import annotations
@@ -165,7 +166,7 @@ def communities(vectors: DataFrame, k: int = K, resolution: float = RESOLUTION,
     ids = vectors.select(F.col("path").alias("id"), "vector")
     n = ids.count()
     if n > MAX_NODES:
-        return kmeans(vectors, size_for(n)).withColumn("parent_id", F.lit(None).cast("int"))
+        raise ValueError(f"{n} documents are more than the {MAX_NODES} whose communities one task finds: choose kmeans(vectors, size_for({n})) or raise MAX_NODES")
     edges = neighbors.graph(ids, max(1, min(k, n - 1)))
     every = vectors.select(F.col("path").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(0.0).alias("weight")).unionByName(edges.select("a", "b", "weight"))
 
