@@ -1,42 +1,98 @@
 """Blocks of documents that ask and answer questions about keys of the whole corpus.
 
-Documents are dealt to blocks of a bounded amount of text by a hash of their id, so
-no source and no group of copies gathers anywhere. A block sends each of its keys
-(hashes of words or windows) once, packed as sorted arrays: however often a
-passage occurs, a block contributes one entry for it. A reducer owns a range of the
-hash space, combines what the blocks sent, and answers each block about its own
-keys, again in packed arrays. All of it is ordinary shuffled rows, so lost executors
-are recomputed; neither keys nor answers pass the driver.
+Each task packs the documents it reads into blocks of a bounded amount of text, one
+compressed row for each, so no source, id or group of copies gathers anywhere. A block
+sends each of its keys (hashes of words or windows) once, as sorted packed arrays:
+however often a passage occurs, a block contributes one entry for it. A reducer owns a
+range of the hash space, combines what the blocks sent, and answers each letter in the
+order of its keys, so answers carry no keys. All of it is ordinary shuffled rows, so
+lost executors are recomputed; neither keys nor answers pass the driver.
+
+There are as many reducers as blocks, but never so many that the letters of a full
+block hold few keys (`reducers`), so a block writes a bounded number of letters. On
+very large inputs raise `block_bytes` with the memory of the executors: the number of
+letters a block may write grows with it.
+
+Blocks follow the order of rows within a partition. A partition that is read again must
+give its rows in the same order, as files do; write other frames first. An answer that
+doesn't fit the block's keys is an error, never a wrong result.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm import shared
 from larkspur.llm import textkit as T
 
-#: Bytes of text for each byte of compressed files, on the high side.
+#: Bytes of text for each byte of compressed files. Only the number of reducers depends on it.
 EXPANSION = 3
+#: Bytes of a block for each letter it may write: some 50 keys of three-word windows.
+LETTER_BYTES = 512
+_IDS = pa.schema([("doc_id", pa.int64()), ("text", pa.large_binary())])
 
 
-def count_for(docs: DataFrame, block_bytes: int = T.BLOCK_BYTES) -> int:
-    """How many blocks the texts fill, from the size of their files or else their lengths."""
+def reducers(docs: DataFrame, block_bytes: int = T.BLOCK_BYTES) -> int:
+    """How many ranges the hash space is cut into: one for each block that the files should fill, up to the bound of letters."""
     size = shared.input_bytes(docs) * EXPANSION
-    if size >= 1 << 60:
-        size = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    return max(1, math.ceil(size / block_bytes))
+    blocks = math.ceil(size / block_bytes) if size < 1 << 60 else 1 << 30
+    return max(1, min(blocks, block_bytes // LETTER_BYTES))
 
 
-def dealt(docs: DataFrame, n: int, id_col: str, text_col: str) -> DataFrame:
-    """block, doc_id, text; rows with equal ids share a block."""
+def packed(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = T.BLOCK_BYTES) -> DataFrame:
+    """(block, docs): the ids and texts of a block's documents, compressed. A null text is empty."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.select(F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("block"), "doc_id", "text").repartition("block")
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        from pyspark import TaskContext
+
+        number, held, size = TaskContext.get().partitionId() << 32, [], 0
+        for part, texts in T.chunks(batches, limit=block_bytes):
+            more = sum(map(len, texts))
+            if held and size + more > block_bytes:
+                yield _block(number, held)
+                number, held, size = number + 1, [], 0
+            held.append(pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.large_binary())], schema=_IDS))
+            size += more
+        if held:
+            yield _block(number, held)
+
+    return src.mapInArrow(run, "block long, docs binary").repartition("block")
+
+
+def _block(number: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, _IDS) as out:
+        for batch in held:
+            out.write_batch(batch)
+    raw = zstandard.ZstdCompressor(1).compress(sink.getvalue())
+    return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([raw], pa.binary())], names=["block", "docs"])
+
+
+def unpacked(table: pa.Table) -> tuple[int, pa.Array, list[bytes]]:
+    """The block's number, its document ids and its texts."""
+    block, raw = table.column("block")[0].as_py(), table.column("docs")[0].as_py()
+    held = pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(raw)).read_all()
+    return block, held.column("doc_id").combine_chunks(), held.column("text").to_pylist()
+
+
+def pieces(texts: list[bytes], limit: int = T.CHUNK_BYTES) -> Iterator[tuple[int, list[bytes]]]:
+    """Runs of a block's texts of at most `limit` bytes (or one text), with the place of the first."""
+    at, size = 0, 0
+    for i, x in enumerate(texts):
+        if i > at and size + len(x) > limit:
+            yield at, texts[at:i]
+            at, size = i, 0
+        size += len(x)
+    if texts:
+        yield at, texts[at:]
 
 
 def sorted_unique(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -47,43 +103,66 @@ def sorted_unique(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return order, first, ranked[first]
 
 
-def ids(column: pa.ChunkedArray) -> np.ndarray:
+def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in order, one place of each, and for each key its number among them."""
+    order, first, unique = sorted_unique(keys)
+    size = np.diff(np.append(first, len(keys)))
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.repeat(np.arange(len(unique)), size)
+    return unique, order[first], number
+
+
+def ids(column: pa.Array) -> np.ndarray:
     """Document ids; null counts as the least."""
-    return column.fill_null(np.iinfo(np.int64).min).to_numpy()
+    return column.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
+
+
+def squeeze(x: np.ndarray) -> bytes:
+    """An array, all first bytes before all second bytes, compressed: high bytes are mostly alike."""
+    planes = np.ascontiguousarray(x).view(np.uint8).reshape(-1, x.dtype.itemsize).T
+    return zstandard.ZstdCompressor(1).compress(planes.tobytes())
+
+
+def unsqueeze(raw: bytes, kind: str) -> np.ndarray:
+    dtype = np.dtype(kind)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), np.uint8).reshape(dtype.itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(dtype).ravel()
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
-    """Sorted keys as differences, all first bytes before all second bytes: high bytes are mostly zero, so shuffles compress them away."""
-    return np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    """Sorted keys as differences."""
+    return squeeze(np.diff(keys, prepend=np.uint64(0)).astype("<u8"))
 
 
 def unpack_keys(raw: bytes) -> np.ndarray:
-    planes = np.frombuffer(raw, np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+    return np.cumsum(unsqueeze(raw, "<u8"), dtype=np.uint64)
 
 
-def outbox(block: int, reducers: int, keys: np.ndarray, *values: np.ndarray, to_all: bool = False) -> pa.Table:
-    """Rows (reducer, block, keys, values ...) for sorted distinct keys; to_all: also to reducers that own none of them."""
-    owner = ((keys >> np.uint64(32)) * np.uint64(reducers)) >> np.uint64(32)
-    to = np.arange(reducers) if to_all else np.unique(owner)
-    bounds = [*np.searchsorted(owner, to.astype(np.uint64)).tolist(), len(keys)]
-    spans = [*zip(bounds, bounds[1:], strict=False)]
-    cols = [[pack_keys(keys[a:b]) for a, b in spans], *([x[a:b].tobytes() for a, b in spans] for x in values)]
-    return pa.table([pa.array(to.astype(np.int32)), pa.array([block] * len(to), pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], names=["reducer", "block", "keys", *(f"v{i}" for i in range(len(values)))])
+def outbox(block: int, count: int, keys: np.ndarray, *values: np.ndarray) -> pa.Table:
+    """Rows (reducer, block, keys, values ...) for sorted keys, to the reducers that own some."""
+    owner = ((keys >> np.uint64(32)) * np.uint64(count)) >> np.uint64(32)
+    first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    spans = [*zip(first.tolist(), [*first[1:].tolist(), len(keys)], strict=False)]
+    cols = [[pack_keys(keys[a:b]) for a, b in spans], *([squeeze(x[a:b]) for a, b in spans] for x in values)]
+    return pa.table([pa.array(owner[first].astype(np.int32)), pa.array([block] * len(spans), pa.int64()), *(pa.array(c, pa.binary()) for c in cols)], names=["reducer", "block", "keys", *(f"v{i}" for i in range(len(values)))])
 
 
-def inbox(table: pa.Table, *types: str) -> tuple[np.ndarray, ...]:
-    """The arrays of all rows, one after another."""
+def inbox(table: pa.Table, *kinds: str) -> tuple[np.ndarray, ...]:
+    """The arrays of all letters, one after another, and where each letter starts (one more at the end)."""
     keys = [unpack_keys(x) for x in table.column("keys").to_pylist()]
-    return (np.concatenate([*keys, np.zeros(0, np.uint64)]), *(np.frombuffer(b"".join(table.column(f"v{i}").to_pylist()), k) for i, k in enumerate(types)))
+    values = [np.concatenate([*(unsqueeze(x, k) for x in table.column(f"v{i}").to_pylist()), np.zeros(0, k)]) for i, k in enumerate(kinds)]
+    return (np.concatenate([*keys, np.zeros(0, np.uint64)]), *values, np.cumsum([0, *map(len, keys)]))
 
 
 def letters(values: int) -> str:
-    return "reducer int, block int, keys binary" + "".join(f", v{i} binary" for i in range(values))
+    return "reducer int, block long, keys binary" + "".join(f", v{i} binary" for i in range(values))
 
 
-def answers(rows: list[tuple]) -> pa.Table:
-    """Rows (block, keys, values ...) back to the blocks."""
-    width = len(rows[0]) - 1 if rows else 1
-    cols = [*zip(*rows, strict=True)] if rows else [[], []]
-    return pa.table([pa.array(cols[0], pa.int32()), *(pa.array(c, pa.binary()) for c in cols[1:])], names=["block", "keys", *(f"v{i}" for i in range(width - 1))])
+def answered(mail: pa.Table, column: str, kind: str, size: int | None = None) -> np.ndarray:
+    """What the reducers answered, in the order of the block's keys, of which there are `size`."""
+    order = np.argsort(mail.column("reducer").to_numpy()) if mail.num_rows else []
+    raw = mail.column(column).to_pylist() if mail.num_rows else []
+    out = np.concatenate([*(unsqueeze(raw[i], kind) for i in order), np.zeros(0, kind)])
+    if size is not None and len(out) != size:
+        raise RuntimeError("a block was cut in another way than before: write the documents as a table first")
+    return out

@@ -1,21 +1,27 @@
 """Language-model scores from a weighted backoff automaton.
 
-The states are contexts of up to `order` - 1 tokens. A state has an arc for each
-token that followed it in the training texts, and a failure arc to the state of its
-shorter context. Smoothing is hierarchical Dirichlet: with c the count of an n-gram
+The states are the contexts of up to `order` - 1 tokens that stand in training texts, the
+empty one included. A state has an arc for each token that followed it there, to the
+state of the longest context that the token leaves, and a failure arc to the state of
+its shorter context. Smoothing is hierarchical Dirichlet: with c the count of an n-gram
 and t that of its context, p(token | context) = (c + mass * p(token | shorter)) /
-(t + mass), so the failure arc weighs mass / (t + mass) and the weights of all
-tokens sum to one. The shortest context has the add-half unigram estimate. One
-left-to-right traversal of a text, starting after an end token, carries the state
-and adds up log10 weights; a context that was never seen fails at no cost.
+(t + mass), so an arc weighs log10 of that, the failure arc log10 of mass / (t + mass),
+and all tokens of a state share one. The empty context has an arc for every token, with
+the add-half unigram estimate. One left-to-right traversal of a text, starting in the
+state of an end token, carries the state and adds up weights: where the state has no arc
+for the token, it follows the failure arc and tries again.
 
 Counts are of all training documents: those whose crc32 of the id as text leaves
 another remainder than `fold` modulo `folds` (a null id counts as ''). Blocks of
 documents send their distinct n-grams with counts to reducers, which own ranges of
 the hash space, add up, and answer each block with the totals of its own n-grams
-(see blocks.py). No n-gram is cut off and no table of them is broadcast.
+(see blocks.py); from these each block builds the part of the automaton that its texts
+can reach. No n-gram is cut off and no table of them is broadcast. The size of the
+vocabulary and the number of tokens come from an aggregate of their own.
 
-Null text is empty: its only token is the end. An empty table gives no rows; with no
+Null text is empty: its only token is the end. A very long text is a block of its own,
+traversed in pieces, each of which starts by reading the tokens of its context. Other
+columns, whatever their names, are ignored. An empty table gives no rows; with no
 training document, counts are 0. Equal rows are scored row by row.
 """
 
@@ -26,11 +32,18 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from larkspur.llm import blocks as B
 from larkspur.llm import textkit as T
 
-ORDER, MASS, FOLDS, FOLD = 2, 800.0, 5, 1
+ORDER, FOLDS, FOLD = 3, 5, 1
+#: How many tokens a shorter context counts for; `choose_mass` finds it on training documents (figures in the README).
+MASS = 800.0
+#: Tokens that one lane of the traversal reads; texts are cut into so many.
+LANE = 256
+#: Distinct tokens that a task of the vocabulary's count holds before it hands them on.
+VOCABULARY = 2_000_000
 _END = np.uint64(0x5851F42D4C957F2D)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -40,128 +53,251 @@ def held_out(ids: list, folds: int, fold: int) -> np.ndarray:
     return np.array([zlib.crc32(b"" if i is None else str(i).encode()) % folds == fold for i in ids], bool)
 
 
-def ngrams(texts: list[bytes], order: int) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
-    """By length: hash of the n-gram that ends at each token, and whether it stands within its text (an end may stand before it). Then where each text's tokens start."""
-    w = T.words(texts, lower=True)
-    n = len(w.starts) + len(texts)
-    ends = w.first[1:] + np.arange(len(texts))
-    tokens = np.full(n + 1, _END, np.uint64)  # an end before the first text
-    tokens[1 + np.arange(len(w.starts)) + w.doc] = w.hashes
-    first = np.concatenate([[0], ends + 1])
-    place = np.arange(n) - np.repeat(first[:-1], np.diff(first))
-    hashes, valid, last = [tokens[1:]], [np.ones(n, bool)], tokens
-    for k in range(2, order + 1):
-        h = T.mix((last[:-1] + np.uint64(k)) * _MIX ^ tokens[1:])
-        hashes.append(h)
-        valid.append(place >= k - 2)
-        last = np.concatenate([[_END], h])
-    return hashes, valid, first
+def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all tokens, for each text an end, its words and an end, and where texts start (one more at the end)."""
+    parts, sizes = [], []
+    for _, some in B.pieces(texts):
+        w = T.words(some, lower=True)
+        out = np.full(len(w.starts) + 2 * len(some), _END, np.uint64)
+        out[np.arange(len(w.starts)) + 2 * w.doc + 1] = w.hashes
+        parts.append(out)
+        sizes.append(w.per_doc + 2)
+    size = np.concatenate([*sizes, np.zeros(0, np.int64)])
+    return np.concatenate([*parts, np.zeros(0, np.uint64)]), np.concatenate([[0], np.cumsum(size)])
 
 
-def _narrow(x: np.ndarray) -> bytes:
-    """Counts in as few bytes as the largest needs; the first byte says how many."""
-    size = 1 if not len(x) or x.max() < 1 << 8 else 2 if x.max() < 1 << 16 else 4 if x.max() < 1 << 32 else 8
-    return bytes([size]) + x.astype(f"<u{size}").tobytes()
+class Grams:
+    """The n-grams of a block by length: hash, token, prefix and suffix of each, and which one ends at each place."""
 
+    def __init__(self, token: np.ndarray, first: np.ndarray, order: int):
+        self.first = first
+        place = np.arange(len(token)) - np.repeat(first[:-1], np.diff(first))
+        unique, _, self.token = B.numbered(token)
+        self.hash, self.prefix, self.suffix, self.last = [unique], [None], [None], [np.arange(len(unique))]
+        self.at, self.of = [np.flatnonzero(place > 0)], [self.token]  # an end that stands before a text isn't counted
+        kinds = max(1, len(unique))
+        for k in range(2, order + 1):
+            at = np.flatnonzero(place >= k - 1)
+            before = self.of[-1]
+            pair = before[at - 1].astype(np.uint64) * np.uint64(kinds) + self.token[at].astype(np.uint64)
+            _, sample, number = B.numbered(pair)
+            sample = at[sample]
+            prefix, last = before[sample - 1], self.token[sample]
+            self.hash.append(T.mix((self.hash[-1][prefix] + np.uint64(k)) * _MIX ^ unique[last]))
+            self.prefix.append(prefix)
+            self.suffix.append(before[sample])
+            self.last.append(last)
+            self.at.append(at)
+            of = np.full(len(token), -1, np.int64)
+            of[at] = number
+            self.of.append(of)
 
-def _wide(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the n-grams of all lengths in ascending order, and the order that sorts them."""
+        every = np.concatenate(self.hash)
+        order = np.argsort(every)
+        return every[order], order
 
+    def by_length(self, values: np.ndarray) -> list[np.ndarray]:
+        return np.split(values, np.cumsum([len(h) for h in self.hash])[:-1])
 
-def _of(hashes: np.ndarray, key: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """The count of each hash; all are keys. Sorted look-ups stay in cache."""
-    order, at, unique = B.sorted_unique(hashes)
-    out = np.empty(len(hashes), np.int64)
-    out[order] = np.repeat(count[np.searchsorted(key, unique)], np.diff(np.append(at, len(hashes))))
-    return out
+
+class Arcs:
+    """A table from (state, token) to an arc, in buckets of the hash space."""
+
+    def __init__(self, state: np.ndarray, token: np.ndarray):
+        key = self._key(state, token)
+        self.order = np.argsort(key)
+        self.key = key[self.order]
+        bits = max(4, int(len(key)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.start = np.concatenate([[0], np.cumsum(np.bincount((self.key >> self.shift).astype(np.int64), minlength=1 << bits))])
+
+    @staticmethod
+    def _key(state: np.ndarray, token: np.ndarray) -> np.ndarray:
+        return T.mix(state.astype(np.uint64) << np.uint64(32) | token.astype(np.uint64))
+
+    def find(self, state: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """The arc for each state and token, or -1."""
+        key = self._key(state, token)
+        bucket = (key >> self.shift).astype(np.int64)
+        at, to = self.start[bucket], self.start[bucket + 1]
+        out, left = np.full(len(key), -1, np.int64), np.flatnonzero(at < to)
+        while len(left):
+            hit = self.key[at[left]] == key[left]
+            out[left[hit]] = self.order[at[left[hit]]]
+            left = left[~hit]
+            at[left] += 1
+            left = left[at[left] < to[left]]
+        return out
+
+
+class Automaton:
+    """States, arcs and failure arcs that the texts of a block can reach. counts: of its n-grams, by length."""
+
+    def __init__(self, grams: Grams, counts: list[np.ndarray], total: int, kinds: int, mass: float):
+        order = len(counts)
+        self.depth = order
+        #: The empty context: an arc for every token.
+        p = (counts[0] + 0.5) / (total + 0.5 * (kinds + 1))
+        self.root_weight = np.log10(p)
+        # states: 0 is the empty context; then, by length, the contexts that were seen
+        state_of, n = [], 1
+        for k in range(order - 1):
+            number = np.zeros(len(counts[k]), np.int64)
+            seen = counts[k] > 0
+            number[seen] = n + np.arange(int(seen.sum()))
+            state_of.append(number)
+            n += int(seen.sum())
+        self.fail_to, self.fail_weight = np.zeros(n, np.int64), np.zeros(n)
+        for k in range(order - 1):
+            seen = np.flatnonzero(counts[k])
+            s = state_of[k][seen]
+            self.fail_weight[s] = np.log10(mass / (counts[k][seen] + mass))
+            if k:
+                self.fail_to[s] = state_of[k - 1][grams.suffix[k][seen]]
+        self.root_to = state_of[0] if order > 1 else np.zeros(len(p), np.int64)
+        source, token, weight, target = [], [], [], []
+        lower = p
+        for k in range(1, order):
+            c, context = counts[k], counts[k - 1][grams.prefix[k]]
+            here = (c + mass * lower[grams.suffix[k]]) / (context + mass)
+            seen = np.flatnonzero(c)
+            source.append(state_of[k - 1][grams.prefix[k][seen]])
+            token.append(grams.last[k][seen])
+            weight.append(np.log10(here[seen]))
+            target.append(state_of[k][seen] if k < order - 1 else state_of[k - 1][grams.suffix[k][seen]])
+            lower = here
+        join = lambda xs, t: np.concatenate([*xs, np.zeros(0, t)])
+        self.arcs = Arcs(join(source, np.int64), join(token, np.int64))
+        self.weight, self.target = join(weight, float), join(target, np.int64)
+
+    def traverse(self, token: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The weight of each token but the ends that stand before texts (0 there); lanes of `LANE` tokens are read side by side."""
+        out = np.zeros(len(token))
+        size = np.diff(first) - 1
+        lanes = -(-size // LANE)
+        begin = np.repeat(first[:-1] + 1, lanes) + (np.arange(lanes.sum()) - np.repeat(np.cumsum(lanes) - lanes, lanes)) * LANE
+        stop = np.minimum(begin + LANE, np.repeat(first[1:], lanes))
+        # a lane first reads its context, up to order - 1 tokens, from the empty state
+        at = np.maximum(begin - (self.depth - 1), np.repeat(first[:-1], lanes))
+        rank = np.argsort(at - stop, kind="stable")
+        at, begin, stop = at[rank], begin[rank], stop[rank]
+        length, state = stop - at, np.zeros(len(at), np.int64)
+        for step in range(int(length.max()) if len(length) else 0):
+            live = int(np.searchsorted(-length, -step, side="left"))
+            now = at[:live] + step
+            weight, state[:live] = self._read(state[:live], token[now])
+            told = now >= begin[:live]
+            out[now[told]] = weight[told]
+        return out
+
+    def _read(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weight of the token and the state after it, for each lane."""
+        weight, to = np.zeros(len(state)), np.empty(len(state), np.int64)
+        state, left = state.copy(), np.arange(len(state))
+        while len(left):
+            root = state[left] == 0
+            done = left[root]
+            weight[done] += self.root_weight[token[done]]
+            to[done] = self.root_to[token[done]]
+            left = left[~root]
+            arc = self.arcs.find(state[left], token[left])
+            hit = arc >= 0
+            done, arc = left[hit], arc[hit]
+            weight[done] += self.weight[arc]
+            to[done] = self.target[arc]
+            left = left[~hit]
+            weight[left] += self.fail_weight[state[left]]
+            state[left] = self.fail_to[state[left]]
+        return weight, to
+
+
+def totals(docs: DataFrame, folds: int = FOLDS, fold: int = FOLD, id_col: str = "doc_id", text_col: str = "text") -> tuple[int, int]:
+    """Training tokens and distinct ones among them, ends included."""
+    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+
+    def run(batches):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        for part, texts in T.chunks(batches):
+            train = ~held_out(part.column("doc_id").to_pylist(), folds, fold)
+            w = T.words([x for x, t in zip(texts, train.tolist(), strict=True) if t], lower=True)
+            keys = np.concatenate([w.hashes, np.full(int(train.sum()), _END)])
+            held.append(_summed([(keys, np.ones(len(keys), np.int64))]))
+            if sum(len(k) for k, _ in held) > VOCABULARY:
+                held = [_summed(held)]
+            if len(held[0][0]) > VOCABULARY // 2:
+                yield from _counted(held.pop())
+        if held:
+            yield from _counted(_summed(held))
+
+    each = src.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    row = each.agg(F.sum("n"), F.count("*")).head()
+    return row[0] or 0, row[1]
+
+
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    key, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order, first, unique = B.sorted_unique(key)
+    return unique, np.add.reduceat(n[order], first) if len(first) else n
+
+
+def _counted(pair: tuple[np.ndarray, np.ndarray]):
+    table = pa.table([pa.array(pair[0].view(np.int64)), pa.array(pair[1])], names=["key", "n"])
+    return table.to_batches(max_chunksize=50_000)
 
 
 def score(docs: DataFrame, order: int = ORDER, mass: float = MASS, folds: int = FOLDS, fold: int = FOLD, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = T.BLOCK_BYTES) -> DataFrame:
     """A row for each document, training and held out."""
-    n = B.count_for(docs.select(id_col, text_col).toDF("doc_id", "text"), block_bytes)
-    reducers = n
-    dealt = B.dealt(docs, n, id_col, text_col)
-
-    def distinct(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        """The block's n-grams of all lengths, sorted, and their counts in its training texts."""
-        keys, counts = [], []
-        for part, texts in T.chunks(table.to_batches()):
-            hashes, valid, first = ngrams(texts, order)
-            train = np.repeat(~held_out(part.column("doc_id").to_pylist(), folds, fold), np.diff(first))
-            for h, v in zip(hashes, valid, strict=True):
-                ordered, at, unique = B.sorted_unique(h[v])
-                keys.append(unique)
-                counts.append(np.add.reduceat(train[v][ordered].astype(np.int64), at) if len(at) else at)
-        key, count = np.concatenate(keys), np.concatenate(counts)
-        ordered, at, unique = B.sorted_unique(key)
-        return unique, np.add.reduceat(count[ordered], at)
+    train_tokens, kinds = totals(docs, folds, fold, id_col, text_col)
+    count = B.reducers(docs.select(id_col, text_col), block_bytes)
+    blocks = B.packed(docs, id_col, text_col, block_bytes)
 
     def ask(table):
-        key, count = distinct(table)
-        out = B.outbox(table.column("block")[0].as_py(), reducers, key, to_all=True)
-        sizes = [len(x) // 8 for x in out.column("keys").to_pylist()]
-        bounds = np.concatenate([[0], np.cumsum(sizes)]).tolist()
-        # a token's total, and so the vocabulary, is told by the unigrams alone
-        counts = pa.array([_narrow(count[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary())
-        single = _singles(table)
-        flags = pa.array([np.packbits(np.isin(key[a:b], single, assume_unique=True)).tobytes() for a, b in zip(bounds, bounds[1:], strict=False)], pa.binary())
-        return out.append_column("v0", counts).append_column("v1", flags)
-
-    def _singles(table: pa.Table) -> np.ndarray:
-        found = [np.unique(ngrams(texts, 1)[0][0]) for _, texts in T.chunks(table.to_batches())]
-        return np.unique(np.concatenate(found))
+        block, names, texts = B.unpacked(table)
+        token, first = tokens(texts)
+        grams = Grams(token, first, order)
+        key, by = grams.keys()
+        train = np.repeat(~held_out(names.to_pylist(), folds, fold), np.diff(first))
+        counts = np.concatenate([np.bincount(of[at[train[at]]], minlength=len(h)) for at, of, h in zip(grams.at, grams.of, grams.hash, strict=True)])
+        return B.outbox(block, count, key, counts[by].astype("<u8"))
 
     def add_up(table):
-        keys = [B.unpack_keys(x) for x in table.column("keys").to_pylist()]
-        counts = [_wide(x) for x in table.column("v0").to_pylist()]
-        singles = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(k)).astype(bool) for x, k in zip(table.column("v1").to_pylist(), keys, strict=True)]
-        key, count, single = (np.concatenate(x) for x in (keys, counts, singles))
-        ordered, at, unique = B.sorted_unique(key)
-        total = np.add.reduceat(count[ordered], at) if len(at) else count
-        one = single[ordered][at] if len(at) else single
-        words, kinds = int(total[one].sum()), int((total[one] > 0).sum())
-        answer = np.empty(len(key), np.int64)
-        answer[ordered] = np.repeat(total, np.diff(np.append(at, len(key))))
-        bounds = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).tolist()
-        rows = [_narrow(answer[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)]
-        size = len(rows)
-        return pa.table([table.column("block").combine_chunks(), table.column("reducer").combine_chunks(), pa.array(rows, pa.binary()), pa.array([words] * size, pa.int64()), pa.array([kinds] * size, pa.int64())], names=["block", "reducer", "counts", "words", "kinds"])
+        key, n, bounds = B.inbox(table, "<u8")
+        order_, at, _ = B.sorted_unique(key)
+        total = np.empty(len(key), "<u8")
+        total[order_] = np.repeat(np.add.reduceat(n[order_], at), np.diff(np.append(at, len(key)))) if len(at) else 0
+        told = [B.squeeze(total[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        return pa.table([table.column("block"), table.column("reducer"), pa.array(told, pa.binary())], names=["block", "reducer", "counts"])
 
     def traverse(table, mail):
-        out = []
-        if table.num_rows:
-            key, _ = distinct(table)
-            mail = mail.sort_by("reducer")
-            count = np.concatenate([_wide(x) for x in mail.column("counts").to_pylist()])
-            train_tokens, kinds = sum(mail.column("words").to_pylist()), sum(mail.column("kinds").to_pylist())
-            for part, texts in T.chunks(table.to_batches()):
-                hashes, valid, first = ngrams(texts, order)
-                c = _of(hashes[0], key, count)
-                p = (c + 0.5) / (train_tokens + 0.5 * (kinds + 1))
-                base, known = np.log10(p), c > 0
-                ends = float(count[np.searchsorted(key, _END)])
-                context = np.concatenate([[ends], c[:-1]])  # how often the shorter history was seen
-                weight = base
-                for h, v in zip(hashes[1:], valid[1:], strict=True):
-                    seen = np.zeros(len(h))
-                    seen[v] = _of(h[v], key, count)
-                    t = np.where(v, context, 0)
-                    fail = np.log10(mass / (t + mass))
-                    arc = np.log10((seen + mass * 10**weight) / (t + mass))
-                    weight = np.where(seen > 0, arc, weight + fail)
-                    context = np.concatenate([[0.0], seen[:-1]])
-                out.append(_scored(part, first, folds, fold, known, train_tokens, base, weight))
-        return pa.Table.from_batches(out, _EMPTY)
-
-    asked = dealt.groupBy("block").applyInArrow(ask, B.letters(2))
-    mail = asked.groupBy("reducer").applyInArrow(add_up, "block int, reducer int, counts binary, words long, kinds long")
-    return dealt.groupBy("block").cogroup(mail.groupBy("block")).applyInArrow(traverse, SCHEMA)
-
-
-_EMPTY = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
-
-
-def _scored(part: pa.RecordBatch, first: np.ndarray, folds: int, fold: int, known: np.ndarray, train_tokens: int, base: np.ndarray, weight: np.ndarray) -> pa.RecordBatch:
-    names = part.column("doc_id")
-    cols = [names, pa.array(held_out(names.to_pylist(), folds, fold)), pa.array(np.diff(first)), pa.array(T.sums(known, first)), pa.array(np.full(len(names), train_tokens)), *(pa.array(np.add.reduceat(x, first[:-1])) for x in (base, weight))]
-    return pa.RecordBatch.from_arrays(cols, schema=_EMPTY)
+        _, names, texts = B.unpacked(table)
+        token, first = tokens(texts)
+        grams = Grams(token, first, order)
+        key, by = grams.keys()
+        counts = np.empty(len(key), np.int64)
+        counts[by] = B.answered(mail, "counts", "<u8", len(key)).astype(np.int64)
+        counts = grams.by_length(counts)
+        automaton = Automaton(grams, counts, train_tokens, kinds, mass)
+        weight = automaton.traverse(grams.token, first)
+        base, known = automaton.root_weight[grams.token], counts[0][grams.token] > 0
+        base[first[:-1]], known[first[:-1]] = 0, False
+        n = len(names)
+        cols = [names, pa.array(held_out(names.to_pylist(), folds, fold)), pa.array(np.diff(first) - 1), pa.array(T.sums(known, first)), pa.array(np.full(n, train_tokens)), *(pa.array(np.add.reduceat(x, first[:-1])) for x in (base, weight))]
+        return pa.table(cols, names=[f.split()[0] for f in SCHEMA.split(", ")])
+
+    asked = blocks.groupBy("block").applyInArrow(ask, B.letters(1))
+    mail = asked.groupBy("reducer").applyInArrow(add_up, "block long, reducer int, counts binary")
+    return blocks.groupBy("block").cogroup(mail.groupBy("block")).applyInArrow(traverse, SCHEMA)
+
+
+def choose_mass(docs: DataFrame, order: int = ORDER, candidates: tuple[float, ...] = (50.0, 200.0, 800.0, 3200.0), folds: int = FOLDS, fold: int = FOLD, id_col: str = "doc_id", text_col: str = "text") -> tuple[float, dict[float, float]]:
+    """The mass with the best mean log10 probability of a token in one fold of the training documents, scored by the others; the held-out fold is not looked at."""
+    key = F.pmod(F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
+    rest = docs.where(key != fold)
+    other = (fold + 1) % folds
+    found = {}
+    for mass in candidates:
+        row = score(rest, order, mass, folds, other, id_col, text_col).where("held_out").agg(F.sum("score"), F.sum("n_tokens")).head()
+        found[mass] = row[0] / row[1] if row[1] else float("-inf")
+    return max(found, key=found.get), found

@@ -3,18 +3,24 @@
 Every line is judged on its own by three rules; failing lines are removed and a
 document that loses too much of its text with them is rejected:
 
-* punctuation: no word of the line ends a sentence, or symbols crowd the words;
+* punctuation: no word of the line ends a sentence, however long the line is, or
+  symbols crowd the words;
 * navigation: separators stand between the words, as in menus and tag lists, or
-  most words are shouted in capitals;
+  most words are shouted, in capitals or with two exclamation marks;
 * boilerplate: a short line that carries a stock phrase (licences, cookies ...).
 
+Sentences end with the marks of Latin, Greek, Armenian, Arabic, Urdu, Devanagari,
+Burmese, Ethiopic, Khmer, Tibetan and East Asian scripts. Scripts that write no such mark
+(Thai, Lao) fail the punctuation rule; `Rules.needs_sentence` turns it off for them.
+
 A document also fails on two base figures: fewer than `min_words` words, or more
 than `max_repeat_pct` percent of its words in 8-word windows that occur twice or
 more in it. One pass over the texts, no shuffle; each document is judged whole.
 
 Null text has no words, so it fails as too short. An empty table gives an empty
-result. Repeated rows are judged one by one. Other columns are passed through by
-`filter_documents` and ignored by `assess`.
+result. Repeated rows are judged one by one. A very long text is judged whole; a task
+holds one such text at a time. Other columns, whatever their names, are passed through
+by `filter_documents` and ignored by `assess`.
 """
 
 from __future__ import annotations
@@ -33,8 +39,10 @@ WINDOW = 8
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[[*b"#*$%&|<>"]] = True
 _LINE_SYMBOLS = re.compile(rb"[#*$%&<>{}\\^~=@_]")
-_SEPARATORS = re.compile("[|»›•·‹«]|->|::".encode())
-_SENTENCE_END = re.compile("[.!?…。！？][\"'”’»)\\]]*(?=\\s|$)".encode())
+#: Marks of several bytes as alternatives: in a class of bytes each of their bytes would count.
+_SEPARATORS = re.compile("[|]|»|›|•|·|‹|«|->|::".encode())
+_MARKS = "|".join("…。！？｡؟۔।॥։။።។།")
+_SENTENCE_END = re.compile(f"(?:[.!?]|{_MARKS})(?:[\"')\\]]|”|’|»)*(?=\\s|$)".encode())
 _STOCK = re.compile(rb"all rights reserved|copyright \(c\)|licensed under|under the [a-z ]{0,40}licen[cs]e|cookie policy|privacy policy|terms of (?:use|service)|subscribe to our|click here|enable javascript|sign up for", re.IGNORECASE)
 
 SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_failed_lines long, n_lost_words long, base_failed boolean, kept boolean"
@@ -44,6 +52,8 @@ SCHEMA = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_rep
 class Rules:
     min_words: int = 20
     max_repeat_pct: int = 30
+    #: Whether a line must hold the end of a sentence.
+    needs_sentence: bool = True
     max_symbols_per_word: float = 0.25
     max_separators_per_word: float = 0.2
     max_shouted: float = 0.5
@@ -54,7 +64,7 @@ class Rules:
 
 def line_fails(line: bytes, n: int, rules: Rules) -> bool:
     """Whether a line of `n` words fails one of the rules."""
-    if not _SENTENCE_END.search(line) and n < 200:
+    if rules.needs_sentence and not _SENTENCE_END.search(line):
         return True
     if len(_LINE_SYMBOLS.findall(line)) > rules.max_symbols_per_word * n + 1:
         return True

@@ -226,7 +226,7 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
                 yield from out.to_batches()
 
     def compare(table):
-        key, fp, home = B.inbox(table, "<u8", "?")
+        key, fp, home, _ = B.inbox(table, "<u8", "?")
         found, shares = bucket_links(key, fp, home, distance)
         pairs = np.concatenate([*found, np.zeros((len(shares), 2), np.uint64)]).view(np.int64)
         return pa.table(

@@ -8,6 +8,7 @@ chunk size becomes a chunk of its own.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -57,6 +58,24 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = C
             to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(at, to - at), texts[at:to]
             at = to
+    trim()
+
+
+@functools.cache
+def _heap():
+    import ctypes
+
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return None
+
+
+def trim() -> None:
+    """Hand freed memory back to the system: a Python worker outlives its task and would hold on to it."""
+    pa.default_memory_pool().release_unused()
+    if _heap():
+        _heap()(0)
 
 
 @dataclass

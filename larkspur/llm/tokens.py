@@ -89,8 +89,6 @@ class Encoder:
         self.by_pretoken = spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout") and all(x["special"] for x in added)
         self._forget()
         if self.by_pretoken:
-            self.plain = Tokenizer.from_file(path)  # for pre-tokens: none is an added token
-            self.plain.encode_special_tokens = True
             # byte-level vocabularies write each byte as one character
             self.bytes_of = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
             for token, i in self.tokenizer.get_vocab().items():
@@ -103,11 +101,18 @@ class Encoder:
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _plain(self, tokens: list[str]) -> list:
+        """Encodings of pre-tokens, none of which is an added token."""
+        self.tokenizer.encode_special_tokens = True
+        found = self.tokenizer.encode_batch_fast(tokens, add_special_tokens=False)
+        self.tokenizer.encode_special_tokens = False
+        return found
+
     def _ids_of(self, tokens: list[str], spaced: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all pre-tokens end to end, and how many each has. Those of a space and letters are told apart inside a longer text."""
         alone, run = np.flatnonzero(~spaced).tolist(), np.flatnonzero(spaced).tolist()
         groups = [run[i : i + 1000] for i in range(0, len(run), 1000)]
-        found = self.plain.encode_batch_fast(["".join([tokens[i] for i in g]) for g in groups], add_special_tokens=False)
+        found = self._plain(["".join([tokens[i] for i in g]) for g in groups])
         count = np.zeros(len(tokens), np.int64)
         parts = []
         for g, e in zip(groups, found, strict=True):
@@ -116,7 +121,7 @@ class Encoder:
             at = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1
             count[g] = np.diff(at, prepend=0)
             parts.append(ids)
-        for i, e in zip(alone, self.plain.encode_batch_fast([tokens[i] for i in alone], add_special_tokens=False), strict=True):
+        for i, e in zip(alone, self._plain([tokens[i] for i in alone]), strict=True):
             count[i] = len(e.ids)
             parts.append(np.array(e.ids, "<u4"))
         flat = np.concatenate([*parts, np.zeros(0, "<u4")])

@@ -10,11 +10,13 @@ links. A host is blocked if its distrust is at least `threshold` and above its t
 
 Hosts are aggregated before anything is shuffled by them, so a host with a third
 of all pages is one row in the graph; links between two hosts are one weighted edge.
-Each round of propagation is a written table, and rounds end when scores settle.
+Each round of propagation is a written table, and rounds end when what still moves is
+too little to change any score; there is no limit of rounds. Scores are the sum of
+what arrives, weighted by damping per link; a host without links passes nothing on.
 
 Null urls and urls without :// have empty host and path, no rule, and are allowed.
 Null html has no links. Repeated rows are judged one by one. An empty table gives
-no rows. Other columns are ignored.
+no rows. Very long html is searched whole. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +28,9 @@ from larkspur.llm import shared
 
 #: The rules of the registered query.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-DAMPING, THRESHOLD, SETTLED, MAX_ROUNDS = 0.85, 0.5, 1e-3, 60
+DAMPING, THRESHOLD = 0.85, 0.5
+#: Propagation ends when no host's score can change by more.
+SETTLED = 1e-3
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LINK = r"""(?i)\b(?:href|src|action|cite)\s*+=\s*+["']?+\s*+((?:[a-z][a-z0-9+.-]{0,15}:)?//[^"'\s<>]++)"""
 
@@ -56,18 +60,20 @@ def _rules_of_hosts(hosts: DataFrame, rules) -> DataFrame:
 
 
 def _flow(edges: DataFrame, seeds: DataFrame, damping: float) -> DataFrame:
-    """host, score: the seeds and what flows from them along (src, dst, share), until it settles. Each round passes on what arrived in the last one."""
-    score = moving = seeds
-    for _ in range(MAX_ROUNDS):
-        sent = moving.join(edges, moving.host == edges.src).groupBy("dst").agg(F.sum(F.col("score") * F.col("share") * damping).alias("score"))
-        moving = shared.saved(sent.select(F.col("dst").alias("host"), "score"), "flow")
-        most = moving.agg(F.max("score")).head()[0]
-        if most is None:
-            break
-        score = shared.saved(score.unionByName(moving).groupBy("host").agg(F.sum("score").alias("score")), "scores")
-        if most < SETTLED:
-            break
-    return score
+    """host, score: the seeds and what flows from them along (src, dst, share), until no host can gain `SETTLED` more. Each round passes on what arrived in the last one.
+
+    What still moves, m, can add at most m * damping / (1 - damping) to all hosts together, and m shrinks by `damping` a round at
+    least; so rounds end by themselves, after a number that grows with the logarithm of the seeds.
+    """
+    state = seeds.select("host", "score", F.col("score").alias("moving"))
+    while True:
+        sent = state.where("moving > 0").join(edges, F.col("host") == edges.src).groupBy("dst").agg(F.sum(F.col("moving") * F.col("share") * damping).alias("sent"))
+        kept = state.select("host", "score", F.lit(0.0).alias("moving"))
+        both = kept.unionByName(sent.select(F.col("dst").alias("host"), F.col("sent").alias("score"), F.col("sent").alias("moving")))
+        state = shared.saved(both.groupBy("host").agg(F.sum("score").alias("score"), F.sum("moving").alias("moving")), "flow")
+        left = state.agg(F.sum("moving")).head()[0] or 0.0
+        if left * damping / (1 - damping) < SETTLED:
+            return state.select("host", "score")
 
 
 def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING, threshold: float = THRESHOLD, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -90,7 +96,7 @@ def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING, threshold: fl
 
     def edges(src: str, dst: str) -> DataFrame:
         total = pairs.groupBy(src).agg(F.sum("w").alias("total")).withColumnRenamed(src, "src")
-        return pairs.select(F.col(src).alias("src"), F.col(dst).alias("dst"), "w").join(total, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("share"))
+        return shared.saved(pairs.select(F.col(src).alias("src"), F.col(dst).alias("dst"), "w").join(total, "src").select("src", "dst", (F.col("w") / F.col("total")).alias("share")), "edges")
 
     trust = _flow(edges("host", "to"), seeds.where("good > 0").select("host", F.col("good").alias("score")), damping).select("host", F.col("score").alias("trust"))
     distrust = _flow(edges("to", "host"), seeds.where("bad > 0").select("host", F.col("bad").alias("score")), damping).select("host", F.col("score").alias("distrust"))

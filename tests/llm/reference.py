@@ -59,7 +59,6 @@ def ids_of(texts, tokenizer):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer)
-    t.encode_special_tokens = True
     return [t.encode(x or "", add_special_tokens=False).ids + [0] for x in texts]
 
 
@@ -79,7 +78,7 @@ def op2(docs, size=13):
     return sorted(out, key=str)
 
 
-def op5(docs, mass=800.0, order=2):
+def op5(docs, mass=800.0, order=3):
     import math
     import zlib
     from collections import Counter
