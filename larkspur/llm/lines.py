@@ -1,8 +1,9 @@
 """Line dedup by deletion neighbourhoods, in DataFrame functions only.
 
 A line is removed if a line that stands earlier in the corpus, by document id and
-then by place, is equal to it or at most one edit (a character inserted, deleted
-or replaced) away. Lines of fewer than `min_chars` characters stay.
+then by place, is equal to it or, where both have at least `min_chars` characters, at
+most one edit (a character inserted, deleted or replaced) away. Blank lines of fewer
+characters stay: they only part paragraphs.
 
 Two lines one edit apart become equal when a piece around the edit is deleted from
 both. Such variants are emitted as hashed keys from coarse to fine, each level only
@@ -16,13 +17,15 @@ for lines that share a key of the level before:
    neighbours of its earliest, and the earliest comes from one aggregate: no pairs
    of a group are listed, however many lines share a key.
 
-The earliest neighbour is then verified by its edit distance. Equal lines are
-one class throughout, so a line that stands in a third of all documents is one row
-after the first aggregate.
+The earliest neighbour is then verified by its edit distance. Equal lines, told by two
+64-bit hashes, are one class throughout, so a line that stands in a third of all
+documents is one row after the first aggregate. What is aggregated is written before it
+is joined again, so that both sides are shuffled for the join and hot keys are split.
 
 Null text has no lines. A null id counts as the least. Rows with one id are one
-document: lines at the same place don't count against each other. An empty table
-gives no rows. Columns other than id and text are ignored or passed through.
+document: lines at the same place don't count against each other. Very long lines and
+texts are treated like others. An empty table gives no rows. Columns other than id and
+text, whatever their names, are ignored or passed through.
 """
 
 from __future__ import annotations
@@ -34,6 +37,7 @@ from larkspur.llm import shared
 
 MIN_CHARS, EIGHTHS = 20, 8
 _LEAST = -(1 << 63)
+_WORD = r"[^\x20\x09-\x0D]"
 
 
 def _place(doc_id: Column, no: Column) -> Column:
@@ -43,7 +47,9 @@ def _place(doc_id: Column, no: Column) -> Column:
 
 def _lines(docs: DataFrame, min_chars: int) -> DataFrame:
     every = docs.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n", -1)).alias("no", "line"))
-    return every.where(F.length("line") >= min_chars).select("doc_id", "text_hash", "no", "line", F.xxhash64("line").alias("h"), _place(F.col("doc_id"), F.col("no")).alias("at"))
+    long = F.length("line") >= min_chars
+    every = every.where(long | F.col("line").rlike(_WORD))
+    return every.select("doc_id", "text_hash", "no", "line", long.alias("long"), F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("h2"), _place(F.col("doc_id"), F.col("no")).alias("at"))
 
 
 def _halves() -> list[Column]:
@@ -59,7 +65,7 @@ def _halves() -> list[Column]:
 def _shared(rows: DataFrame) -> DataFrame:
     """The rows whose key another line has too."""
     twice = rows.groupBy("key").agg(F.min("h").alias("a"), F.max("h").alias("b")).where("a != b").select("key")
-    return rows.join(twice, "key", "left_semi")
+    return rows.join(shared.saved(twice, "lines"), "key", "left_semi")
 
 
 def _eighths(lines: DataFrame) -> DataFrame:
@@ -89,31 +95,32 @@ def _deletions(pieces: DataFrame) -> DataFrame:
 
 
 def _neighbours(lines: DataFrame) -> DataFrame:
-    """(h, earlier): for lines with a neighbour that comes earlier, the place of the earliest."""
+    """(h, h2, earlier): for lines with a neighbour that comes earlier, the place of the earliest."""
     found = _deletions(_shared(_eighths(lines)))
     least = [F.min(F.when(F.col("role") == r, F.col("first"))).alias(n) for r, n in ((0, "replaced"), (1, "whole"), (2, "deleted"))]
     met = found.groupBy("key").agg(*least, F.count("*").alias("n")).where("n > 1").drop("n")
+    met = shared.saved(met, "lines")
     other = F.when(F.col("role") == 0, F.col("replaced")).when(F.col("role") == 1, F.col("deleted")).otherwise(F.col("whole"))
     earliest = found.join(met, "key").select("h", "first", other.alias("earlier")).where("earlier < first").groupBy("h").agg(F.min("earlier").alias("earlier"))
-    mine = lines.select("h", "line")
+    mine = lines.select("h", "h2", "line")
     theirs = lines.select(F.col("first").alias("earlier"), F.col("line").alias("other"))
-    return earliest.join(mine, "h").join(theirs, "earlier").where(F.levenshtein("line", "other", 1) >= 0).select("h", "earlier")
+    return earliest.join(mine, "h").join(theirs, "earlier").where(F.levenshtein("line", "other", 1) >= 0).select("h", "h2", "earlier")
 
 
 def removals(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """(of, of_text, lines, near): by document, the numbers of its removed lines, and how many of those weren't exact repeats. docs: doc_id, text, text_hash."""
     lines = _lines(docs, min_chars)
-    keys = [k.alias(f"k{i}") for i, k in enumerate(_halves())]
-    classes = lines.select("h", "at", *keys).groupBy("h").agg(F.min("at").alias("first"), F.count("*").alias("n"), *(F.min(f"k{i}").alias(f"k{i}") for i in range(4)))
+    keys = [F.when(F.col("long"), k).alias(f"k{i}") for i, k in enumerate(_halves())]
+    classes = lines.select("h", "h2", "at", *keys).groupBy("h", "h2").agg(F.min("at").alias("first"), F.count("*").alias("n"), *(F.min(f"k{i}").alias(f"k{i}") for i in range(4)))
     classes = shared.saved(classes, "lines")
-    halves = classes.select("h", F.posexplode(F.array(*(F.col(f"k{i}") for i in range(4)))).alias("code", "key"))
+    halves = classes.where("k0 IS NOT NULL").select("h", F.posexplode(F.array(*(F.col(f"k{i}") for i in range(4)))).alias("code", "key"))
     codes = _shared(halves).groupBy("h").agg(*(F.max(F.col("code") == c).alias(f"c{c}") for c in range(4)))
-    wanted = codes.join(classes.select("h", "first"), "h").select("h", "first", F.array(*(F.col(f"c{c}") for c in range(4))).alias("codes"))
-    texts = shared.saved(lines.select("h", "at", "line").join(wanted, "h").where("at = first").dropDuplicates(["h"]).select("h", "first", "codes", "line"), "lines")
-    best = classes.select("h", "first", "n").join(_neighbours(texts), "h", "left").where("n > 1 OR earlier IS NOT NULL").select("h", "first", F.coalesce(F.least("first", "earlier"), F.col("first")).alias("best"))
-    # written first, so that both sides of the join are shuffled for it and very common lines are split
+    wanted = codes.join(classes.where("k0 IS NOT NULL").select("h", "h2", "first"), "h").select("h", "h2", "first", F.array(*(F.col(f"c{c}") for c in range(4))).alias("codes"))
+    wanted = shared.saved(wanted, "lines")
+    texts = shared.saved(lines.select("h", "h2", "at", "line").join(wanted, ["h", "h2"]).where("at = first").dropDuplicates(["h"]).select("h", "h2", "first", "codes", "line"), "lines")
+    best = classes.select("h", "h2", "first", "n").join(_neighbours(texts), ["h", "h2"], "left").where("n > 1 OR earlier IS NOT NULL").select("h", "h2", "first", F.coalesce(F.least("first", "earlier"), F.col("first")).alias("best"))
     best = shared.saved(best, "lines")
-    gone = lines.select("doc_id", "text_hash", "no", "h", "at").join(best, "h").where("best < at")
+    gone = lines.select("doc_id", "text_hash", "no", "h", "h2", "at").join(best, ["h", "h2"]).where("best < at")
     return gone.groupBy(F.col("doc_id").alias("of"), F.col("text_hash").alias("of_text")).agg(F.array_sort(F.collect_set("no")).alias("lines"), F.collect_set(F.when(F.col("first") == F.col("at"), F.col("no"))).alias("near")).withColumn("near", F.size("near"))
 
 
@@ -140,12 +147,13 @@ def remove(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id",
 ORACLE = f"""
 WITH lines AS (
   SELECT doc_id, unnest(range(len(s))) AS no, unnest(s) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)
-), l AS (SELECT doc_id, no, line, doc_id::HUGEINT * 4294967296 + no AS pos FROM lines WHERE length(line) >= {MIN_CHARS}
+), l AS (SELECT doc_id, no, line, doc_id::HUGEINT * 4294967296 + no AS pos FROM lines
+  WHERE length(line) >= {MIN_CHARS} OR regexp_matches(line, '[^\\x20\\x09-\\x0D]')
 ), d AS (SELECT line, min(pos) AS first, length(line) AS n FROM l GROUP BY line
 ), k AS (
   SELECT line, first, n, unnest([
     'p' || n || ' ' || left(line, n // 2), 's' || n || ' ' || right(line, n // 2),
-    'p' || (n - 1) || ' ' || left(line, (n - 1) // 2), 's' || (n - 1) || ' ' || right(line, (n - 1) // 2)]) AS key FROM d
+    'p' || (n - 1) || ' ' || left(line, (n - 1) // 2), 's' || (n - 1) || ' ' || right(line, (n - 1) // 2)]) AS key FROM d WHERE n >= {MIN_CHARS}
 ), pairs AS (
   SELECT DISTINCT a.line AS line, a.n AS n, b.line AS other, b.n AS m, b.first AS earlier FROM k a JOIN k b ON a.key = b.key AND b.first < a.first WHERE abs(a.n - b.n) <= 1
 ), near AS (

@@ -151,15 +151,15 @@ def op1(docs, min_chars=20):
     rows = [(-(2**63) if d is None else d, d, (t.split("\n") if t is not None else [])) for d, t in docs]
     for key, _, lines in rows:
         for no, line in enumerate(lines):
-            if len(line) >= min_chars:
+            if len(line) >= min_chars or SPACED.search(line):
                 first[line] = min(first.get(line, (key, no)), (key, no))
     best = {}
     every = sorted(first, key=first.get)
     for i, line in enumerate(every):
-        best[line] = next((first[x] for x in every[: i + 1] if one_edit(x, line)), None)
+        best[line] = next((first[x] for x in every[: i + 1] if x == line or min(len(x), len(line)) >= min_chars and one_edit(x, line)), None)
     out = []
     for key, d, lines in rows:
-        gone = [(no, first[x] == (key, no)) for no, x in enumerate(lines) if len(x) >= min_chars and best[x] < (key, no)]
+        gone = [(no, first[x] == (key, no)) for no, x in enumerate(lines) if x in best and best[x] < (key, no)]
         out.append((d, len(lines), len(gone), sum(n for _, n in gone), ",".join(str(no) for no, _ in gone)))
     return sorted(out, key=str)
 
