@@ -1,15 +1,18 @@
 """Packing of token ids into sequences by bounded-space best fit.
 
 Each task reads its documents once and holds at most `open_windows` open
-sequences. A document's full multiples of `size` ids are sequences of their own;
-its rest goes to the open sequence with the least room that still takes it. If
-none does, the fullest is topped up with the head of the rest, emitted full, and
-what is left is placed again. The sequences still open when a task ends (at most
-`open_windows`, whatever the size of its input) keep their ids; they are merged
-in rounds of `FAN_IN` tasks, each round leaving at most one open sequence per
-group, until one group is left. So every sequence but the last is full.
-
-Null text is the end id alone. Equal documents are packed row by row. An empty
+sequences. A document longer than `size` ids is cut: its full multiples are sequences
+of their own. Its rest, or a shorter document, stays whole and goes to the open
+sequence with the least room that still takes it. If none does, a new one is opened;
+if that would be one too many, the fullest is emitted first, as it is. The sequences
+still open when a task ends (at most `open_windows`, whatever the size of its input)
+keep their ids; they are merged in rounds of `FAN_IN` tasks, piece by piece and the
+longest first, each round leaving at most `open_windows` for the next, until one
+group is left. So a document has as few pieces as its length allows, and what is
+padded is the room of the emitted sequences (figures in the README).
+
+Null text is the end id alone. Equal documents are packed row by row. A very long
+text is cut like any other. Other columns, whatever their names, are ignored. An empty
 table gives no pieces. Every id lies in exactly one piece; a piece's `start` counts
 its document's ids before it, `offset` the ids before it in its sequence.
 """
@@ -35,9 +38,9 @@ _LEVEL, _GROUP = 56, 24
 
 
 class Packer:
-    """Open sequences of pieces (doc, start, ids, doc_tokens); emits finished ones through `out`."""
+    """Open sequences of pieces (doc, start, ids, doc_tokens), at most `slots` if given; finished ones are in `done`."""
 
-    def __init__(self, size: int, slots: int, first_id: int):
+    def __init__(self, size: int, slots: int | None, first_id: int):
         self.size, self.slots, self.next_id = size, slots, first_id
         self.rooms: list[tuple[int, int]] = []  # (room, sequence), ascending
         self.pieces: dict[int, list[tuple]] = {}
@@ -48,22 +51,26 @@ class Packer:
         while len(ids) >= 4 * size:
             self._finish(self._open([(doc, start, ids[: 4 * size], total)]))
             start, ids = start + size, ids[4 * size :]
-        while ids:
-            n = len(ids) // 4
-            at = bisect_left(self.rooms, (n, -1))
-            if at == len(self.rooms) and len(self.rooms) < self.slots:
-                number = self._open([(doc, start, ids, total)])
-                insort(self.rooms, (size - n, number))
-                return
-            fits = at < len(self.rooms)
-            room, number = self.rooms.pop(at if fits else 0)  # best fit, or else the fullest
-            head, ids = (ids, b"") if fits else (ids[: 4 * room], ids[4 * room :])
-            self.pieces[number].append((doc, start, head, total))
-            start += len(head) // 4
-            if room == len(head) // 4:
-                self._finish(number)
-            else:
-                insort(self.rooms, (room - n, number))
+        if not ids:
+            return
+        n, piece = len(ids) // 4, (doc, start, ids, total)
+        at = bisect_left(self.rooms, (n, -1))
+        if at < len(self.rooms):
+            room, number = self.rooms.pop(at)
+            self.pieces[number].append(piece)
+        else:
+            if self.slots and len(self.rooms) == self.slots:
+                self._finish(self.rooms.pop(0)[1])
+            room, number = size, self._open([piece])
+        if room == n:
+            self._finish(number)
+        else:
+            insort(self.rooms, (room - n, number))
+
+    def keep(self, slots: int) -> None:
+        """Emit the fullest of the open sequences until at most `slots` are left."""
+        while len(self.rooms) > slots:
+            self._finish(self.rooms.pop(0)[1])
 
     def _open(self, pieces: list[tuple]) -> int:
         number, self.next_id = self.next_id, self.next_id + 1
@@ -117,7 +124,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, open_windows: int =
     parts, level, open_ = [done.where("task IS NULL")], 0, done.where("task IS NOT NULL")
     while True:
         level, groups, last = level + 1, -(-tasks // fan_in), tasks <= fan_in
-        merged = open_.withColumn("g", F.floor(F.col("task") / fan_in)).groupBy("g").applyInArrow(_merger(size, level, last), schema)
+        merged = open_.withColumn("g", F.floor(F.col("task") / fan_in)).groupBy("g").applyInArrow(_merger(size, open_windows, level, last), schema)
         if last:
             return _union([*parts, merged]).drop("task", "ids")
         merged = shared.saved(merged, "packed")
@@ -132,18 +139,17 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _merger(size: int, level: int, last: bool):
-    """Lays the open sequences of a group of tasks end to end, cut at `size`; one piece of a sequence may stay open."""
+def _merger(size: int, open_windows: int, level: int, last: bool):
+    """Packs the pieces of a group of tasks' open sequences anew, the longest first; at most `open_windows` sequences stay open."""
 
     def run(key, table):
         g = key[0].as_py()
-        rows = table.select(_COLUMNS).sort_by([("task", "ascending"), ("sequence_id", "ascending"), ("offset", "ascending")])
-        packer = Packer(size, 1, level << _LEVEL | g << _GROUP)
-        for r in rows.to_pylist():
-            packer.add(r["doc_id"], r["start"], r["ids"], r["doc_tokens"])
-        left = packer.rest(g)
-        if last:
-            left = [(*r[:-2], None, None) for r in left]
-        return pa.Table.from_batches([_batch(packer.done + left, table.schema.field("doc_id").type)])
+        rows = table.select(_COLUMNS).sort_by([("length", "descending"), ("task", "ascending"), ("sequence_id", "ascending"), ("offset", "ascending")])
+        packer = Packer(size, None, level << _LEVEL | g << _GROUP)
+        for batch in rows.to_batches(max_chunksize=10_000):
+            for r in batch.to_pylist():
+                packer.add(r["doc_id"], r["start"], r["ids"], r["doc_tokens"])
+        packer.keep(0 if last else open_windows)
+        return pa.Table.from_batches([_batch(packer.done + packer.rest(g), table.schema.field("doc_id").type)])
 
     return run

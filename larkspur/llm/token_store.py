@@ -6,7 +6,8 @@ ids (or one document). A shard is one row of a table of Parquet files, which any
 Hadoop file system holds and whose commit protocol leaves no half-written shard
 when an executor is lost:
 
-    shard long        ascending with the keys
+    shard long        ascending with the keys; the range partition in the upper 32 bits
+    before long       ids of earlier shards in its range partition
     first_key, last_key   the range of its keys
     n_docs, n_ids, id_bytes long
     keys array        its documents in order
@@ -17,14 +18,19 @@ The hash is a cascade of bit arrays: a key is settled at the first level where i
 alone falls on its bit; its slot is the number of set bits before that one. A key
 that isn't in the shard lands on a slot whose stored 32-bit fingerprint differs.
 
-Null text is empty: only the end id. Equal keys stay apart by their occurrence,
-in the order of their texts. Null keys come first. An empty table gives no shard.
+Equal keys stay apart by their occurrence, in the order of their texts; a key that stands
+in very many rows is spread over range partitions by its texts. Keys are told from null,
+and if two keys of a shard have one hash, its hash is built again with another seed.
+
+Null text is empty: only the end id. Null keys come first. A very long text is a shard of
+its own. Other columns, whatever their names, are ignored. An empty table gives no shard.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,17 +44,19 @@ from larkspur.llm.tokens import encoder
 
 SHARD_IDS = 2 << 20
 GAMMA = 2.0
-#: Bases of so many shards are sent to the readers (16 bytes each); beyond, they are joined.
-MAX_BROADCAST_SHARDS = 1_000_000
+#: Characters of a text by which rows of one key are dealt to partitions; their order within the key is by whole texts.
+PREFIX = 64
+#: Ranges of keys that one fetch asks the Parquet reader for.
+SPANS = 200
 #: A row is a whole shard, so the writer looks at its buffers after every row.
 _PARQUET = {"parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "compression": "zstd"}
 
 
-def key_hashes(keys: list, occurrence: np.ndarray) -> np.ndarray:
-    """64 bits of each key and its occurrence."""
-    raw = [b"\0" if k is None else str(k).encode() for k in keys]
+def key_hashes(keys: list, occurrence: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64 bits of each key and its occurrence. Text keys and null are marked, so that no key is another's spelling."""
+    raw = [b"n" if k is None else b"k" + str(k).encode("utf-8", "surrogatepass") for k in keys]
     buf, bounds = T.lay(raw)
-    return T.mix(T.hash_spans(buf, bounds[:-1], bounds[1:] - 1) + occurrence.astype(np.uint64))
+    return T.mix(T.hash_spans(buf, bounds[:-1], bounds[1:] - 1) + T.mix(occurrence.astype(np.uint64) ^ np.uint64(seed << 40)))
 
 
 class PerfectHash:
@@ -65,6 +73,8 @@ class PerfectHash:
 
     @classmethod
     def build(cls, hashes: np.ndarray) -> PerfectHash:
+        if len(np.unique(hashes)) != len(hashes):
+            raise ValueError("two hashes are equal")
         left, levels = hashes, []
         while len(left):
             size = max(8, int(GAMMA * len(left)))
@@ -103,6 +113,8 @@ class ShardIndex:
     """The index of a shard: key to first id and number of ids, in constant time."""
 
     def __init__(self, raw: bytes):
+        (self.seed,) = struct.unpack_from("<I", raw)
+        raw = raw[4:]
         self.hash, at = PerfectHash.load(raw)
         n = int(self.hash.base[-1])
         self.prints = np.frombuffer(raw, "<u4", n, at)
@@ -110,10 +122,19 @@ class ShardIndex:
         self.count = np.frombuffer(raw, "<u8", n, at + 12 * n)
 
     @staticmethod
-    def dump(hashes: np.ndarray, first: np.ndarray, count: np.ndarray) -> bytes:
+    def dump(hashes: np.ndarray, first: np.ndarray, count: np.ndarray, seed: int = 0) -> bytes:
         found = PerfectHash.build(hashes)
         order = np.argsort(found.slots(hashes))
-        return found.dump() + (hashes[order] >> np.uint64(32)).astype("<u4").tobytes() + first[order].astype("<u8").tobytes() + count[order].astype("<u8").tobytes()
+        return struct.pack("<I", seed) + found.dump() + (hashes[order] >> np.uint64(32)).astype("<u4").tobytes() + first[order].astype("<u8").tobytes() + count[order].astype("<u8").tobytes()
+
+    @classmethod
+    def of_keys(cls, keys: list, occurrence: np.ndarray, first: np.ndarray, count: np.ndarray) -> bytes:
+        for seed in range(64):
+            try:
+                return cls.dump(key_hashes(keys, occurrence, seed), first, count, seed)
+            except ValueError:
+                continue
+        raise ValueError("a key stands twice with one occurrence")
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Slot of each hash, -1 if its key isn't here."""
@@ -123,22 +144,23 @@ class ShardIndex:
         return np.where(ok, slot, -1)
 
 
-def _shard(number: int, keys: list, nth: list[int], ids: list[bytes], width: int) -> dict:
+def _shard(number: int, before: int, keys: list, nth: list[int], ids: list[bytes], width: int) -> dict:
     count = np.array([len(x) // 4 for x in ids], np.int64)
     first = np.cumsum(count) - count
     payload = np.frombuffer(b"".join(ids), "<u4")
     return {
-        "shard": number, "first_key": keys[0], "last_key": keys[-1], "n_docs": len(keys), "n_ids": int(count.sum()), "id_bytes": width, "keys": keys, "nth": nth,
-        "index": ShardIndex.dump(key_hashes(keys, np.array(nth)), first, count), "payload": (payload if width == 4 else payload.astype("<u2")).tobytes(),
+        "shard": number, "before": before, "first_key": keys[0], "last_key": keys[-1], "n_docs": len(keys), "n_ids": int(count.sum()), "id_bytes": width, "keys": keys, "nth": nth,
+        "index": ShardIndex.of_keys(keys, np.array(nth), first, count), "payload": (payload if width == 4 else payload.astype("<u2")).tobytes(),
     }
 
 
 def shards(docs: DataFrame, tokenizer: str, end_id: int = 0, shard_ids: int = SHARD_IDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each shard, over all documents in ascending order of their key."""
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ordered = src.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # a key of very many rows is cut by the beginnings of their texts
+    ordered = src.repartitionByRange("doc_id", F.left("text", F.lit(PREFIX))).sortWithinPartitions("doc_id", "text")
     kind = src.schema["doc_id"].dataType.simpleString()
-    schema = f"shard long, first_key {kind}, last_key {kind}, n_docs long, n_ids long, id_bytes long, keys array<{kind}>, nth array<long>, index binary, payload binary"
+    schema = f"shard long, before long, first_key {kind}, last_key {kind}, n_docs long, n_ids long, id_bytes long, keys array<{kind}>, nth array<long>, index binary, payload binary"
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -146,13 +168,13 @@ def shards(docs: DataFrame, tokenizer: str, end_id: int = 0, shard_ids: int = SH
 
         coder = encoder(tokenizer)
         width = 2 if coder.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        number, size = TaskContext.get().partitionId() << 32, 0
+        number, size, before = TaskContext.get().partitionId() << 32, 0, 0
         keys, nth, ids, last, again = [], [], [], object(), 0
         for part, texts in T.chunks(batches):
             for key, raw in zip(part.column("doc_id").to_pylist(), coder.encode([x.decode() for x in texts]), strict=True):
                 if ids and size + len(raw) // 4 + 1 > shard_ids:
-                    yield _batch(_shard(number, keys, nth, ids, width), part.schema.field("doc_id").type)
-                    number, size, keys, nth, ids = number + 1, 0, [], [], []
+                    yield _batch(_shard(number, before, keys, nth, ids, width), part.schema.field("doc_id").type)
+                    number, before, size, keys, nth, ids, last = number + 1, before + size, 0, [], [], [], object()
                 again = again + 1 if key == last else 0
                 last = key
                 keys.append(key)
@@ -160,7 +182,7 @@ def shards(docs: DataFrame, tokenizer: str, end_id: int = 0, shard_ids: int = SH
                 ids.append(raw + end)
                 size += len(raw) // 4 + 1
         if ids:
-            yield _batch(_shard(number, keys, nth, ids, width), part.schema.field("doc_id").type)
+            yield _batch(_shard(number, before, keys, nth, ids, width), part.schema.field("doc_id").type)
 
     return ordered.mapInArrow(run, schema)
 
@@ -183,31 +205,22 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """A row for each stored document, in the place its key has by the index: start, n_tokens, ids_crc32 and found (its fingerprint agrees)."""
     stored = spark.read.parquet(path)
     kind = stored.schema["first_key"].dataType.simpleString()
-    sizes = stored.select("shard", "n_ids")
-    total = sizes.count()
-    if total <= MAX_BROADCAST_SHARDS:
-        rows = sorted((r.shard, r.n_ids) for r in sizes.collect())
-        base, so_far = {}, 0
-        for number, n in rows:
-            base[number] = so_far
-            so_far += n
-        known = spark.sparkContext.broadcast(base)
-        placed = stored.select("shard", "id_bytes", "keys", "nth", "index", "payload", F.lit(None).cast("long").alias("base"))
-    else:
-        known = None
-        from pyspark.sql import Window
-
-        before = F.sum("n_ids").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
-        bases = sizes.select("shard", F.coalesce(before, F.lit(0)).alias("base"))
-        placed = stored.join(bases, "shard").select("shard", "id_bytes", "keys", "nth", "index", "payload", "base")
+    # one sum for each range partition that was written: as many as the session had shuffle partitions
+    sums = stored.groupBy(F.shiftright("shard", 32).alias("part")).agg(F.sum("n_ids").alias("n")).collect()
+    base, so_far = {}, 0
+    for r in sorted(sums, key=lambda r: r.part):
+        base[r.part] = so_far
+        so_far += r.n
+    known = spark.sparkContext.broadcast(base)
+    placed = stored.select("shard", "id_bytes", "keys", "nth", "index", "payload", "before")
 
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                shard, width, keys, nth, index, payload, base = (batch.column(k)[i] for k in range(7))
-                start = known.value[shard.as_py()] if known else base.as_py()
+                shard, width, keys, nth, index, payload, before = (batch.column(k)[i] for k in range(7))
+                start = known.value[shard.as_py() >> 32] + before.as_py()
                 names, ids, index = keys.as_py(), decode(payload.as_py(), width.as_py()), ShardIndex(index.as_py())
-                slot = index.find(key_hashes(names, np.array(nth.as_py())))
+                slot = index.find(key_hashes(names, np.array(nth.as_py()), index.seed))
                 first, count = index.first[slot].astype(np.int64), index.count[slot].astype(np.int64)
                 crc = [zlib.crc32(ids[a : a + n].astype("<u4").tobytes()) for a, n in zip(first.tolist(), count.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([keys.values, pa.array(start + first), pa.array(count), pa.array(crc, pa.int64()), pa.array(slot >= 0)], names=["doc_id", "start", "n_tokens", "ids_crc32", "found"])
@@ -216,26 +229,39 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def fetch(spark: SparkSession, path: str, keys: list) -> DataFrame:
-    """The ids of the documents with these keys: only shards whose range holds one are read, and each key is one look-up there."""
+    """(doc_id, ids): a row for each stored document with one of these keys, null among them if asked for.
+
+    The keys' ranges, at most `SPANS`, reach the Parquet reader, so other shards aren't read; in a shard, each key within its range
+    is one look-up for each document it has there.
+    """
     stored = spark.read.parquet(path)
     kind = stored.schema["first_key"].dataType.simpleString()
-    wanted = sorted(set(keys))
-    spans = [(k, k) for k in wanted] if len(wanted) <= 200 else [(wanted[0], wanted[-1])]
+    wanted = sorted({k for k in keys if k is not None})
+    step = max(1, -(-len(wanted) // SPANS))
     near = F.lit(False)
-    for low, high in spans:
-        near = near | ((F.col("first_key").isNull() | (F.col("first_key") <= F.lit(high))) & (F.col("last_key") >= F.lit(low)))
+    for run_of in (wanted[i : i + step] for i in range(0, len(wanted), step)):
+        near = near | ((F.col("first_key").isNull() | (F.col("first_key") <= F.lit(run_of[-1]))) & (F.col("last_key") >= F.lit(run_of[0])))
+    nameless = None in keys
+    if nameless:
+        near = near | F.col("first_key").isNull()
 
     def run(batches):
-        hashes = key_hashes(wanted, np.zeros(len(wanted), np.int64))
         for batch in batches:
+            kinds = batch.schema.field("first_key").type
             for i in range(batch.num_rows):
-                index, ids = ShardIndex(batch.column("index")[i].as_py()), decode(batch.column("payload")[i].as_py(), batch.column("id_bytes")[i].as_py())
-                slot = index.find(hashes)
-                got = [(k, ids[index.first[s] : index.first[s] + index.count[s]].tolist()) for k, s in zip(wanted, slot, strict=True) if s >= 0]
-                kinds = batch.schema.field("first_key").type
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in got], kinds), pa.array([x for _, x in got], pa.list_(pa.int64()))], names=["doc_id", "ids"])
-
-    return stored.where(near).select("first_key", "id_bytes", "index", "payload").mapInArrow(run, f"doc_id {kind}, ids array<long>")
+                low, high, width, raw, payload = (batch.column(k)[i].as_py() for k in ("first_key", "last_key", "id_bytes", "index", "payload"))
+                index, ids = ShardIndex(raw), decode(payload, width)
+                left = [] if high is None else wanted[0 if low is None else bisect_left(wanted, low) : bisect_right(wanted, high)]
+                left = [*left, *([None] if nameless and low is None else [])]
+                names, found, n = [], [], 0
+                while left:
+                    slot = index.find(key_hashes(left, np.full(len(left), n, np.int64), index.seed))
+                    left, slot, n = [k for k, s in zip(left, slot, strict=True) if s >= 0], slot[slot >= 0], n + 1
+                    names += left
+                    found += [ids[index.first[s] : index.first[s] + index.count[s]].tolist() for s in slot]
+                yield pa.RecordBatch.from_arrays([pa.array(names, kinds), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "ids"])
+
+    return stored.where(near).select("first_key", "last_key", "id_bytes", "index", "payload").mapInArrow(run, f"doc_id {kind}, ids array<long>")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, **options) -> DataFrame:

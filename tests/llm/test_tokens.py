@@ -78,11 +78,39 @@ def test_store_round_trip(spark, sf, tmp_path):
     got = {r.doc_id: r.ids for r in token_store.fetch(spark, path, [3, 4, 77, 8]).collect()}
     want = dict(zip((3, 4, 8), R.ids_of([dict(ODD)[k] for k in (3, 4, 8)], BPE), strict=True))
     assert got == want
+    every = [*ODD, (None, "none")]
+    for wanted in ([5, None, 9], [*range(-1000, 1000), None], [None], []):
+        got = sorted(((r.doc_id, tuple(r.ids)) for r in token_store.fetch(spark, path, wanted).collect()), key=str)
+        assert got == sorted(((d, tuple(x)) for (d, _), x in zip(every, R.ids_of([t for _, t in every], BPE), strict=True) if d in wanted), key=str)
     assert token_store.round_trip(odd.limit(0), BPE).count() == 0
+    named = spark.createDataFrame([("\0", "a"), (None, "b"), ("n", "c"), ("kn", "d"), ("n", "e")], "doc_id string, text string")
+    path = token_store.write(named, str(tmp_path / "named"), BPE)
+    assert sorted(str(r.doc_id) for r in token_store.fetch(spark, path, ["\0", None, "n", "x"]).collect()) == ["\0", "None", "n", "n"]
 
 
-def test_store_joins_bases_of_very_many_shards(spark, monkeypatch):
-    monkeypatch.setattr(token_store, "MAX_BROADCAST_SHARDS", 0)
+def test_equal_hashes_end():
+    with pytest.raises(ValueError):
+        token_store.PerfectHash.build(np.array([7, 7], np.uint64))
+    with pytest.raises(ValueError):
+        token_store.ShardIndex.of_keys(["a", "a"], np.zeros(2, np.int64), np.zeros(2), np.zeros(2))
+
+
+def test_rows_of_one_key_are_spread(spark):
+    docs = [(None if i % 3 else 7, f"text {i * 7919 % 1000} of one key") for i in range(1000)]
+    stored = token_store.shards(spark.createDataFrame(docs, SCHEMA).repartition(3), BPE)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert stored.where("first_key IS NULL").count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(x[2:] for x in stored_rows(docs, spark)) == sorted(x[2:] for x in expected(docs))
+
+
+def stored_rows(docs, spark):
+    return stored(token_store.round_trip(spark.createDataFrame(docs, SCHEMA), BPE))
+
+
+def test_store_adds_up_bases_of_very_many_shards(spark):
     assert stored(token_store.round_trip(spark.createDataFrame(ODD, SCHEMA), BPE, shard_ids=5)) == expected(ODD)
 
 
@@ -106,9 +134,12 @@ def check_packing(pieces, docs, size=1024):
             for p in sorted(by_doc[doc], key=lambda p: p.start):
                 assert p.start == at and p.doc_tokens == len(versions[0]) and p.ids_crc32 == crc(versions[0][at : at + p.length])
                 at += p.length
-            assert at == len(versions[0])
+            assert at == len(versions[0]) and len(by_doc[doc]) == -(-at // size)  # cut only where it is longer than a window
     total = sum(len(x) for v in ids.values() for x in v)
-    assert sum(p.length for p in pieces) == total and len(seqs) == -(-total // size)
+    assert sum(p.length for p in pieces) == total
+    filled = sorted(sum(p.length for p in s) for s in seqs.values())
+    assert len(filled) < 2 or filled[0] + filled[1] > size  # no two sequences that one would hold
+    assert len(seqs) * size <= 1.03 * total + 2 * size
 
 
 def test_packing(spark, sf):
@@ -125,6 +156,13 @@ def test_packer_prefers_best_fit():
     for doc, n in (("a", 4), ("b", 8), ("c", 2)):
         p.add(doc, 0, bytes(4 * n), n)
     assert [(r[0], r[5], r[6]) for r in p.done] == [("b", 1, 0), ("c", 1, 8)]
+    p = packing.Packer(10, 2, 0)
+    for doc, n in (("a", 4), ("b", 9), ("c", 7), ("d", 25)):
+        p.add(doc, 0, bytes(4 * n), n)
+    # none fits c: the fullest (b) goes out as it is; d's multiples stand alone, its rest goes to a
+    assert [(r[0], r[1], r[2]) for r in p.done] == [("b", 0, 9), ("d", 0, 10), ("d", 10, 10)]
+    assert sorted((r[0], r[2], r[6]) for r in p.rest(0)) == [("a", 4, 0), ("c", 7, 0), ("d", 5, 4)]
+    p = packing.Packer(10, 2, 0)
     rng = random.Random(2)
     for _ in range(500):
         n = rng.randint(1, 35)
