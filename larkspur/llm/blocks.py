@@ -9,7 +9,7 @@ order of its keys, so answers carry no keys. All of it is ordinary shuffled rows
 lost executors are recomputed; neither keys nor answers pass the driver.
 
 There are as many reducers as blocks, but never so many that the letters of a full
-block hold few keys (`reducers`), so a block writes a bounded number of letters. On
+block hold few keys (`sizes`), so a block writes a bounded number of letters. On
 very large inputs raise `block_bytes` with the memory of the executors: the number of
 letters a block may write grows with it.
 
@@ -36,43 +36,59 @@ from larkspur.llm import textkit as T
 EXPANSION = 3
 #: Bytes of a block for each letter it may write: some 50 keys of three-word windows.
 LETTER_BYTES = 512
-_IDS = pa.schema([("doc_id", pa.int64()), ("text", pa.large_binary())])
+LEAST_BYTES = 1 << 20
+PARTITIONS = 20_000
+#: Multiples of it lie evenly between whole numbers.
+_GOLDEN = (5**0.5 - 1) / 2
 
 
-def reducers(docs: DataFrame, block_bytes: int = T.BLOCK_BYTES) -> int:
-    """How many ranges the hash space is cut into: one for each block that the files should fill, up to the bound of letters."""
+def sizes(docs: DataFrame, block_bytes: int = T.BLOCK_BYTES) -> tuple[int, int]:
+    """(bytes of a block, reducers). Small inputs are cut finer, for all cores; the hash space is cut into as many ranges as the files should fill blocks, up to the bound of letters. Neither changes a result."""
     size = shared.input_bytes(docs) * EXPANSION
-    blocks = math.ceil(size / block_bytes) if size < 1 << 60 else 1 << 30
-    return max(1, min(blocks, block_bytes // LETTER_BYTES))
+    if size >= 1 << 60:  # not from files
+        return block_bytes, max(1, min(docs.sparkSession.sparkContext.defaultParallelism, block_bytes // LETTER_BYTES))
+    block_bytes = min(block_bytes, max(LEAST_BYTES, size // (2 * docs.sparkSession.sparkContext.defaultParallelism)))
+    return block_bytes, max(1, min(math.ceil(size / block_bytes), block_bytes // LETTER_BYTES))
 
 
-def packed(docs: DataFrame, id_col: str, text_col: str, block_bytes: int = T.BLOCK_BYTES) -> DataFrame:
+def packed(docs: DataFrame, count: int, id_col: str, text_col: str, block_bytes: int = T.BLOCK_BYTES) -> DataFrame:
     """(block, docs): the ids and texts of a block's documents, compressed. A null text is empty."""
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]):
         from pyspark import TaskContext
 
         number, held, size = TaskContext.get().partitionId() << 32, [], 0
-        for part, texts in T.chunks(batches, limit=block_bytes):
+        for part, texts in T.chunks(batches, limit=min(T.CHUNK_BYTES, block_bytes)):
             more = sum(map(len, texts))
             if held and size + more > block_bytes:
                 yield _block(number, held)
                 number, held, size = number + 1, [], 0
-            held.append(pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.large_binary())], schema=_IDS))
+            held.append(pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.large_binary())], names=["doc_id", "text"]))
             size += more
         if held:
             yield _block(number, held)
 
-    return src.mapInArrow(run, "block long, docs binary").repartition("block")
+    return spread(src.mapInArrow(run, "block long, docs binary"), count, "block")
+
+
+def spread(rows: DataFrame, count: int, key: str) -> DataFrame:
+    """The rows with `slot`, the partition they are dealt to: in as many as there are reducers, up to what a driver schedules well, so that a task's share doesn't grow with the input. Reducers and blocks are dealt evenly, not by a hash."""
+    parts = min(count, PARTITIONS)
+    if key == "block":  # a task's number and the block's within it
+        x = (F.shiftright("block", 32) + F.col("block").bitwiseAND(F.lit(0xFFFFFFFF)) * 1_000_003) * _GOLDEN
+        slot = F.floor((x - F.floor(x)) * parts)
+    else:
+        slot = F.col(key) % parts
+    return rows.withColumn("slot", slot.cast("int")).repartitionById(parts, F.col("slot"))
 
 
 def _block(number: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, _IDS) as out:
+    with pa.ipc.new_stream(sink, held[0].schema) as out:
         for batch in held:
             out.write_batch(batch)
-    raw = zstandard.ZstdCompressor(1).compress(sink.getvalue())
+    raw = zstandard.ZstdCompressor(3).compress(sink.getvalue())
     return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([raw], pa.binary())], names=["block", "docs"])
 
 
@@ -106,9 +122,10 @@ def sorted_unique(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
 def numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct keys in order, one place of each, and for each key its number among them."""
     order, first, unique = sorted_unique(keys)
-    size = np.diff(np.append(first, len(keys)))
-    number = np.empty(len(keys), np.int64)
-    number[order] = np.repeat(np.arange(len(unique)), size)
+    mark = np.zeros(len(keys), np.int32)
+    mark[first[1:]] = 1
+    number = np.empty(len(keys), np.int32)
+    number[order] = np.cumsum(mark, dtype=np.int32)
     return unique, order[first], number
 
 

@@ -38,6 +38,8 @@ from larkspur.llm import blocks as B
 from larkspur.llm import textkit as T
 
 ORDER, FOLDS, FOLD = 3, 5, 1
+#: Text of a block: a worker holds its n-grams of all lengths, some 30 times as many bytes.
+BLOCK_BYTES = 16 << 20
 #: How many tokens a shorter context counts for; `choose_mass` finds it on training documents (figures in the README).
 MASS = 800.0
 #: Tokens that one lane of the traversal reads; texts are cut into so many.
@@ -71,16 +73,23 @@ class Grams:
 
     def __init__(self, token: np.ndarray, first: np.ndarray, order: int):
         self.first = first
-        place = np.arange(len(token)) - np.repeat(first[:-1], np.diff(first))
         unique, _, self.token = B.numbered(token)
-        self.hash, self.prefix, self.suffix, self.last = [unique], [None], [None], [np.arange(len(unique))]
-        self.at, self.of = [np.flatnonzero(place > 0)], [self.token]  # an end that stands before a text isn't counted
-        kinds = max(1, len(unique))
+        self.hash, self.prefix, self.suffix, self.last = [unique], [None], [None], [None]
+        whole = np.ones(len(token), bool)
+        whole[first[:-1]] = False  # an end that stands before a text isn't counted
+        self.at, self.of = [np.flatnonzero(whole).astype(np.int32)], [self.token]
+        kinds = np.uint64(max(1, len(unique)))
         for k in range(2, order + 1):
-            at = np.flatnonzero(place >= k - 1)
+            if k > 2:
+                inside = first[:-1] + k - 2
+                whole[inside[inside < first[1:]]] = False
+            at = np.flatnonzero(whole).astype(np.int32)
             before = self.of[-1]
-            pair = before[at - 1].astype(np.uint64) * np.uint64(kinds) + self.token[at].astype(np.uint64)
+            pair = before[at - 1].astype(np.uint64)
+            pair *= kinds
+            pair += self.token[at].astype(np.uint64)
             _, sample, number = B.numbered(pair)
+            del pair
             sample = at[sample]
             prefix, last = before[sample - 1], self.token[sample]
             self.hash.append(T.mix((self.hash[-1][prefix] + np.uint64(k)) * _MIX ^ unique[last]))
@@ -88,7 +97,7 @@ class Grams:
             self.suffix.append(before[sample])
             self.last.append(last)
             self.at.append(at)
-            of = np.full(len(token), -1, np.int64)
+            of = np.full(len(token), -1, np.int32)
             of[at] = number
             self.of.append(of)
 
@@ -96,22 +105,26 @@ class Grams:
         """Hashes of the n-grams of all lengths in ascending order, and the order that sorts them."""
         every = np.concatenate(self.hash)
         order = np.argsort(every)
-        return every[order], order
+        return every[order], order.astype(np.int32)
 
     def by_length(self, values: np.ndarray) -> list[np.ndarray]:
         return np.split(values, np.cumsum([len(h) for h in self.hash])[:-1])
 
+    def forget(self) -> None:
+        """Drop what only counting needs."""
+        del self.hash, self.at, self.of
+
 
 class Arcs:
     """A table from (state, token) to an arc, in buckets of the hash space."""
 
     def __init__(self, state: np.ndarray, token: np.ndarray):
         key = self._key(state, token)
-        self.order = np.argsort(key)
+        self.order = np.argsort(key).astype(np.int32)
         self.key = key[self.order]
         bits = max(4, int(len(key)).bit_length())
         self.shift = np.uint64(64 - bits)
-        self.start = np.concatenate([[0], np.cumsum(np.bincount((self.key >> self.shift).astype(np.int64), minlength=1 << bits))])
+        self.start = np.concatenate([[0], np.cumsum(np.bincount((self.key >> self.shift).astype(np.int64), minlength=1 << bits))]).astype(np.int32)
 
     @staticmethod
     def _key(state: np.ndarray, token: np.ndarray) -> np.ndarray:
@@ -144,7 +157,7 @@ class Automaton:
         # states: 0 is the empty context; then, by length, the contexts that were seen
         state_of, n = [], 1
         for k in range(order - 1):
-            number = np.zeros(len(counts[k]), np.int64)
+            number = np.zeros(len(counts[k]), np.int32)
             seen = counts[k] > 0
             number[seen] = n + np.arange(int(seen.sum()))
             state_of.append(number)
@@ -156,7 +169,7 @@ class Automaton:
             self.fail_weight[s] = np.log10(mass / (counts[k][seen] + mass))
             if k:
                 self.fail_to[s] = state_of[k - 1][grams.suffix[k][seen]]
-        self.root_to = state_of[0] if order > 1 else np.zeros(len(p), np.int64)
+        self.root_to = state_of[0] if order > 1 else np.zeros(len(p), np.int32)
         source, token, weight, target = [], [], [], []
         lower = p
         for k in range(1, order):
@@ -169,8 +182,8 @@ class Automaton:
             target.append(state_of[k][seen] if k < order - 1 else state_of[k - 1][grams.suffix[k][seen]])
             lower = here
         join = lambda xs, t: np.concatenate([*xs, np.zeros(0, t)])
-        self.arcs = Arcs(join(source, np.int64), join(token, np.int64))
-        self.weight, self.target = join(weight, float), join(target, np.int64)
+        self.weight, self.target = join(weight, float), join(target, np.int32)
+        self.arcs = Arcs(join(source, np.int32), join(token, np.int32))
 
     def traverse(self, token: np.ndarray, first: np.ndarray) -> np.ndarray:
         """The weight of each token but the ends that stand before texts (0 there); lanes of `LANE` tokens are read side by side."""
@@ -217,41 +230,45 @@ def totals(docs: DataFrame, folds: int = FOLDS, fold: int = FOLD, id_col: str =
     """Training tokens and distinct ones among them, ends included."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
+    _, count = B.sizes(src)
+
     def run(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        from pyspark import TaskContext
+
+        task, held = TaskContext.get().partitionId(), []
         for part, texts in T.chunks(batches):
             train = ~held_out(part.column("doc_id").to_pylist(), folds, fold)
             w = T.words([x for x, t in zip(texts, train.tolist(), strict=True) if t], lower=True)
             keys = np.concatenate([w.hashes, np.full(int(train.sum()), _END)])
-            held.append(_summed([(keys, np.ones(len(keys), np.int64))]))
+            held.append(_summed([(keys, np.ones(len(keys), "<u8"))]))
             if sum(len(k) for k, _ in held) > VOCABULARY:
                 held = [_summed(held)]
             if len(held[0][0]) > VOCABULARY // 2:
-                yield from _counted(held.pop())
+                yield from B.outbox(task, count, *held.pop()).to_batches()
         if held:
-            yield from _counted(_summed(held))
+            yield from B.outbox(task, count, *_summed(held)).to_batches()
 
-    each = src.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-    row = each.agg(F.sum("n"), F.count("*")).head()
-    return row[0] or 0, row[1]
+    def add_up(table):
+        key, n, _ = B.inbox(table, "<u8")
+        return pa.table({"tokens": pa.array([int(n.sum())]), "kinds": pa.array([len(np.unique(key))])})
+
+    each = B.spread(src.mapInArrow(run, B.letters(1)), count, "reducer").groupBy("slot", "reducer").applyInArrow(add_up, "tokens long, kinds long")
+    row = each.agg(F.sum("tokens"), F.sum("kinds")).head()
+    return row[0] or 0, row[1] or 0
 
 
 def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and the sums of their numbers."""
     key, n = (np.concatenate(x) for x in zip(*parts, strict=True))
     order, first, unique = B.sorted_unique(key)
     return unique, np.add.reduceat(n[order], first) if len(first) else n
 
 
-def _counted(pair: tuple[np.ndarray, np.ndarray]):
-    table = pa.table([pa.array(pair[0].view(np.int64)), pa.array(pair[1])], names=["key", "n"])
-    return table.to_batches(max_chunksize=50_000)
-
-
-def score(docs: DataFrame, order: int = ORDER, mass: float = MASS, folds: int = FOLDS, fold: int = FOLD, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = T.BLOCK_BYTES) -> DataFrame:
+def score(docs: DataFrame, order: int = ORDER, mass: float = MASS, folds: int = FOLDS, fold: int = FOLD, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """A row for each document, training and held out."""
     train_tokens, kinds = totals(docs, folds, fold, id_col, text_col)
-    count = B.reducers(docs.select(id_col, text_col), block_bytes)
-    blocks = B.packed(docs, id_col, text_col, block_bytes)
+    block_bytes, count = B.sizes(docs.select(id_col, text_col), block_bytes)
+    blocks = B.packed(docs.withColumn(id_col, F.col(id_col).cast("long")), count, id_col, text_col, block_bytes)
 
     def ask(table):
         block, names, texts = B.unpacked(table)
@@ -278,6 +295,8 @@ def score(docs: DataFrame, order: int = ORDER, mass: float = MASS, folds: int =
         counts = np.empty(len(key), np.int64)
         counts[by] = B.answered(mail, "counts", "<u8", len(key)).astype(np.int64)
         counts = grams.by_length(counts)
+        grams.forget()
+        del key, by, token
         automaton = Automaton(grams, counts, train_tokens, kinds, mass)
         weight = automaton.traverse(grams.token, first)
         base, known = automaton.root_weight[grams.token], counts[0][grams.token] > 0
@@ -286,9 +305,10 @@ def score(docs: DataFrame, order: int = ORDER, mass: float = MASS, folds: int =
         cols = [names, pa.array(held_out(names.to_pylist(), folds, fold)), pa.array(np.diff(first) - 1), pa.array(T.sums(known, first)), pa.array(np.full(n, train_tokens)), *(pa.array(np.add.reduceat(x, first[:-1])) for x in (base, weight))]
         return pa.table(cols, names=[f.split()[0] for f in SCHEMA.split(", ")])
 
-    asked = blocks.groupBy("block").applyInArrow(ask, B.letters(1))
-    mail = asked.groupBy("reducer").applyInArrow(add_up, "block long, reducer int, counts binary")
-    return blocks.groupBy("block").cogroup(mail.groupBy("block")).applyInArrow(traverse, SCHEMA)
+    asked = blocks.groupBy("slot", "block").applyInArrow(ask, B.letters(1))
+    answers = B.spread(asked, count, "reducer").groupBy("slot", "reducer").applyInArrow(add_up, "block long, reducer int, counts binary")
+    mail = B.spread(answers, count, "block")
+    return blocks.groupBy("slot", "block").cogroup(mail.groupBy("slot", "block")).applyInArrow(traverse, SCHEMA)
 
 
 def choose_mass(docs: DataFrame, order: int = ORDER, candidates: tuple[float, ...] = (50.0, 200.0, 800.0, 3200.0), folds: int = FOLDS, fold: int = FOLD, id_col: str = "doc_id", text_col: str = "text") -> tuple[float, dict[float, float]]:

@@ -27,6 +27,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from larkspur.llm import blocks as B
 from larkspur.llm import textkit as T
@@ -93,8 +94,8 @@ def _ask(block: int, count: int, h: np.ndarray, docs: np.ndarray, last: bool, no
 def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = T.BLOCK_BYTES, first: int = FIRST) -> DataFrame:
     """A row for each document: n_words, n_removed, kept_sha256, and kept_text if asked for."""
     lengths = levels(window, first)
-    count = B.reducers(docs.select(id_col, text_col), block_bytes)
-    blocks = B.packed(docs, id_col, text_col, block_bytes)
+    block_bytes, count = B.sizes(docs.select(id_col, text_col), block_bytes)
+    blocks = B.packed(docs.withColumn(id_col, F.col(id_col).cast("long")), count, id_col, text_col, block_bytes)
 
     def start(table):
         block, names, texts = B.unpacked(table)
@@ -166,9 +167,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
         return pa.concat_tables(out)
 
     result = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    mail = blocks.groupBy("block").applyInArrow(start, _LETTERS).groupBy("reducer").applyInArrow(combine(len(lengths) == 1), _ANSWERS)
-    for level in range(1, len(lengths)):
-        asked = blocks.groupBy("block").cogroup(mail.groupBy("block")).applyInArrow(candidates(level), _LETTERS)
-        mail = asked.groupBy("reducer").applyInArrow(combine(level == len(lengths) - 1), _ANSWERS)
-    return blocks.groupBy("block").cogroup(mail.groupBy("block")).applyInArrow(results, result)
+    asked = blocks.groupBy("slot", "block").applyInArrow(start, _LETTERS)
+    for level in range(len(lengths)):
+        if level:
+            asked = blocks.groupBy("slot", "block").cogroup(mail.groupBy("slot", "block")).applyInArrow(candidates(level), _LETTERS)
+        answers = B.spread(asked, count, "reducer").groupBy("slot", "reducer").applyInArrow(combine(level == len(lengths) - 1), _ANSWERS)
+        mail = B.spread(answers, count, "block")
+    return blocks.groupBy("slot", "block").cogroup(mail.groupBy("slot", "block")).applyInArrow(results, result)
 

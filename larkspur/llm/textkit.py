@@ -117,23 +117,31 @@ def words(texts: list[bytes], kind: np.ndarray = SPACED, lower: bool = False, ha
     return out
 
 
+#: Masks that keep the first 0 to 8 bytes of a little-endian number.
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
 def hash_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes, the same in any chunk and process."""
-    length = ends - starts
-    h = length.astype(np.uint64) * _STEP
-    order = np.argsort(-length, kind="stable")
-    at, sorted_len = starts[order], -length[order]
-    acc = h[order]
-    k, live = 0, len(order)
+    """A 64-bit hash of each span, the same in any chunk and process. Spans are read eight bytes at a time."""
+    width = buf.dtype.itemsize
+    raw = np.concatenate([np.ascontiguousarray(buf).view(np.uint8), np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,))
+    at, left = starts * width, (ends - starts) * width
+    h = left.astype(np.uint64) * _STEP
+    live = None
     while True:
-        live = int(np.searchsorted(sorted_len[:live], -k, side="left"))
-        if not live:
-            break
-        acc[:live] = (acc[:live] ^ buf[at[:live] + k]) * _BYTE
-        acc[:live] ^= acc[:live] >> np.uint64(29)
-        k += 1
-    h[order] = acc
-    return mix(h)
+        value = eight[at] & _KEEP[np.minimum(left, 8)]
+        acc = ((h if live is None else h[live]) ^ value) * _BYTE
+        acc ^= acc >> np.uint64(29)
+        if live is None:
+            h = acc
+        else:
+            h[live] = acc
+        more = np.flatnonzero(left > 8)
+        if not len(more):
+            return mix(h)
+        live = more if live is None else live[more]
+        at, left = at[more] + 8, left[more] - 8
 
 
 def windows(w: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
