@@ -7,14 +7,17 @@ of benchmark items are joined; each hit is extended to the full window, which
 counts only if all of its words are those of an item's window. Items with fewer
 words than a window are one window of their own length.
 
-The benchmark's windows are sent to every task if they hold at most `max_broadcast`
-words; that is counted first. A larger benchmark is joined by shuffles, with the
-same result: fingerprints of documents to those of items, and the windows that
-remain to the documents that may hold them.
+The benchmark's windows are sent to every task if there are at most `max_broadcast`
+of them; that is counted first. Of a larger benchmark each block of documents (see
+blocks.py) gets the windows of the fingerprints that it holds, with the same result:
+it sends each of its fingerprints once, so a phrase that stands in every document is
+one entry for each block.
 
 Null or empty texts have no words: no hits, no windows. Rows without item_id are
 left out. Repeated items and repeated documents are judged row by row; an item_id
-counts once. An empty benchmark gives n_hit 0 everywhere.
+counts once. An empty benchmark gives n_hit 0 everywhere, an empty table no rows. A very
+long text is judged whole. Other columns, whatever their names, are ignored by `flag`
+and passed through by `clean`.
 """
 
 from __future__ import annotations
@@ -27,10 +30,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm import blocks as B
+from larkspur.llm import shared
 from larkspur.llm import textkit as T
 
 WINDOW, GRAM = 10, 5
-MAX_BROADCAST_WORDS = 2_000_000
+#: Windows that are sent to every task, 50 to 60 bytes each in the driver and in a task.
+MAX_BROADCAST_WINDOWS = 1_000_000
 
 
 def _parsed(texts: list[bytes]) -> T.Words:
@@ -59,16 +65,19 @@ def item_windows(w: T.Words, window: int, gram: int) -> Iterator[tuple[int, int,
 class Index:
     """Windows of items by length, with the items of each."""
 
-    def __init__(self, rows: list[tuple[str, int, int, int]]):
-        """rows: (item, length, window hash, fingerprint)"""
-        self.items = sorted({r[0] for r in rows})
-        number = {x: i for i, x in enumerate(self.items)}
-        self.prints = T.Members(np.unique(np.array([r[3] for r in rows], np.uint64)))
+    def __init__(self, rows: pa.Table):
+        """rows: item, len, win, fp"""
+        names = rows.column("item").combine_chunks().dictionary_encode()
+        self.items = names.dictionary.to_pylist()
+        number, length = names.indices.to_numpy(), rows.column("len").to_numpy()
+        win, fp = (rows.column(c).to_numpy().view(np.uint64) for c in ("win", "fp"))
+        self.prints = T.Members(np.unique(fp))
         self.by_length = {}
-        for n in sorted({r[1] for r in rows}):
-            pairs = np.unique(np.array([(r[2], number[r[0]]) for r in rows if r[1] == n], np.uint64), axis=0)
-            keys, first = np.unique(pairs[:, 0], return_index=True)
-            self.by_length[n] = (T.Members(keys), np.append(first, len(pairs)), pairs[:, 1].astype(np.int64))
+        for n in np.unique(length).tolist():
+            mine = np.flatnonzero(length == n)
+            mine = mine[np.lexsort((number[mine], win[mine]))]
+            keys, first = np.unique(win[mine], return_index=True)
+            self.by_length[n] = (T.Members(keys), np.append(first, len(mine)), number[mine].astype(np.int64))
 
 
 def hits(w: T.Words, index: Index, window: int, gram: int) -> tuple[np.ndarray, list[set[str]]]:
@@ -126,15 +135,21 @@ def benchmark_windows(bench: DataFrame, window: int = WINDOW, gram: int = GRAM,
     return src.mapInArrow(run, "item string, len int, win long, fp long").distinct()
 
 
-def flag(docs: DataFrame, bench: DataFrame, window: int = WINDOW, gram: int = GRAM, max_broadcast: int = MAX_BROADCAST_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _small(wins: DataFrame, bound: int):
+    """The index of at most `bound` windows as a broadcast, else None. They are counted before any reaches the driver."""
+    if wins.count() > bound:
+        return None
+    return wins.sparkSession.sparkContext.broadcast(Index(wins.toArrow()))
+
+
+def flag(docs: DataFrame, bench: DataFrame, window: int = WINDOW, gram: int = GRAM, max_broadcast: int = MAX_BROADCAST_WINDOWS, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = T.BLOCK_BYTES) -> DataFrame:
     """A row for each document: words, hit words, the items whose windows occur."""
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
     wins = benchmark_windows(bench, window, gram)
-    held = wins.limit(max_broadcast + 1).collect()
-    if len(held) > max_broadcast:
-        return _flag_by_join(src, wins, window, gram, kind)
-    index = src.sparkSession.sparkContext.broadcast(Index([(r.item, r.len, *_unsigned(r.win, r.fp)) for r in held]))
+    index = _small(wins, max_broadcast)
+    if index is None:
+        return _flag_by_blocks(src, wins, window, gram, kind, block_bytes)
 
     def run(batches):
         for part, texts in T.chunks(batches):
@@ -144,15 +159,16 @@ def flag(docs: DataFrame, bench: DataFrame, window: int = WINDOW, gram: int = GR
     return src.mapInArrow(run, _out(kind))
 
 
-def clean(docs: DataFrame, bench: DataFrame, window: int = WINDOW, gram: int = GRAM, max_broadcast: int = MAX_BROADCAST_WORDS, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
+def clean(docs: DataFrame, bench: DataFrame, window: int = WINDOW, gram: int = GRAM, max_broadcast: int = MAX_BROADCAST_WINDOWS, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """The documents without any benchmark window, with all columns. Up to the bound each task drops them as it reads."""
     wins = benchmark_windows(bench, window, gram, id_col=id_col)
-    held = wins.limit(max_broadcast + 1).collect()
-    if len(held) > max_broadcast:
-        keyed = docs.select(F.xxhash64(text_col).alias("_text"), F.col(text_col).alias("text")).dropDuplicates(["_text"])
-        bad = flag(keyed, bench, window, gram, max_broadcast, id_col="_text").where("contaminated").select(F.col("doc_id").alias("_text"))
-        return docs.join(bad, F.xxhash64(docs[text_col]) == bad["_text"], "left_anti")
-    index = docs.sparkSession.sparkContext.broadcast(Index([(r.item, r.len, *_unsigned(r.win, r.fp)) for r in held]))
+    index = _small(wins, max_broadcast)
+    if index is None:
+        name = next(f"text_{i}" for i in range(len(docs.columns) + 1) if f"text_{i}" not in docs.columns)
+        keyed = docs.select(F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text")).dropDuplicates(["h", "text"])
+        bad = flag(keyed, bench, window, gram, max_broadcast, id_col="h").where("contaminated").select(F.col("doc_id").alias(name)).distinct()
+        bad = shared.saved(bad, "contaminated")
+        return docs.join(bad, F.xxhash64(docs[text_col]) == bad[name], "left_anti")
     src = docs.withColumn(text_col, F.col(text_col).cast("string"))
 
     def run(batches):
@@ -164,43 +180,66 @@ def clean(docs: DataFrame, bench: DataFrame, window: int = WINDOW, gram: int = G
     return src.mapInArrow(run, src.schema)
 
 
-def _unsigned(*values: int) -> list[int]:
-    return [v & 0xFFFFFFFFFFFFFFFF for v in values]
-
-
-def _flag_by_join(src: DataFrame, wins: DataFrame, window: int, gram: int, kind: str) -> DataFrame:
-    """The same by shuffles. Lengths of short windows are at most window - 1, so their list is small."""
-    keyed = src.withColumn("row", F.struct(F.xxhash64("doc_id", "text").alias("h"), F.coalesce(F.length("text"), F.lit(0)).alias("n"))).dropDuplicates(["doc_id", "row"])
+def _flag_by_blocks(src: DataFrame, wins: DataFrame, window: int, gram: int, kind: str, block_bytes: int) -> DataFrame:
+    """The same for a benchmark of any size. Lengths of short windows are at most window - 1, so their list is small."""
     lengths = [r.len for r in wins.where(F.col("len") < window).select("len").distinct().collect()]
-
-    def prints(batches):
-        for part, texts in T.chunks(batches):
-            w = _parsed(texts)
-            at, fp = fingerprints(w, window, gram)
-            pairs = [np.stack([w.doc[at].astype(np.uint64), fp], axis=1)]
+    block_bytes, count = B.sizes(src, block_bytes)
+    blocks = B.packed(src, count, "doc_id", "text", block_bytes)
+
+    def ask(table):
+        block, _, texts = B.unpacked(table)
+        prints = []
+        for _, some in B.pieces(texts):
+            w = _parsed(some)
+            keys = [fingerprints(w, window, gram)[1]]
             for n in lengths:
                 h, within = T.windows(w, n)
-                pairs.append(np.stack([w.doc[: len(h)][within].astype(np.uint64), h[within]], axis=1))
-            pairs = np.unique(np.concatenate(pairs), axis=0)
-            rows = part.take(pa.array(pairs[:, 0].astype(np.int64)))
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), rows.column("row"), pa.array(pairs[:, 1].copy().view(np.int64))], names=["doc_id", "row", "fp"])
-
-    row = keyed.schema["row"].dataType.simpleString()
-    candidates = (
-        keyed.mapInArrow(prints, f"doc_id {kind}, row {row}, fp long")
-        .join(wins, "fp")
-        .groupBy("doc_id", "row")
-        .agg(F.collect_set(F.struct("item", "len", "win", "fp")).alias("wins"))
-        .select(F.col("doc_id").alias("of"), F.col("row").alias("of_row"), "wins")
-    )
-    both = src.withColumn("row", F.struct(F.xxhash64("doc_id", "text").alias("h"), F.coalesce(F.length("text"), F.lit(0)).alias("n"))).join(candidates, F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("row") == F.col("of_row")), "left").select("doc_id", "text", "wins")
-
-    def run(batches):
-        for part, texts in T.chunks(batches):
-            for i, text in enumerate(texts):
-                w = _parsed([text])
-                wins = part.column("wins")[i].as_py() or []
-                index = Index([(r["item"], r["len"], *_unsigned(r["win"], r["fp"])) for r in wins])
-                yield _rows(part.slice(i, 1), w, *hits(w, index, window, gram), [])
-
-    return both.mapInArrow(run, _out(kind))
+                keys.append(h[within])
+            prints.append(np.unique(np.concatenate(keys)))
+        return B.outbox(block, count, np.unique(np.concatenate(prints)))
+
+    def answer(key, table, owned):
+        """To each block, the benchmark's windows whose fingerprints it has."""
+        fps = owned.column("fp").to_numpy().view(np.uint64)
+        order = np.argsort(fps, kind="stable")
+        owned, fps = owned.take(pa.array(order)).select(["item", "len", "win", "fp"]), fps[order]
+        to, told = [], []
+        for block, raw in zip(table.column("block").to_pylist(), table.column("keys").to_pylist(), strict=True):
+            low, high = (np.searchsorted(fps, B.unpack_keys(raw), side) for side in ("left", "right"))
+            size = high - low
+            rows = np.repeat(low - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            if len(rows):
+                to.append(block)
+                told.append(_sealed(owned.take(pa.array(rows))))
+        return pa.table([pa.array(to, pa.int64()), pa.array(told, pa.binary())], names=["block", "windows"])
+
+    def result(table, mail):
+        _, names, texts = B.unpacked(table)
+        told = [_opened(x) for x in mail.column("windows").to_pylist()] if mail.num_rows else []
+        index = Index(pa.concat_tables(told) if told else _NO_WINDOWS)
+        out = []
+        for at, some in B.pieces(texts):
+            w = _parsed(some)
+            part = pa.RecordBatch.from_arrays([names.slice(at, len(some))], names=["doc_id"])
+            out.append(_rows(part, w, *hits(w, index, window, gram), []))
+        return pa.Table.from_batches(out)
+
+    asked = B.spread(blocks.groupBy("slot", "block").applyInArrow(ask, B.letters(0)), count, "reducer")
+    owner = F.floor(F.shiftright(F.shiftrightunsigned("fp", 32) * F.lit(count), 32)).cast("int")
+    owned = B.spread(wins.select("item", "len", "win", "fp", owner.alias("reducer")), count, "reducer")
+    answers = asked.groupBy("slot", "reducer").cogroup(owned.groupBy("slot", "reducer")).applyInArrow(answer, "block long, windows binary")
+    return blocks.groupBy("slot", "block").cogroup(B.spread(answers, count, "block").groupBy("slot", "block")).applyInArrow(result, _out(kind))
+
+
+_NO_WINDOWS = pa.table({"item": pa.array([], pa.string()), "len": pa.array([], pa.int32()), "win": pa.array([], pa.int64()), "fp": pa.array([], pa.int64())})
+
+
+def _sealed(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _opened(raw: bytes) -> pa.Table:
+    return pa.ipc.open_stream(raw).read_all().cast(_NO_WINDOWS.schema)
