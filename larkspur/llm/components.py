@@ -15,14 +15,19 @@ from pyspark.sql import functions as F
 from larkspur.llm import shared
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+#: Links beyond which each node's least neighbour is written before it is joined, so that both sides are shuffled and hot nodes split.
+SPLIT = 5_000_000
+
+
+def _star(edges: DataFrame, large: bool, split: bool) -> DataFrame:
     """edges: (u, v) in one direction, u > v."""
+    hold = (lambda df: shared.saved(df, "least")) if split else (lambda df: df)
     if large:  # every node looks at all neighbours
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = hold(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         out = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:  # every node looks at its smaller neighbours
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
+        least = hold(edges.groupBy("u").agg(F.min("v").alias("m")))
         out = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
         out = out.unionByName(least.select("u", F.col("m").alias("v")))
     return out.distinct()
@@ -35,10 +40,14 @@ def components(edges: DataFrame) -> DataFrame:
     now = shared.saved(now, "links")
     mark = None
     while True:
-        now = shared.saved(_star(_star(now, True), False), "links")
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
         if tuple(seen) == mark:
             break
-        mark = tuple(seen)
+        mark, before = tuple(seen), now
+        split = seen[0] > SPLIT
+        large = _star(now, True, split)
+        large = shared.saved(large, "links") if split else large
+        now = shared.saved(_star(large, False, split), "links")
+        shared.drop(before)
     root = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return root.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

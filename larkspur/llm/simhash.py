@@ -273,9 +273,11 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def chosen(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The representatives of the components in `found` (doc_id, component_id, fp, text_hash)."""
+    of, text, copies = shared.unused(docs.columns, "of", "of_text", "copies")
     own = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("fp")).alias("nameless"))
-    first = shared.saved(own.agg(F.min("text_hash").alias("_hash"), F.count("*").alias("_copies")).select(F.col("doc_id").alias("_first"), "_hash", "_copies"), "first")
-    out = docs.join(first, docs[id_col].cast("long").eqNullSafe(F.col("_first")) & (F.xxhash64(docs[text_col]) == F.col("_hash")))
-    if first.where("_copies > 1").head(1):
-        out = out.where("_copies = 1").unionByName(out.where("_copies > 1").dropDuplicates(["_first", "_hash"]))
-    return out.select(*(out[c] for c in docs.columns))
+    first = own.agg(F.min("text_hash").alias(text), F.count("*").alias(copies)).select(F.col("doc_id").alias(of), text, copies)
+    first = shared.saved(first, "first")
+    out = docs.join(first, docs[id_col].cast("long").eqNullSafe(first[of]) & (F.xxhash64(docs[text_col]) == first[text]))
+    if first.where(F.col(copies) > 1).head(1):
+        out = out.where(F.col(copies) == 1).unionByName(out.where(F.col(copies) > 1).dropDuplicates([of, text]))
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -65,12 +65,13 @@ def _flow(edges: DataFrame, seeds: DataFrame, damping: float) -> DataFrame:
     What still moves, m, can add at most m * damping / (1 - damping) to all hosts together, and m shrinks by `damping` a round at
     least; so rounds end by themselves, after a number that grows with the logarithm of the seeds.
     """
-    state = seeds.select("host", "score", F.col("score").alias("moving"))
+    state = shared.saved(seeds.select("host", "score", F.col("score").alias("moving")), "flow")
     while True:
         sent = state.where("moving > 0").join(edges, F.col("host") == edges.src).groupBy("dst").agg(F.sum(F.col("moving") * F.col("share") * damping).alias("sent"))
         kept = state.select("host", "score", F.lit(0.0).alias("moving"))
         both = kept.unionByName(sent.select(F.col("dst").alias("host"), F.col("sent").alias("score"), F.col("sent").alias("moving")))
-        state = shared.saved(both.groupBy("host").agg(F.sum("score").alias("score"), F.sum("moving").alias("moving")), "flow")
+        before, state = state, shared.saved(both.groupBy("host").agg(F.sum("score").alias("score"), F.sum("moving").alias("moving")), "flow")
+        shared.drop(before)
         left = state.agg(F.sum("moving")).head()[0] or 0.0
         if left * damping / (1 - damping) < SETTLED:
             return state.select("host", "score")

@@ -98,7 +98,9 @@ def test_plan_keeps_the_pigeonhole(n, distance, seed):
     assert sum(radii) == distance - len(parts) + 1 and min(radii) >= -1
 
 
-def test_components(spark):
+@pytest.mark.parametrize("split", [0, 5_000_000])
+def test_components(spark, monkeypatch, split):
+    monkeypatch.setattr(components, "SPLIT", split)
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(60)] + [(rng.randint(100, 400), rng.randint(100, 400)) for _ in range(200)] + [(500, 600 + i) for i in range(50)] + [(7, 7)]
     roots = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "x long, y long")).collect()}
@@ -115,3 +117,9 @@ def test_components(spark):
             parent[y] = x
     assert roots == {n: root(n) for n in parent}
     assert components.components(spark.createDataFrame([], "x long, y long")).count() == 0
+
+
+def test_representatives_with_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", 1, 2, 3, 4), (2, "a b c d e f", 5, 6, 7, 8), (3, "z", 9, 9, 9, 9), (3, "z", 9, 9, 9, 9)], "doc_id long, text string, _first int, of int, _copies int, of_text int")
+    got = simhash.representatives(docs)
+    assert got.columns == docs.columns and sorted(tuple(r) for r in got.collect()) == [(1, "a b c d e f", 1, 2, 3, 4), (3, "z", 9, 9, 9, 9)]
