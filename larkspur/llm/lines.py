@@ -116,10 +116,11 @@ def removals(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     halves = classes.where("k0 IS NOT NULL").select("h", F.posexplode(F.array(*(F.col(f"k{i}") for i in range(4)))).alias("code", "key"))
     codes = _shared(halves).groupBy("h").agg(*(F.max(F.col("code") == c).alias(f"c{c}") for c in range(4)))
     wanted = codes.join(classes.where("k0 IS NOT NULL").select("h", "h2", "first"), "h").select("h", "h2", "first", F.array(*(F.col(f"c{c}") for c in range(4))).alias("codes"))
-    wanted = shared.saved(wanted, "lines")
+    # both sides of these joins grow with the corpus, so they are shuffled at every size
+    wanted = shared.saved(wanted, "lines").hint("merge")
     texts = shared.saved(lines.select("h", "h2", "at", "line").join(wanted, ["h", "h2"]).where("at = first").dropDuplicates(["h"]).select("h", "h2", "first", "codes", "line"), "lines")
     best = classes.select("h", "h2", "first", "n").join(_neighbours(texts), ["h", "h2"], "left").where("n > 1 OR earlier IS NOT NULL").select("h", "h2", "first", F.coalesce(F.least("first", "earlier"), F.col("first")).alias("best"))
-    best = shared.saved(best, "lines")
+    best = shared.saved(best, "lines").hint("merge")
     gone = lines.select("doc_id", "text_hash", "no", "h", "h2", "at").join(best, ["h", "h2"]).where("best < at")
     return gone.groupBy(F.col("doc_id").alias("of"), F.col("text_hash").alias("of_text")).agg(F.array_sort(F.collect_set("no")).alias("lines"), F.collect_set(F.when(F.col("first") == F.col("at"), F.col("no"))).alias("near")).withColumn("near", F.size("near"))
 
