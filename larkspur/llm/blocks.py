@@ -92,6 +92,22 @@ def _block(number: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([raw], pa.binary())], names=["block", "docs"])
 
 
+def tidy(f):
+    """The function of one or two tables, after which a worker hands back the memory it took."""
+
+    def one(table):
+        out = f(table)
+        T.trim()
+        return out
+
+    def two(left, right):
+        out = f(left, right)
+        T.trim()
+        return out
+
+    return one if f.__code__.co_argcount == 1 else two
+
+
 def unpacked(table: pa.Table) -> tuple[int, pa.Array, list[bytes]]:
     """The block's number, its document ids and its texts."""
     block, raw = table.column("block")[0].as_py(), table.column("docs")[0].as_py()

@@ -198,7 +198,7 @@ def _flag_by_blocks(src: DataFrame, wins: DataFrame, window: int, gram: int, kin
             prints.append(np.unique(np.concatenate(keys)))
         return B.outbox(block, count, np.unique(np.concatenate(prints)))
 
-    def answer(key, table, owned):
+    def answer(table, owned):
         """To each block, the benchmark's windows whose fingerprints it has."""
         fps = owned.column("fp").to_numpy().view(np.uint64)
         order = np.argsort(fps, kind="stable")
@@ -224,11 +224,11 @@ def _flag_by_blocks(src: DataFrame, wins: DataFrame, window: int, gram: int, kin
             out.append(_rows(part, w, *hits(w, index, window, gram), []))
         return pa.Table.from_batches(out)
 
-    asked = B.spread(blocks.groupBy("slot", "block").applyInArrow(ask, B.letters(0)), count, "reducer")
+    asked = B.spread(blocks.groupBy("slot", "block").applyInArrow(B.tidy(ask), B.letters(0)), count, "reducer")
     owner = F.floor(F.shiftright(F.shiftrightunsigned("fp", 32) * F.lit(count), 32)).cast("int")
     owned = B.spread(wins.select("item", "len", "win", "fp", owner.alias("reducer")), count, "reducer")
-    answers = asked.groupBy("slot", "reducer").cogroup(owned.groupBy("slot", "reducer")).applyInArrow(answer, "block long, windows binary")
-    return blocks.groupBy("slot", "block").cogroup(B.spread(answers, count, "block").groupBy("slot", "block")).applyInArrow(result, _out(kind))
+    answers = asked.groupBy("slot", "reducer").cogroup(owned.groupBy("slot", "reducer")).applyInArrow(B.tidy(answer), "block long, windows binary")
+    return blocks.groupBy("slot", "block").cogroup(B.spread(answers, count, "block").groupBy("slot", "block")).applyInArrow(B.tidy(result), _out(kind))
 
 
 _NO_WINDOWS = pa.table({"item": pa.array([], pa.string()), "len": pa.array([], pa.int32()), "win": pa.array([], pa.int64()), "fp": pa.array([], pa.int64())})

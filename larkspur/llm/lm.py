@@ -252,7 +252,7 @@ def totals(docs: DataFrame, folds: int = FOLDS, fold: int = FOLD, id_col: str =
         key, n, _ = B.inbox(table, "<u8")
         return pa.table({"tokens": pa.array([int(n.sum())]), "kinds": pa.array([len(np.unique(key))])})
 
-    each = B.spread(src.mapInArrow(run, B.letters(1)), count, "reducer").groupBy("slot", "reducer").applyInArrow(add_up, "tokens long, kinds long")
+    each = B.spread(src.mapInArrow(run, B.letters(1)), count, "reducer").groupBy("slot", "reducer").applyInArrow(B.tidy(add_up), "tokens long, kinds long")
     row = each.agg(F.sum("tokens"), F.sum("kinds")).head()
     return row[0] or 0, row[1] or 0
 
@@ -305,10 +305,10 @@ def score(docs: DataFrame, order: int = ORDER, mass: float = MASS, folds: int =
         cols = [names, pa.array(held_out(names.to_pylist(), folds, fold)), pa.array(np.diff(first) - 1), pa.array(T.sums(known, first)), pa.array(np.full(n, train_tokens)), *(pa.array(np.add.reduceat(x, first[:-1])) for x in (base, weight))]
         return pa.table(cols, names=[f.split()[0] for f in SCHEMA.split(", ")])
 
-    asked = blocks.groupBy("slot", "block").applyInArrow(ask, B.letters(1))
-    answers = B.spread(asked, count, "reducer").groupBy("slot", "reducer").applyInArrow(add_up, "block long, reducer int, counts binary")
+    asked = blocks.groupBy("slot", "block").applyInArrow(B.tidy(ask), B.letters(1))
+    answers = B.spread(asked, count, "reducer").groupBy("slot", "reducer").applyInArrow(B.tidy(add_up), "block long, reducer int, counts binary")
     mail = B.spread(answers, count, "block")
-    return blocks.groupBy("slot", "block").cogroup(mail.groupBy("slot", "block")).applyInArrow(traverse, SCHEMA)
+    return blocks.groupBy("slot", "block").cogroup(mail.groupBy("slot", "block")).applyInArrow(B.tidy(traverse), SCHEMA)
 
 
 def choose_mass(docs: DataFrame, order: int = ORDER, candidates: tuple[float, ...] = (50.0, 200.0, 800.0, 3200.0), folds: int = FOLDS, fold: int = FOLD, id_col: str = "doc_id", text_col: str = "text") -> tuple[float, dict[float, float]]:

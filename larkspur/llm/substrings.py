@@ -167,11 +167,11 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, with_text: bool = Fals
         return pa.concat_tables(out)
 
     result = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    asked = blocks.groupBy("slot", "block").applyInArrow(start, _LETTERS)
+    asked = blocks.groupBy("slot", "block").applyInArrow(B.tidy(start), _LETTERS)
     for level in range(len(lengths)):
         if level:
-            asked = blocks.groupBy("slot", "block").cogroup(mail.groupBy("slot", "block")).applyInArrow(candidates(level), _LETTERS)
-        answers = B.spread(asked, count, "reducer").groupBy("slot", "reducer").applyInArrow(combine(level == len(lengths) - 1), _ANSWERS)
+            asked = blocks.groupBy("slot", "block").cogroup(mail.groupBy("slot", "block")).applyInArrow(B.tidy(candidates(level)), _LETTERS)
+        answers = B.spread(asked, count, "reducer").groupBy("slot", "reducer").applyInArrow(B.tidy(combine(level == len(lengths) - 1)), _ANSWERS)
         mail = B.spread(answers, count, "block")
-    return blocks.groupBy("slot", "block").cogroup(mail.groupBy("slot", "block")).applyInArrow(results, result)
+    return blocks.groupBy("slot", "block").cogroup(mail.groupBy("slot", "block")).applyInArrow(B.tidy(results), result)
 

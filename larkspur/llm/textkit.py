@@ -17,7 +17,7 @@ import pyarrow as pa
 
 CHUNK_BYTES = 4 << 20
 #: Bytes of text that one block of documents should hold.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 
 _SPACE = np.ones(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = False
