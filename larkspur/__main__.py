@@ -17,11 +17,27 @@ def arguments(argv: list[str]) -> argparse.Namespace:
     p.add_argument("--master")
     p.add_argument("--overlay", help="a YAML file that declares fields")
     sub = p.add_subparsers(dest="command", required=True)
-    for name in ("status", "info", "orphans", "doctor", "chunks", "tree", "clusters", "modules", "module-status"):
+    for name in ("status", "info", "orphans", "doctor", "chunks", "tree", "clusters", "modules", "module-status", "config"):
         sub.add_parser(name)
+    init = sub.add_parser("init", help="write a configuration with all settings at their defaults")
+    init.add_argument("--force", action="store_true")
     i = sub.add_parser("ingest")
     i.add_argument("--reindex", action="store_true")
     i.add_argument("--preview", action="store_true")
+    i.add_argument("--file", help="only this document")
+    for kind, place in (("shards", "path"), ("topics", "description")):
+        t = sub.add_parser(kind).add_subparsers(dest="action", required=True)
+        t.add_parser("list")
+        for action in ("add", "update", "remove", "assign") if kind == "topics" else ("add", "update", "remove"):
+            q = t.add_parser(action)
+            if action != "assign":
+                q.add_argument("name")
+            if action in ("add", "update"):
+                q.add_argument(f"--{place}")
+            if action == "update" and kind == "shards":
+                q.add_argument("--rename")
+            if kind == "topics" and action in ("add", "update"):
+                q.add_argument("--threshold", type=float)
     s = sub.add_parser("search")
     s.add_argument("query")
     s.add_argument("--mode", default="hybrid")
@@ -59,7 +75,33 @@ def run(a: argparse.Namespace, spark) -> dict[str, DataFrame]:
     overlay = load_overlay(open(a.overlay).read()) if a.overlay else []
     c = Collection(spark, a.root, a.store or f"{a.root.rstrip('/')}/.larkspur", config.load(os.path.join(a.root, ".larkspur.yml")), overlay=overlay)
     if a.command == "ingest":
-        return {"changes": c.preview() if a.preview else c.ingest(a.reindex)}
+        return {"changes": c.preview() if a.preview else c.ingest(a.reindex, a.file)}
+    if a.command in ("config", "init"):
+        if a.command == "init":
+            path = os.path.join(a.root, ".larkspur.yml")
+            if os.path.exists(path) and not a.force:
+                raise FileExistsError(f"{path} is there already")
+            with open(path, "w") as out:
+                out.write(config.dump(config.Config()))
+        rows = [(k, json.dumps(v)) for k, v in vars(c.config).items()]
+        return {"settings": spark.createDataFrame(rows, "name string, value string")}
+    if a.command == "shards":
+        if a.action == "add":
+            c.add_shard(a.name, a.path or "")
+        elif a.action == "update":
+            c.update_shard(a.name, a.path, a.rename)
+        elif a.action == "remove":
+            c.remove_shard(a.name)
+        return {"shards": c.shard_table()}
+    if a.command == "topics":
+        if a.action == "assign":
+            assigned, rest = c.topics(c.topic_definitions())
+            return {"assigned": assigned, "unassigned": rest}
+        if a.action in ("add", "update"):
+            c.set_topic(a.name, a.description, a.threshold, new=a.action == "add")
+        elif a.action == "remove":
+            c.remove_topic(a.name)
+        return {"topics": c.topic_table()}
     if a.command == "search":
         return {"results": c.search(a.query, mode=a.mode, limit=a.limit, scope=a.path, filters=a.filter, min_score=a.min_score, boost_links=a.boost_links)}
     if a.command == "collection":

@@ -14,10 +14,11 @@ from larkspur.operators import clustering, derived, doctor, graph, ingest, shard
 from larkspur.operators import collection as tables
 from larkspur.operators import schema as schemas
 from larkspur.operators import search as searching
-from larkspur.sources import embedding, markdown
-from larkspur.sources.vault import Store, discover
+from larkspur.sources import embedding
+from larkspur.sources.vault import Store, ignore_lines
 from larkspur.streaming import watch
 
+TOPICS = "topic string, description string, threshold double, seeds array<string>"
 COMPUTED = "path string, field string, value string, code string, message string"
 
 
@@ -26,7 +27,66 @@ class Collection:
 
     def __init__(self, spark: SparkSession, root: str, store: str, config: Config = Config(), provider: embedding.Provider | None = None, overlay: list[schemas.Field] | None = None, shard_list: list[shards.Shard] | None = None):
         self.spark, self.root, self.store, self.config, self.provider = spark, root.rstrip("/"), Store(spark, store), config.checked(), provider
-        self.overlay, self.shards = overlay or [], shards.Shards(shard_list)
+        self.overlay, self.shards = overlay or [], shards.Shards(shard_list if shard_list is not None else self._stored_shards())
+
+    # --- shards and topics: short declared lists, kept in the store
+
+    def _stored_shards(self) -> list[shards.Shard]:
+        found = self.store.read("shards")
+        return [shards.Shard(r.id, r.name, r.path) for r in found.collect()] if found is not None else []
+
+    def _keep_shards(self) -> None:
+        self.store.write(shards=self.spark.createDataFrame([(s.id, s.name, s.path) for s in self.shards.list()], "id string, name string, path string"))
+
+    def add_shard(self, name: str, path: str) -> shards.Shard:
+        out = self.shards.add(name, path)
+        self._keep_shards()
+        return out
+
+    def update_shard(self, id: str, path: str | None = None, rename: str | None = None) -> shards.Shard:
+        if path:
+            self.shards.retarget(id, path)
+        if rename:
+            self.shards.update(id, rename)
+        self._keep_shards()
+        return self.shards.get(id)
+
+    def remove_shard(self, id: str) -> None:
+        self.shards.remove(id)
+        self._keep_shards()
+
+    def shard_table(self) -> DataFrame:
+        """(shard, name, scope, parent), with the number of files."""
+        table = self.shards.table(self.spark)
+        return table.join(shards.counts(self._table("files"), table), "shard").orderBy("scope")
+
+    def topic_table(self) -> DataFrame:
+        """(topic, description, threshold, seeds): the declared topics; seeds are paths of documents."""
+        found = self.store.read("topics")
+        return self.spark.createDataFrame([], TOPICS) if found is None else found.orderBy("topic")
+
+    def set_topic(self, topic: str, description: str | None = None, threshold: float | None = None, seeds: tuple[str, ...] | None = None, new: bool = False) -> None:
+        """Declare a topic, or with new=False change what is given of it."""
+        known = {r.topic: r for r in self.topic_table().collect()}
+        if new == (topic in known):
+            raise ValueError(f"topic {topic!r} is {'taken' if new else 'unknown'}")
+        old = known.get(topic)
+        pick = lambda now, name: now if now is not None or old is None else old[name]
+        known[topic] = (topic, pick(description, "description"), pick(threshold, "threshold"), list(pick(seeds, "seeds") or []))
+        self.store.write(topics=self.spark.createDataFrame([tuple(r) for r in known.values()], TOPICS))
+
+    def remove_topic(self, topic: str) -> None:
+        left = [tuple(r) for r in self.topic_table().collect() if r.topic != topic]
+        self.store.write(topics=self.spark.createDataFrame(left, TOPICS))
+
+    def topic_definitions(self) -> DataFrame:
+        """The declared topics with the vectors of their descriptions and seeds, for `topics`."""
+        declared = self.topic_table()
+        described = self.settings().embed(declared.select("topic", F.col("description").alias("content"), "threshold", "seeds"), "content")
+        means = self.document_vectors()
+        seeds = declared.select("topic", F.explode("seeds").alias("path")).join(means, "path").groupBy("topic").agg(F.collect_list("vector").alias("seed_vectors"))
+        text = F.when(F.col("content").isNotNull(), F.col("vector"))
+        return described.select("topic", text.alias("description_vector"), "threshold").join(seeds, "topic", "left")
 
     # --- tables
 
@@ -45,7 +105,7 @@ class Collection:
     def index(self) -> searching.Index:
         mentions = self._table("mentions").select("edge_id", "source", "target", F.col("paragraph").alias("context"))
         vectors = self._table("vectors").select("chunk_id", "vector")
-        return searching.Index(self._table("chunks").drop("path").join(self._table("chunks").select("chunk_id", "path"), "chunk_id"), vectors, self.files(), self._table("links"), mentions, self._table("edge_vectors").select("edge_id", "vector"))
+        return searching.Index(self._table("chunks").drop("path").join(self._table("chunks").select("chunk_id", "path"), "chunk_id"), vectors, self.files(), self._table("links"), mentions, self._table("edge_vectors").select("edge_id", "vector"), self._table("terms"))
 
     def document_vectors(self) -> DataFrame:
         """(path, vector): mean of a document's chunks."""
@@ -56,26 +116,31 @@ class Collection:
 
     # --- writing
 
+    def settings(self) -> ingest.Settings:
+        """What the configuration says about taking documents in."""
+        c = self.config
+        ignored = tuple(ignore_lines(self.spark, self.root)) if c.ignore_files else ()
+        return ingest.Settings(self.provider, c.embedding_dims, c.embedding_batch, c.source_dirs, c.ignore_patterns, ignored, c.chunk_max_tokens, c.chunk_overlap_tokens)
+
     def parsed(self) -> DataFrame:
-        return markdown.parse(discover(self.spark, self.root, list(self.config.source_dirs), list(self.config.ignore_patterns)))
+        return ingest.parsed(self.spark, self.root, self.settings())
 
-    def ingest(self, full: bool = False) -> DataFrame:
-        return ingest.ingest(self.store, self.root, self.provider, self.config.embedding_dims, full, self.config.embedding_batch, list(self.config.ignore_patterns))
+    def ingest(self, full: bool = False, file: str | None = None) -> DataFrame:
+        """Take in what changed; with `file`, that document only."""
+        return ingest.ingest(self.store, self.root, self.settings(), full, file)
 
     def preview(self) -> DataFrame:
-        return ingest.preview(self.parsed(), self.store.read("files"), self.config.embedding_batch)
+        return ingest.preview(self.parsed(), self.store.read("files"), self.settings())
 
-    def watch(self, events: DataFrame, checkpoint: str, interval: str | None = None, on_batch=None):
-        return watch.watch(events, self.store, checkpoint, interval or f"{self.config.watch_debounce_ms} milliseconds", on_batch)
+    def watch(self, events: DataFrame, checkpoint: str, interval: str | None = "", on_batch=None):
+        """The loop; without an interval (None) it takes what is there and stops, by default it runs at the configured one."""
+        every = f"{self.config.watch_debounce_ms} milliseconds" if interval == "" else interval
+        return watch.watch(events, self.store, checkpoint, every, on_batch, self.settings())
 
     def run_modules(self) -> DataFrame:
         """Formulas, lookups and rollups of the overlay, for all documents; results are written to the store."""
-        fields = [f for f in self.overlay if not f.scope]
-        formulas = [derived.Definition(f.name, f.formula, f.result_type or "json") for f in fields if f.field_type == "Formula"]
-        moves = [derived.Lookup(f.name, f.relation_field, f.target_field, f.relation_scope or "") for f in fields if f.field_type == "Lookup"]
-        moves += [derived.Rollup(f.name, f.relation_field, f.target_field, f.direction, f.formula or derived.SUM, "", f.relation_scope or "", f.result_type or "json") for f in fields if f.field_type == "Rollup"]
-        files = self._table("files")
-        got = derived.run(files, self.relations(), formulas, moves)
+        formulas, moves = derived.definitions_for(self.overlay)
+        got = derived.run(self._table("files"), self.relations(), formulas, moves)
         self.store.write(computed=got if got is not None else self.spark.createDataFrame([], COMPUTED))
         return self._table("computed")
 
@@ -109,10 +174,12 @@ class Collection:
     def status(self, scope: str = "") -> DataFrame:
         return ingest.status({n: self._table(n) for n in ("files", "chunks", "vectors", "links")}, scope)
 
-    info = preview
+    def info(self) -> DataFrame:
+        """What an ingest would do now."""
+        return self.preview()
 
     def relations(self) -> DataFrame:
-        return tables.relations(self._table("files"), {f.name: f.relation_target for f in self.overlay if f.relation_target})
+        return tables.relations(self._table("files"), {(f.scope, f.name): f.relation_target for f in self.overlay})
 
     def schema(self, scope: str = "") -> DataFrame:
         return schemas.schema(self._table("files"), self.overlay, scope)

@@ -11,6 +11,8 @@ from pathlib import Path
 class Config:
     source_dirs: tuple[str, ...] = ("",)
     ignore_patterns: tuple[str, ...] = ()
+    #: Whether the root's .gitignore and .larkspurignore say what isn't indexed.
+    ignore_files: bool = True
     chunk_max_tokens: int = 512
     chunk_overlap_tokens: int = 50
     embedding_dims: int = 64
@@ -62,3 +64,10 @@ def load(project: str | None = None, user: str | None = None, env: dict[str, str
             out |= raw
     out |= {n: env[k] for n in known if (k := f"LARKSPUR_{n.upper()}") in env}
     return Config(**{k: _typed(k, v) for k, v in out.items()}).checked()
+
+
+def dump(config: Config) -> str:
+    """The settings as YAML that `load` reads."""
+    import yaml
+
+    return yaml.safe_dump({f.name: list(v) if isinstance(v := getattr(config, f.name), tuple) else v for f in fields(Config)}, sort_keys=False)

@@ -72,15 +72,17 @@ def columns(found: DataFrame, schema: DataFrame) -> DataFrame:
     return schema.select("name", F.lit(True).alias("in_schema")).join(seen, "name", "full_outer").select("name", F.coalesce("in_schema", F.lit(False)).alias("in_schema"), F.coalesce("present", F.lit(0)).alias("present")).orderBy("name")
 
 
-def relations(files: DataFrame, folders: dict[str, str] | None = None) -> DataFrame:
-    """(source, field, pos, raw, target, exists): link values of metadata resolved to the first document of their candidates that exists, or else the first candidate."""
+def relations(files: DataFrame, folders: dict[tuple[str, str], str | None] | None = None) -> DataFrame:
+    """(source, field, pos, raw, target, exists): link values of metadata resolved to the first document of their candidates that exists, or else the first candidate. folders: by (scope, field), where the field's targets lie; the longest scope holds, None is nowhere in particular."""
     values = S.entries(files, "path")
     items = F.when(F.col("value").startswith("["), F.transform(F.from_json("value", "array<variant>"), lambda v: F.to_json(v))).otherwise(F.array("value"))
     each = values.select(F.col("path").alias("source"), F.col("name").alias("field"), F.posexplode(items).alias("pos", "raw"))
     each = each.withColumn("raw", predicates.plain(F.col("raw"))).withColumn("link", F.when(F.col("raw").isNotNull(), paths.link_target(F.col("raw")))).where(paths.link_kind(F.col("link")) == "relation")
     candidates = paths.relation_candidates(F.col("source"), F.col("link"))
-    for name, folder in (folders or {}).items():
-        candidates = F.when(F.col("field") == name, paths.relation_candidates(F.col("source"), F.col("link"), folder)).otherwise(candidates)
+    plain = candidates
+    for (scope, name), folder in sorted((folders or {}).items(), key=lambda x: len(x[0][0])):
+        there = paths.relation_candidates(F.col("source"), F.col("link"), folder) if folder else plain
+        candidates = F.when((F.col("field") == name) & paths.in_scope(F.col("source"), scope), there).otherwise(candidates)
     tried = each.select("source", "field", "pos", "raw", F.posexplode(candidates).alias("rank", "target"))
     known = files.select(F.col("path").alias("target"), F.lit(True).alias("known")).distinct()
     met = tried.join(known, "target", "left").withColumn("known", F.coalesce("known", F.lit(False)))

@@ -23,12 +23,18 @@ MAX_DEPTH = 256
 
 @dataclass(frozen=True)
 class Lookup:
-    """`field` of documents in `scope`: the target's `target_field` through the relation `relation`."""
+    """`field` of documents in `scope`: the target's `target_field` through the relation `relation`.
+
+    Folders in `excluded` have another declaration of the field. relation_types: declared types of the relation's field, (scope,
+    type), by which it may not be a relation at all; without one, its values tell.
+    """
 
     field: str
     relation: str
     target_field: str
     scope: str = ""
+    excluded: tuple[str, ...] = ()
+    relation_types: tuple[tuple[str, str | None], ...] = ()
 
 
 @dataclass(frozen=True)
@@ -43,6 +49,55 @@ class Rollup:
     scope: str = ""
     relation_scope: str = ""
     result_type: str = "json"
+    excluded: tuple[str, ...] = ()
+    relation_types: tuple[tuple[str, str | None], ...] = ()
+
+
+def _owned(path: Column, d: Lookup | Rollup) -> Column:
+    """Whether the definition holds for a document."""
+    out = paths.in_scope(path, d.scope)
+    for other in d.excluded:
+        out = out & ~paths.in_scope(path, other)
+    return out
+
+
+def definitions_for(fields: list) -> tuple[dict[str, list[Definition]], list[Lookup | Rollup]]:
+    """What an overlay declares: for each of its scopes the formulas that hold for documents whose innermost scope it is, and all lookups and rollups.
+
+    Of declarations of one field, that with the longest scope around a document holds, whatever its type.
+    """
+    from larkspur.operators import schema as S
+
+    scopes = sorted({paths.scope_of(f.scope) for f in fields} | {""})
+    formulas_, moves = {}, []
+    for scope in scopes:
+        formulas_[scope] = [Definition(f.name, f.formula, f.result_type or "json") for f in S.resolve(fields, scope) if f.field_type == "Formula"]
+    for f in fields:
+        own = paths.scope_of(f.scope)
+        if f.field_type not in ("Lookup", "Rollup"):
+            continue
+        inner = tuple(sorted(s for g in fields if g.name == f.name and (s := paths.scope_of(g.scope)) != own and (not own or s.startswith(own + "/"))))
+        kinds = tuple((paths.scope_of(g.scope), g.field_type or ("Relation" if g.relation_target else None)) for g in fields if g.name == f.relation_field)
+        if f.field_type == "Lookup":
+            moves.append(Lookup(f.name, f.relation_field, f.target_field, own, inner, kinds))
+        else:
+            moves.append(Rollup(f.name, f.relation_field, f.target_field, f.direction, f.formula or "", own, paths.scope_of(f.relation_scope or ""), f.result_type or "", inner, kinds))
+    return formulas_, moves
+
+
+def scoped_formulas(files: DataFrame, by_scope: dict[str, list[Definition]], unsupported: dict[str, frozenset[str]]) -> DataFrame | None:
+    """The formulas of each scope for the documents whose innermost declared scope it is."""
+    out = None
+    for scope, definitions in by_scope.items():
+        if not definitions:
+            continue
+        mine = paths.in_scope(F.col("path"), scope)
+        for other in by_scope:
+            if other != scope and (not scope or other.startswith(scope + "/")):
+                mine = mine & ~paths.in_scope(F.col("path"), other)
+        one = formulas(files.where(mine), definitions, unsupported.get(scope, frozenset()))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def formulas(files: DataFrame, definitions: list[Definition], unsupported: frozenset[str] = frozenset()) -> DataFrame:
@@ -55,19 +110,22 @@ def formulas(files: DataFrame, definitions: list[Definition], unsupported: froze
 
 def _strata(definitions: list) -> list[list]:
     """Groups in order; what is left in cycles comes last, as one group of None."""
-    names = {d.field for d in definitions}
-    done: set[str] = set()
     left, out = list(definitions), []
     while left:
-        now = [d for d in left if d.target_field not in names or d.target_field in done or d.target_field == d.field]
+        open_ = {d.field for d in left}
+        now = [d for d in left if d.target_field not in open_] or _selves(left)
         if not now:
             break
         out.append(now)
-        done |= {d.field for d in now}
         left = [d for d in left if d not in now]
     return [*out, *([left] if left else [])]
 
 
+def _selves(left: list) -> list:
+    """Definitions that read their own field in other documents, once no other definition of that field is open."""
+    return [d for d in left if d.target_field == d.field and all(x.target_field == x.field for x in left if x.field == d.field)]
+
+
 def derive(files: DataFrame, related: DataFrame, definitions: list[Lookup | Rollup], formula_results: DataFrame | None = None) -> DataFrame:
     """All lookups and rollups. related: collection.relations(files)."""
     from larkspur.operators import schema as S
@@ -75,12 +133,11 @@ def derive(files: DataFrame, related: DataFrame, definitions: list[Lookup | Roll
     values = S.entries(files, "path").withColumnRenamed("name", "field").select("path", "field", "value", F.lit(None).cast("string").alias("code"))
     if formula_results is not None:
         values = _over(values, formula_results.select("path", "field", "value", "code"))
-    out = None
-    done: set[str] = set()
+    out, open_ = None, list(definitions)
     for group in _strata(definitions):
         parts = []
         for d in group:
-            stuck = d.target_field in {x.field for x in definitions} - done - {d.field}
+            stuck = d.target_field != d.field and d.target_field in {x.field for x in open_}
             one = _lookup if isinstance(d, Lookup) else _rollup
             parts.append(_cyclic(files, d) if stuck else _by_levels(files, related, values, d, one) if d.target_field == d.field else one(files, related, values, d))
         one = parts[0]
@@ -88,7 +145,7 @@ def derive(files: DataFrame, related: DataFrame, definitions: list[Lookup | Roll
             one = one.unionByName(p)
         values = _over(values, one.select("path", "field", "value", "code"))
         out = one if out is None else out.unionByName(one)
-        done |= {d.field for d in group if d.target_field in done | {d.field} or d.target_field not in {x.field for x in definitions}}
+        open_ = [d for d in open_ if d not in group]
     return out
 
 
@@ -102,25 +159,32 @@ def _result(rows: DataFrame, field: str, value: Column, code: Column) -> DataFra
 
 
 def _cyclic(files: DataFrame, d) -> DataFrame:
-    return _result(files.where(paths.in_scope(F.col("path"), d.scope)).select("path"), d.field, F.lit(None).cast("string"), F.lit("dependency_cycle"))
+    return _result(files.where(_owned(F.col("path"), d)).select("path"), d.field, F.lit(None).cast("string"), F.lit("dependency_cycle"))
 
 
 def _by_levels(files: DataFrame, related: DataFrame, values: DataFrame, d, one) -> DataFrame:
     """A field that reads itself in other documents: those outside its scope are given, each round settles the owners whose targets are settled; owners that never settle wait for each other."""
-    owners = files.where(paths.in_scope(F.col("path"), d.scope)).select("path")
+    owners = files.where(_owned(F.col("path"), d)).select("path")
     given = values.join(owners.withColumn("field", F.lit(d.field)), ["path", "field"], "left_anti")
-    known, settled = given, -1
+    known, settled, found, late = given, -1, None, F.lit(False)
     for _ in range(MAX_DEPTH):
-        found = one(files, related, known, d).persist()
+        before, found = found, one(files, related, known, d).persist()
         good = found.where("code IS NULL").select("path", "field", "value", "code")
         n = good.count()
+        if before is not None:
+            before.unpersist()
         if n == settled:
             break
         known, settled = given.unionByName(good), n
+    else:
+        # what the next round would settle lies deeper than the limit; what it wouldn't waits in a cycle
+        more = one(files, related, known, d).where("code IS NULL").select("path").join(good.select("path"), "path", "left_anti")
+        found = found.join(more.withColumn("late", F.lit(True)), "path", "left")
+        late = F.coalesce("late", F.lit(False))
     waits = (F.col("code") == "target_field_missing") & F.col("waits")
     on = related.where(F.col("field") == d.relation).select("source", "target").join(owners.withColumnRenamed("path", "target"), "target", "left_semi").select(F.col("source").alias("path")).distinct()
     marked = found.join(on.withColumn("waits", F.lit(True)), "path", "left")
-    return marked.withColumn("code", F.when(waits, "dependency_cycle").otherwise(F.col("code"))).select("path", "field", "value", "code", F.when(F.col("code").isNotNull(), F.concat(F.lit(f"{d.field}: "), "code")).alias("message"))
+    return marked.withColumn("code", F.when(late, "dependency_limit").when(waits, "dependency_cycle").otherwise(F.col("code"))).select("path", "field", "value", "code", F.when(F.col("code").isNotNull(), F.concat(F.lit(f"{d.field}: "), "code")).alias("message"))
 
 
 def _steps(related: DataFrame, values: DataFrame, d) -> DataFrame:
@@ -134,15 +198,33 @@ def _failure(x: Column, d) -> Column:
     return F.when(~x["exists"], "relation_unresolved").when(x["code"].isNotNull(), "dependency_failed").when(x["value"].isNull(), "target_field_missing")
 
 
+def _declared(path: Column, d) -> Column:
+    """The declared type of the relation's field for a document; null without one."""
+    out = F.lit(None).cast("string")
+    for scope, kind in sorted(d.relation_types, key=lambda x: len(x[0])):
+        out = F.when(paths.in_scope(path, scope), F.lit(kind).cast("string")).otherwise(out)
+    return out
+
+
+def _not_a_relation(path: Column, value: Column, d) -> Column:
+    """Whether the relation's field is declared as something else or, undeclared, holds something else."""
+    from larkspur.operators import schema as S
+
+    kind = _declared(path, d)
+    other = (S.infer_type(value) != "Relation") & ~F.regexp_replace(value, r"\s", "").isin("[]", "null")
+    return F.when(kind.isNotNull(), kind != "Relation").otherwise(F.coalesce(other, F.lit(False)))
+
+
 def _lookup(files: DataFrame, related: DataFrame, values: DataFrame, d: Lookup) -> DataFrame:
     """A single value, or for a list relation the list in its order; null where the relation is absent."""
     own = values.where(F.col("field") == d.relation).select("path", F.col("value").alias("relation"))
     steps = _steps(related, values, d).groupBy(F.col("source").alias("path")).agg(F.array_sort(F.collect_list(F.struct("pos", "exists", "value", "code"))).alias("xs"))
-    rows = files.where(paths.in_scope(F.col("path"), d.scope)).select("path").join(own, "path", "left").join(steps, "path", "left")
+    rows = files.where(_owned(F.col("path"), d)).select("path").join(own, "path", "left").join(steps, "path", "left")
     wanted = F.when(F.col("relation").startswith("["), F.size(F.from_json("relation", "array<variant>"))).otherwise(1)
     absent = F.col("relation").isNull() | (F.col("relation") == "null")
     bad = F.get(F.filter(F.transform("xs", lambda x: _failure(x, d)), lambda c: c.isNotNull()), F.lit(0))
-    code = F.when(absent, F.lit(None)).when(F.col("xs").isNull() & (wanted > 0), "invalid_relation").when(F.size("xs") < wanted, "invalid_relation").otherwise(bad)
+    wrong = _not_a_relation(F.col("path"), F.col("relation"), d)
+    code = F.when(wrong, "relation_field_type").when(absent, F.lit(None)).when(F.col("xs").isNull() & (wanted > 0), "invalid_relation").when(F.size("xs") < wanted, "invalid_relation").otherwise(bad)
     values_ = F.transform("xs", lambda x: x["value"])
     many = F.concat(F.lit("["), F.array_join(F.coalesce(values_, F.array().cast("array<string>")), ","), F.lit("]"))
     value = F.when(absent, "null").when(F.col("relation").startswith("["), many).otherwise(F.get(values_, F.lit(0)))
@@ -150,23 +232,26 @@ def _lookup(files: DataFrame, related: DataFrame, values: DataFrame, d: Lookup)
 
 
 def _rollup(files: DataFrame, related: DataFrame, values: DataFrame, d: Rollup) -> DataFrame:
-    scope = files.where(paths.in_scope(F.col("path"), d.scope)).select("path")
+    scope = files.where(_owned(F.col("path"), d)).select("path")
     if d.direction == "outgoing":
         steps = _steps(related, values, d).groupBy(F.col("source").alias("path")).agg(F.array_sort(F.collect_list(F.struct("pos", "exists", "value", "code"))).alias("xs"))
-        rows = scope.join(steps, "path", "left").withColumn("blocked", F.lit(None).cast("string"))
-        code = F.get(F.filter(F.transform("xs", lambda x: _failure(x, d)), lambda c: c.isNotNull()), F.lit(0))
+        own = values.where(F.col("field") == d.relation).select("path", F.col("value").alias("relation"))
+        wrong = F.when(_not_a_relation(F.col("path"), F.col("relation"), d), "relation_field_type")
+        rows = scope.join(own, "path", "left").join(steps, "path", "left").withColumn("blocked", wrong)
+        code = F.coalesce("blocked", F.get(F.filter(F.transform("xs", lambda x: _failure(x, d)), lambda c: c.isNotNull()), F.lit(0)))
     else:
         inside = related.where((F.col("field") == d.relation) & paths.in_scope(F.col("source"), d.relation_scope))
         # one bad relation in the scanned scope fails every owner
         raw = values.where((F.col("field") == d.relation) & paths.in_scope(F.col("path"), d.relation_scope) & (F.col("value") != "null"))
-        wanted = raw.select(F.coalesce(F.sum(F.when(F.col("value").startswith("["), F.size(F.from_json("value", "array<variant>"))).otherwise(1)), F.lit(0)).alias("wanted"), F.lit(1).alias("one"))
+        wanted = raw.select(F.coalesce(F.max(_not_a_relation(F.col("path"), F.col("value"), d).cast("int")), F.lit(0)).alias("wrong"), F.coalesce(F.sum(F.when(F.col("value").startswith("["), F.size(F.from_json("value", "array<variant>"))).otherwise(1)), F.lit(0)).alias("wanted"), F.lit(1).alias("one"))
         seen = inside.agg(F.count("*").alias("seen"), F.coalesce(F.max((~F.col("exists")).cast("int")), F.lit(0)).alias("bad")).withColumn("one", F.lit(1))
-        verdict = F.when(F.col("bad") == 1, "relation_unresolved").when(F.col("wanted") > F.col("seen"), "invalid_relation")
+        verdict = F.when(F.col("wrong") == 1, "relation_field_type").when(F.col("bad") == 1, "relation_unresolved").when(F.col("wanted") > F.col("seen"), "invalid_relation")
         blocked = wanted.join(seen, "one").select("one", verdict.alias("blocked"))  # one row
         mine = values.where(F.col("field") == d.target_field).select(F.col("path").alias("source"), "value", "code")
         steps = inside.select("source", "target").distinct().join(mine, "source", "left").groupBy(F.col("target").alias("path")).agg(F.array_sort(F.collect_list(F.struct("source", F.lit(True).alias("exists"), "value", "code"))).alias("xs"))
         rows = scope.join(steps, "path", "left").withColumn("one", F.lit(1)).join(F.broadcast(blocked), "one").drop("one")
         code = F.coalesce("blocked", F.get(F.filter(F.transform("xs", lambda x: F.when(x["code"].isNotNull(), "dependency_failed").when(x["value"].isNull(), "target_field_missing")), lambda c: c.isNotNull()), F.lit(0)))
+    code = F.lit("invalid_schema") if not d.formula or not d.result_type else code
     rows = rows.withColumn("failed", code).withColumn("vs", F.coalesce(F.transform("xs", lambda x: x["value"]), F.array().cast("array<string>")))
     return _aggregated(rows, d)
 
@@ -198,9 +283,10 @@ def stale(now: DataFrame, stored: DataFrame) -> DataFrame:
     return now.join(stored.select("path", "definition_fp", "input_fp"), ["path", "definition_fp", "input_fp"], "left_anti")
 
 
-def run(files: DataFrame, related: DataFrame, definitions: list[Definition], derived: list[Lookup | Rollup]) -> DataFrame:
-    """Formulas first, then lookups and rollups over their results; formulas can't read the latter."""
-    first = formulas(files, definitions, frozenset(d.field for d in derived)) if definitions else None
+def run(files: DataFrame, related: DataFrame, definitions: list[Definition] | dict[str, list[Definition]], derived: list[Lookup | Rollup]) -> DataFrame | None:
+    """Formulas first, then lookups and rollups over their results; formulas can't read the latter. definitions: for all documents, or by scope."""
+    by_scope = definitions if isinstance(definitions, dict) else {"": definitions}
+    first = scoped_formulas(files, by_scope, {s: frozenset(d.field for d in derived if not d.scope or s == d.scope or s.startswith(d.scope + "/")) for s in by_scope})
     if not derived:
         return first
     rest = derive(files, related, derived, first)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,7 +46,8 @@ class Index:
     links: DataFrame | None = None
     edges: DataFrame | None = None
     edge_vectors: DataFrame | None = None
-    extra: dict = field(default_factory=dict)
+    #: lexical.terms(chunks) as stored; without it texts are read.
+    terms: DataFrame | None = None
 
 
 def top_k(scored: DataFrame, score: str, key: str, k: int) -> DataFrame:
@@ -112,7 +113,7 @@ def candidates(index: Index, q: Query, window: int | None) -> DataFrame:
     """(chunk_id, score) of one mode; `window` bounds each ranked list of the hybrid mode."""
     if q.mode == "semantic":
         return semantic(index.vectors, q.vector)
-    lex = lexical.score(index.chunks, q.text, headings="headings" if "headings" in index.chunks.columns else None, stemmed=q.stemmed)
+    lex = lexical.score_terms(index.terms, q.text, stemmed=q.stemmed) if index.terms is not None else lexical.score(index.chunks, q.text, headings="headings" if "headings" in index.chunks.columns else None, stemmed=q.stemmed)
     if q.mode == "lexical":
         return lex.select("chunk_id", lexical.saturated(F.col("bm25")).alias("score"))
     lists = [ranked(semantic(index.vectors, q.vector), "score", "chunk_id", window, "rank"), ranked(lex, "bm25", "chunk_id", window, "rank")]

@@ -44,10 +44,34 @@ def lexical_bm25_topk(spark, d):
     return top.select("chunk_id", F.round("bm25", 6).alias("bm25"), F.round(lexical.saturated(F.col("bm25")), 6).alias("score"))
 
 
+@query(f"WITH {_LEX} SELECT doc_id AS chunk_id, round(bm25, 6) AS bm25, round(bm25 / (bm25 + 1.5), 6) AS score FROM lex ORDER BY lex.bm25 DESC, doc_id LIMIT 25")
+def lexical_index_topk(spark, d):
+    """The same from the stored index of terms."""
+    top = search.top_k(lexical.score_terms(_stored_terms(spark, d), WORDS), "bm25", "chunk_id", 25)
+    return top.select("chunk_id", F.round("bm25", 6).alias("bm25"), F.round(lexical.saturated(F.col("bm25")), 6).alias("score"))
+
+
+@query("""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS t FROM documents)
+SELECT doc_id AS chunk_id FROM t WHERE list_contains(t, 'the') AND NOT list_contains(t, 'scum') AND contains(' ' || array_to_string(t, ' ') || ' ', ' of the ')""")
+def lexical_index_syntax(spark, d):
+    return lexical.score_terms(_stored_terms(spark, d), '+the -scum "of the"').select("chunk_id")
+
+
 @query("SELECT doc_id AS chunk_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS term FROM documents) GROUP BY ALL")
 def lexical_terms_table(spark, d):
-    docs = T.documents(spark, d).select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
-    return lexical.terms_table(docs).select("chunk_id", "term", "tf")
+    return _terms(spark, d).where("field = 'c' AND term != ''").select("chunk_id", "term", "tf")
+
+
+def _terms(spark, d):
+    docs = T.documents(spark, d).select(F.col("doc_id").alias("chunk_id"), "path", F.col("text").alias("content"))
+    return lexical.terms(docs, plain=False)
+
+
+def _stored_terms(spark, d):
+    """The index as a store holds it: written, sorted by term."""
+    at = T.scratch(spark, "terms")
+    _terms(spark, d).sortWithinPartitions("term").write.parquet(at)
+    return spark.read.parquet(at)
 
 
 @query("""WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS t FROM documents)

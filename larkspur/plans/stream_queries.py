@@ -2,27 +2,22 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from larkspur.functions import text as X
+from larkspur.functions import vectors as V
 from larkspur.plans import tables as T
 from larkspur.plans.registry import query
 from larkspur.sources.vault import Store
 from larkspur.streaming import watch
 
 
-def _scratch(spark) -> str:
-    """A fresh folder where the cluster shares files: the checkpoint folder, or else the warehouse."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/watch-{uuid.uuid4().hex}"
-
-
-@query("SELECT doc_id || '.md' AS path, sha256(CASE WHEN doc_id % 3 = 0 THEN text || 'x' ELSE text END) AS content_hash FROM documents WHERE doc_id % 7 != 0")
+@query("""WITH f AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN text || 'x' ELSE text END AS t FROM documents WHERE doc_id % 7 != 0)
+SELECT doc_id || '.md' AS path, sha256(t) AS content_hash, regexp_matches(t, '\\S') AS chunked, true AS current FROM f""")
 def incremental_upsert(spark, d):
-    """The final state after a stream of creations, then changes to every third document and deletions of every seventh, twice over."""
-    base = _scratch(spark)
+    """The final state after a stream of creations, then changes to every third document and deletions of every seventh, twice over: files, whether they have chunks, and whether the vectors of all these, their terms' lengths and no others are stored."""
+    base = T.scratch(spark, "watch")
     docs = T.table(spark, d, "documents").select("doc_id", "text")
     path = F.concat(F.col("doc_id").cast("string"), F.lit(".md"))
     none = F.lit(None).cast("string")
@@ -33,7 +28,14 @@ def incremental_upsert(spark, d):
         batch.write.mode("append").parquet(f"{base}/events")
         stream = spark.readStream.schema(batch.schema).parquet(f"{base}/events")
         watch.watch(stream, store, f"{base}/progress", interval=None).awaitTermination()
-    return store.read("files").select("path", "content_hash")
+    chunks, vectors = store.read("chunks"), store.read("vectors")
+    terms = store.read("terms").where("term = '' AND field = 'c'").select("chunk_id", "length")
+    words = F.size(X.tokens(X.plain(F.col("content"))))
+    both = chunks.select("chunk_id", "path", "content").join(vectors.select("chunk_id", "vector"), "chunk_id", "full").join(terms, "chunk_id", "full")
+    good = F.coalesce((F.col("vector") == V.mock_embedding(F.col("content"), 64).cast("array<float>")) & (F.col("length") == words), F.lit(False))
+    state = both.groupBy("path").agg(F.bool_and(good).alias("current"), F.lit(True).alias("chunked"))
+    out = store.read("files").select("path", "content_hash").join(state, "path", "full")
+    return out.select("path", "content_hash", F.coalesce("chunked", F.lit(False)).alias("chunked"), F.coalesce("current", F.lit(True)).alias("current"))
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")

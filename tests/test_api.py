@@ -11,73 +11,122 @@ from larkspur.operators.schema import load_overlay
 
 OVERLAY = """
 fields:
-  total: {type: formula, formula: subtotal + tax, result_type: number}
-  invoice_total: {type: rollup, relation_field: client, target_field: total, relation_direction: incoming, relation_scope: invoices, formula: "values.reduce((sum, value) => sum + value, 0)"}
+  label: {type: formula, formula: "kind + ':' + title", result_type: string}
+scopes:
+  boats:
+    fields:
+      crew_size: {type: rollup, relation_field: boat, target_field: hands, relation_direction: incoming, relation_scope: trips, formula: "values.reduce((sum, value) => sum + value, 0)", result_type: number}
+      trips: {type: rollup, relation_field: boat, target_field: hands, relation_direction: incoming, relation_scope: trips, formula: values.length, result_type: number}
+  trips:
+    fields:
+      boat: {type: relation, target: boats}
+      harbour: {type: lookup, relation_field: boat, target_field: home}
+      label: {type: formula, formula: "'trip of ' + String(nights)", result_type: string}
+  trips/winter:
+    fields:
+      label: {type: formula, formula: "'winter trip'", result_type: string}
+      harbour: {type: lookup, relation_field: boat, target_field: kind}
 """
 DOCS = {
-    "clients/acme.md": "---\ndomain: acme.example\n---\n# Acme\nA client of note, see [[contacts/alice]].\n", "clients/beta.md": "# Beta\nNo links in here.\n",
-    "contacts/alice.md": "---\nclient: '[[clients/acme]]'\ntitle: Alice\n---\n# Alice\nWorks at [Acme](../clients/acme.md).\n", "invoices/one.md": "---\nclient: '[[clients/acme]]'\nsubtotal: 10.1\ntax: 0.2\n---\nInvoice one for acme\n",
-    "invoices/two.md": "---\nclient: '[[clients/acme]]'\nsubtotal: 20.2\ntax: 0.3\n---\nInvoice two for acme\n",
+    "boats/heron.md": "---\nkind: ketch\nhome: Brest\n---\n# Heron\nA ketch for long crossings, skippered by [[../people/ines]].\n",
+    "boats/plover.md": "---\nkind: sloop\nhome: Cork\n---\n# Plover\nA sloop that stays near the coast.\n",
+    "people/ines.md": "# Ines\nSails **Heron** and writes the [log](../trips/june.md).\n",
+    "trips/june.md": "---\nboat: '[[heron]]'\nhands: 4.5\nnights: 12\n---\nCrossing with steady wind.\n",
+    "trips/winter/storm.md": "---\nboat: '[[boats/heron]]'\nhands: 3\nnights: 2\n---\nA crossing cut short by a storm.\n",
+    "trips/winter/odd.md": "---\nhands: 1\n---\nOn foot.\n",
+    "drafts/idea.md": "crossing ideas that nobody should find\n",
 }
 
 
 @pytest.fixture(scope="module")
 def vault(spark, tmp_path_factory):
-    root = tmp_path_factory.mktemp("vault")
+    root = tmp_path_factory.mktemp("logbook")
     for name, text in DOCS.items():
-        (root / name).parent.mkdir(exist_ok=True)
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
         (root / name).write_text(text)
+    (root / ".gitignore").write_text("drafts/\n")
     c = Collection(spark, str(root), str(root / ".store"), overlay=load_overlay(OVERLAY))
     c.ingest()
     return c
 
 
 def test_search_and_get(vault):
-    got = [r.path for r in vault.search("invoice acme", mode="lexical").collect()]
-    assert set(got) >= {"invoices/one.md", "invoices/two.md", "clients/acme.md"} and "clients/beta.md" not in got
-    assert [r.path for r in vault.search("acme", scope="clients").collect()][0] == "clients/acme.md"
-    assert vault.search("acme", mode="semantic", filters=["tax=0.2"]).count() == 1
-    assert [r.path for r in vault.search("acme", mode="edge").select("source").withColumnRenamed("source", "path").collect()]
-    assert json.loads(vault.get("clients/acme.md").head().metadata) == {"domain": "acme.example"}
+    got = [r.path for r in vault.search("crossings wind", mode="lexical").collect()]
+    assert set(got) == {"boats/heron.md", "trips/june.md", "trips/winter/storm.md"} and got[0] == "trips/june.md"
+    assert [r.path for r in vault.search('"steady wind"', mode="lexical").collect()] == ["trips/june.md"]
+    assert [r.path for r in vault.search("+crossing -storm", mode="lexical", scope="trips").collect()] == ["trips/june.md"]
+    assert vault.search("heron", mode="semantic", filters=["nights=12"]).count() == 1
+    assert {r.source for r in vault.search("log", mode="edge").select("source").collect()} == {"boats/heron.md", "people/ines.md"}
+    assert json.loads(vault.get("boats/plover.md").head().metadata) == {"kind": "sloop", "home": "Cork"}
+
+
+def test_lexical_search_reads_the_index_only(vault):
+    plan = vault.search("storm", mode="lexical")._jdf.queryExecution().toString()
+    assert "In(stem" in plan or "EqualTo(stem" in plan
+    scores = vault.index().terms.where("term = 'heron'").select("chunk_id", "field", "tf", "stem").collect()
+    assert sorted(tuple(r) for r in scores) == [("boats/heron.md#0", "c", 1, "heron"), ("boats/heron.md#0", "h", 1, "heron"), ("people/ines.md#0", "c", 1, "heron")]
 
 
 def test_graph(vault):
-    assert {(r.source, r.state) for r in vault.links("clients/acme.md").collect()} == {("clients/acme.md", "Broken")}
-    assert [r.source for r in vault.backlinks("clients/acme.md").collect()] == ["contacts/alice.md"]
-    assert "clients/beta.md" in [r.path for r in vault.orphans().collect()]
-    assert [(r.source, r.field, r.title) for r in vault.referenced_by("clients/acme.md").collect()] == [("contacts/alice.md", "client", "Alice"), ("invoices/one.md", "client", "one"), ("invoices/two.md", "client", "two")]
-    assert vault.edges().count() == 2 and vault.edges("contacts/alice.md").count() >= 1
+    assert {(r.target, r.state) for r in vault.links("boats/heron.md").collect()} == {("people/ines.md", "Valid")}
+    assert [r.source for r in vault.backlinks("people/ines.md").collect()] == ["boats/heron.md"]
+    assert sorted(r.path for r in vault.orphans().collect()) == ["boats/plover.md", "trips/winter/odd.md"]
+    assert [(r.source, r.field) for r in vault.referenced_by("boats/heron.md").collect()] == [("trips/june.md", "boat"), ("trips/winter/storm.md", "boat")]
+    assert vault.edges().count() == 2 and vault.edges("people/ines.md").count() == 2
     assert {r.state for r in vault.tree().where("NOT is_dir").collect()} == {"indexed"}
 
 
-def test_modules_and_collection(vault):
-    got = {(r.path, r.field): r.value for r in vault.run_modules().where("code IS NULL").collect()}
-    assert got["clients/acme.md", "invoice_total"] == "30.8" and got["invoices/one.md", "total"] == "10.3" and got["clients/beta.md", "invoice_total"] == "0"
-    rows, columns, total = vault.collection(path="invoices", sort="total", descending=True, populate=True)
-    assert [r.path for r in rows.collect()] == ["invoices/two.md", "invoices/one.md"] and total.head().total == 2
-    assert json.loads(rows.head().metadata)["total"] == 20.5 and rows.head().relations["client"][0].target == "clients/acme.md"
-    assert {"client", "subtotal", "tax", "total"} <= {r.name for r in columns.collect()}
-    assert {r.field: r.done for r in vault.module_status().collect()}["invoice_total"] == 5
+def test_scoped_modules_and_collection(vault):
+    rows = vault.run_modules().collect()
+    good = {(r.path, r.field): json.loads(r.value) for r in rows if r.code is None}
+    bad = {(r.path, r.field): r.code for r in rows if r.code is not None}
+    assert good == {
+        ("trips/june.md", "harbour"): "Brest", ("trips/winter/storm.md", "harbour"): "ketch", ("trips/winter/odd.md", "harbour"): None,
+        ("boats/heron.md", "crew_size"): 7.5, ("boats/heron.md", "trips"): 2, ("boats/plover.md", "crew_size"): 0, ("boats/plover.md", "trips"): 0,
+        ("boats/heron.md", "label"): "ketch:heron", ("boats/plover.md", "label"): "sloop:plover",
+        ("trips/june.md", "label"): "trip of 12", ("trips/winter/storm.md", "label"): "winter trip", ("trips/winter/odd.md", "label"): "winter trip",
+    }
+    assert bad == {("people/ines.md", "label"): "unknown_identifier"}
+    page, columns, total = vault.collection(path="boats", sort="crew_size", descending=True)
+    assert [r.path for r in page.collect()] == ["boats/heron.md", "boats/plover.md"] and total.head().total == 2
+    assert json.loads(page.head().metadata)["crew_size"] == 7.5 and {"kind", "home", "crew_size", "trips", "label"} <= {r.name for r in columns.collect()}
+    trips, _, _ = vault.collection(path="trips", recursive=True, populate=True)
+    assert trips.where("path = 'trips/june.md'").head().relations["boat"][0].target == "boats/heron.md"
+    assert {r.field: (r.done, r.failed) for r in vault.module_status().collect()} == {"crew_size": (2, 0), "harbour": (3, 0), "label": (5, 1), "trips": (2, 0)}
 
 
 def test_clusters_status_doctor(vault):
     s = vault.status().head()
-    assert (s.files, s.chunks, s.vectors) == (5, 5, 5) and vault.status("invoices").head().files == 2
+    assert (s.files, s.chunks, s.vectors) == (6, 6, 6) and vault.status("trips").head().files == 3
     assert {r.check for r in vault.doctor().where("ok").collect()} >= {"bad_metadata", "chunks_without_vector", "vector_sizes"}
     found = vault.clusters()
-    assert found["members"].count() == 5 and found["labels"].count() >= 1
-    vault.shards.add("Bills", "invoices")
-    assert vault.search("invoice", mode="lexical", shard="bills").count() == 2
+    assert found["members"].count() == 6 and found["labels"].count() >= 1
+    vault.shards.add("Cold", "trips/winter")
+    assert vault.search("crossing", mode="lexical", shard="cold").count() == 1
 
 
-def test_command_line(vault, spark, capsys):
+def test_command_line(vault, spark):
     root = vault.root
     base = [root, "--store", f"{root}/.store"]
-    for argv, want in ((["search", "invoice", "--mode", "lexical", "--limit", "1"], 1), (["collection", "invoices", "--sort", "tax"], 2), (["backlinks", "clients/acme.md"], 1), (["schema"], 4), (["ingest", "--preview"], 1)):
+    for argv, want in ((["search", "crossing", "--mode", "lexical", "--limit", "1"], 1), (["collection", "boats", "--sort", "home"], 2), (["backlinks", "people/ines.md"], 1), (["schema"], 4), (["ingest", "--preview"], 1), (["info"], 1), (["config"], 10)):
         got = cli.run(cli.arguments([*base, *argv]), spark)
         assert next(iter(got.values())).count() >= want
 
 
+def test_settings_reach_ingest(spark, tmp_path):
+    for name, text in (("a/one.md", "word " * 30), ("b/two.md", "two"), ("a/skip.md", "x")):
+        (tmp_path / "v" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "v" / name).write_text(text)
+    c = Collection(spark, str(tmp_path / "v"), str(tmp_path / "s"), config.Config(source_dirs=("a",), ignore_patterns=("skip",), chunk_max_tokens=10, chunk_overlap_tokens=2))
+    c.ingest()
+    assert [r.path for r in c.files().collect()] == ["a/one.md"] and c.chunks().count() == 4
+    (tmp_path / "v" / "a" / "one.md").write_text("new")
+    (tmp_path / "v" / "a" / "three.md").write_text("three")
+    assert {r.change: r.files for r in c.ingest(file="a/one.md").collect()} == {"reembed": 1}
+    assert sorted(r.content for r in c.chunks().collect()) == ["new"]
+    assert {r.change: r.files for r in c.ingest().collect()} == {"new": 1, "unchanged": 1}
+
+
 def test_config(tmp_path):
     (tmp_path / "p.yml").write_text("search_limit: 7\nignore_patterns: [drafts/]\n")
     got = config.load(str(tmp_path / "p.yml"), env={"LARKSPUR_SEARCH_LIMIT": "9", "LARKSPUR_DECAY": "true"})
