@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur import scratch
 from larkspur.functions import paths, predicates
 from larkspur.functions.formula import columns as C
 from larkspur.functions.formula.compiler import Definition
@@ -128,9 +129,10 @@ def _selves(left: list) -> list:
 
 def derive(files: DataFrame, related: DataFrame, definitions: list[Lookup | Rollup], formula_results: DataFrame | None = None) -> DataFrame:
     """All lookups and rollups. related: collection.relations(files)."""
-    from larkspur.operators import schema as S
-
-    values = S.entries(files, "path").withColumnRenamed("name", "field").select("path", "field", "value", F.lit(None).cast("string").alias("code"))
+    # only the fields that some definition reads are taken out of the metadata
+    wanted = sorted({n for d in definitions for n in (d.relation, d.target_field)})
+    each = F.array(*(F.struct(F.lit(n).alias("field"), predicates.field(F.col("metadata"), n).alias("value")) for n in wanted))
+    values = files.select("path", F.explode(each).alias("v")).select("path", "v.field", "v.value", F.lit(None).cast("string").alias("code")).where("value IS NOT NULL")
     if formula_results is not None:
         values = _over(values, formula_results.select("path", "field", "value", "code"))
     out, open_ = None, list(definitions)
@@ -165,14 +167,13 @@ def _cyclic(files: DataFrame, d) -> DataFrame:
 def _by_levels(files: DataFrame, related: DataFrame, values: DataFrame, d, one) -> DataFrame:
     """A field that reads itself in other documents: those outside its scope are given, each round settles the owners whose targets are settled; owners that never settle wait for each other."""
     owners = files.where(_owned(F.col("path"), d)).select("path")
-    given = values.join(owners.withColumn("field", F.lit(d.field)), ["path", "field"], "left_anti")
-    known, settled, found, late = given, -1, None, F.lit(False)
+    read = values.where(F.col("field").isin(d.field, d.relation))
+    given = scratch.saved(read.join(owners.withColumn("field", F.lit(d.field)), ["path", "field"], "left_anti"), "given")
+    known, settled, late = given, -1, F.lit(False)
     for _ in range(MAX_DEPTH):
-        before, found = found, one(files, related, known, d).persist()
+        found = scratch.saved(one(files, related, known, d), "level")
         good = found.where("code IS NULL").select("path", "field", "value", "code")
         n = good.count()
-        if before is not None:
-            before.unpersist()
         if n == settled:
             break
         known, settled = given.unionByName(good), n
@@ -232,45 +233,46 @@ def _lookup(files: DataFrame, related: DataFrame, values: DataFrame, d: Lookup)
 
 
 def _rollup(files: DataFrame, related: DataFrame, values: DataFrame, d: Rollup) -> DataFrame:
+    """Sums and counts are aggregates, which combine before the shuffle; other formulas get the list of values."""
     scope = files.where(_owned(F.col("path"), d)).select("path")
     if d.direction == "outgoing":
-        steps = _steps(related, values, d).groupBy(F.col("source").alias("path")).agg(F.array_sort(F.collect_list(F.struct("pos", "exists", "value", "code"))).alias("xs"))
+        each = _steps(related, values, d).select(F.col("source").alias("path"), F.col("pos").alias("at"), "value", F.struct("exists", "value", "code").alias("x"))
+        each = each.withColumn("failure", _failure(F.col("x"), d)).drop("x")
         own = values.where(F.col("field") == d.relation).select("path", F.col("value").alias("relation"))
         wrong = F.when(_not_a_relation(F.col("path"), F.col("relation"), d), "relation_field_type")
-        rows = scope.join(own, "path", "left").join(steps, "path", "left").withColumn("blocked", wrong)
-        code = F.coalesce("blocked", F.get(F.filter(F.transform("xs", lambda x: _failure(x, d)), lambda c: c.isNotNull()), F.lit(0)))
+        scope = scope.join(own, "path", "left").select("path", wrong.alias("blocked"))
     else:
         inside = related.where((F.col("field") == d.relation) & paths.in_scope(F.col("source"), d.relation_scope))
-        # one bad relation in the scanned scope fails every owner
+        # one bad relation in the scanned scope fails every owner: the first one by path says how
         raw = values.where((F.col("field") == d.relation) & paths.in_scope(F.col("path"), d.relation_scope) & (F.col("value") != "null"))
-        wanted = raw.select(F.coalesce(F.max(_not_a_relation(F.col("path"), F.col("value"), d).cast("int")), F.lit(0)).alias("wrong"), F.coalesce(F.sum(F.when(F.col("value").startswith("["), F.size(F.from_json("value", "array<variant>"))).otherwise(1)), F.lit(0)).alias("wanted"), F.lit(1).alias("one"))
-        seen = inside.agg(F.count("*").alias("seen"), F.coalesce(F.max((~F.col("exists")).cast("int")), F.lit(0)).alias("bad")).withColumn("one", F.lit(1))
-        verdict = F.when(F.col("wrong") == 1, "relation_field_type").when(F.col("bad") == 1, "relation_unresolved").when(F.col("wanted") > F.col("seen"), "invalid_relation")
-        blocked = wanted.join(seen, "one").select("one", verdict.alias("blocked"))  # one row
+        items = F.when(F.col("value").startswith("["), F.size(F.from_json("value", "array<variant>"))).otherwise(1)
+        seen = inside.groupBy(F.col("source").alias("path")).agg(F.count("*").alias("seen"), F.bool_or(~F.col("exists")).alias("bad"))
+        verdict = F.when(_not_a_relation(F.col("path"), F.col("value"), d), "relation_field_type").when(F.col("bad"), "relation_unresolved").when(items > F.coalesce("seen", F.lit(0)), "invalid_relation")
+        failed = raw.join(seen, "path", "left").select("path", verdict.alias("verdict")).where("verdict IS NOT NULL")
+        blocked = failed.agg(F.min_by("verdict", "path").alias("blocked")).withColumn("one", F.lit(1))  # one row
         mine = values.where(F.col("field") == d.target_field).select(F.col("path").alias("source"), "value", "code")
-        steps = inside.select("source", "target").distinct().join(mine, "source", "left").groupBy(F.col("target").alias("path")).agg(F.array_sort(F.collect_list(F.struct("source", F.lit(True).alias("exists"), "value", "code"))).alias("xs"))
-        rows = scope.join(steps, "path", "left").withColumn("one", F.lit(1)).join(F.broadcast(blocked), "one").drop("one")
-        code = F.coalesce("blocked", F.get(F.filter(F.transform("xs", lambda x: F.when(x["code"].isNotNull(), "dependency_failed").when(x["value"].isNull(), "target_field_missing")), lambda c: c.isNotNull()), F.lit(0)))
-    code = F.lit("invalid_schema") if not d.formula or not d.result_type else code
-    rows = rows.withColumn("failed", code).withColumn("vs", F.coalesce(F.transform("xs", lambda x: x["value"]), F.array().cast("array<string>")))
-    return _aggregated(rows, d)
-
-
-def _aggregated(rows: DataFrame, d: Rollup) -> DataFrame:
-    """The usual formulas as built-in aggregates of exact decimals; others by the formula language."""
-    numbers = F.transform("vs", lambda v: v.try_cast("decimal(38,10)"))
-    odd = F.exists("vs", lambda v: ~v.rlike("^-?[0-9]"))
-    text = lambda c: F.regexp_replace(F.regexp_replace(c.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+        failure = F.when(F.col("code").isNotNull(), "dependency_failed").when(F.col("value").isNull(), "target_field_missing")
+        each = inside.select("source", "target").distinct().join(mine, "source", "left").select(F.col("target").alias("path"), F.col("source").alias("at"), "value", failure.alias("failure"))
+        scope = scope.withColumn("one", F.lit(1)).join(F.broadcast(blocked), "one").drop("one")
+    if not d.formula or not d.result_type:
+        return _result(scope, d.field, F.lit(None).cast("string"), F.coalesce("blocked", F.lit("invalid_schema")))
     plain = d.formula.replace(" ", "")
-    if plain == LENGTH:
-        return _result(rows, d.field, F.size("vs").cast("string"), F.col("failed"))
-    if plain == SUM.replace(" ", ""):
-        total = F.aggregate(numbers, F.lit(0).cast("decimal(38,10)"), lambda a, x: (a + x).cast("decimal(38,10)"))
-        return _result(rows, d.field, text(total), F.coalesce("failed", F.when(odd, "type_mismatch")))
+    bad = F.min_by("failure", F.when(F.col("failure").isNotNull(), F.col("at"))).alias("failure")
+    if plain in (LENGTH, SUM.replace(" ", "")):
+        number = F.col("value").try_cast("decimal(38,10)")
+        got = each.groupBy("path").agg(bad, F.count("*").alias("n"), F.sum(number).alias("total"), F.bool_or(~F.col("value").rlike("^-?[0-9]")).alias("odd"))
+        rows = scope.join(got, "path", "left")
+        failed = F.coalesce("blocked", "failure")
+        if plain == LENGTH:
+            return _result(rows, d.field, F.coalesce("n", F.lit(0)).cast("string"), failed)
+        text = F.regexp_replace(F.regexp_replace(F.coalesce("total", F.lit(0)).cast("decimal(38,10)").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+        return _result(rows, d.field, text, F.coalesce(failed, F.when(F.col("odd"), "type_mismatch")))
+    got = each.groupBy("path").agg(bad, F.array_sort(F.collect_list(F.struct("at", "value"))).alias("xs"))
+    rows = scope.join(got, "path", "left").select("path", F.coalesce("blocked", "failure").alias("failed"), F.coalesce(F.transform("xs", lambda x: x["value"]), F.array().cast("array<string>")).alias("vs"))
     payload = F.concat(F.lit('{"values":['), F.array_join("vs", ","), F.lit("]}"))
-    got = C.evaluate(rows.select("path", "failed", payload.alias("metadata")), [Definition(d.field, d.formula, d.result_type)])
+    found = C.evaluate(rows.select("path", "failed", payload.alias("metadata")), [Definition(d.field, d.formula, d.result_type)])
     c = F.col("computed")[d.field]
-    return _result(got, d.field, c["value"], F.coalesce("failed", c["code"]))
+    return _result(found, d.field, c["value"], F.coalesce("failed", c["code"]))
 
 
 def fingerprints(files: DataFrame, definitions: list[Definition]) -> DataFrame:

@@ -64,12 +64,6 @@ def cluster_label(spark, d):
     return C.labels(_keywords(spark, d))
 
 
-@query("SELECT * FROM (VALUES (1, 'rust programming / tools'), (2, 'a / b / c'), (3, 'x y / z')) t(cluster_id, label)")
-def cluster_label_rule(spark, d):
-    rows = [(1, 1, "rust programming"), (1, 2, "rust"), (1, 3, "tools"), (2, 1, "a"), (2, 2, "b"), (2, 3, "c"), (2, 4, "d"), (3, 1, "x y"), (3, 2, "y"), (3, 3, "z"), (3, 4, "x")]
-    return C.labels(spark.createDataFrame(rows, "cluster_id int, rank int, term string"))
-
-
 @query()
 def leiden_communities(spark, d):
     return C.communities(_vectors(spark, d).select("path", "vector"))

@@ -47,15 +47,6 @@ def schema_infer(spark, d):
     return S.infer(T.files(spark, d)).withColumn("samples", F.array_join("samples", ","))
 
 
-@query("SELECT name, field_type, occurrences::BIGINT AS occurrences FROM (VALUES ('a', 'Mixed', 2), ('b', 'Boolean', 1), ('d', 'Date', 2), ('e', 'List', 2), ('f', 'File', 1), ('j', 'Json', 2), ('m', 'Mixed', 1), ('r', 'Relation', 3), ('s', 'String', 1)) t(name, field_type, occurrences)")
-def schema_infer_kinds(spark, d):
-    rows = [
-        ("x/1.md", '{"a":1,"b":true,"d":"2024-99-99","e":[],"f":"[[pic.png]]","j":{"k":1},"r":"[[n]]","s":"t","z":null}'),
-        ("x/2.md", '{"a":"1","d":"2024-01-01T00:00:00Z","e":["q",1],"j":[[1]],"m":["[[a]]","[b](c.pdf)"],"r":["[[a|b]]","x/y.md"]}'), ("y.md", '{"r":"[t](u.md#h)"}'), ("z.md", None), ("w.md", "[1]"),
-    ]
-    return S.infer(spark.createDataFrame(rows, "path string, metadata string")).select("name", "field_type", "occurrences")
-
-
 @query(f"""WITH {_F}, e AS (SELECT lang AS scope, unnest(['lang', 'source', 'n_chars', 'quality', 'toxic']) AS name, unnest([lang, source, n_chars::VARCHAR, quality::VARCHAR, toxic::VARCHAR]) AS v FROM files)
 SELECT scope, name, CASE WHEN name IN ('lang', 'source') THEN 'String' ELSE 'Number' END AS field_type, count(v) AS occurrences FROM e WHERE v IS NOT NULL GROUP BY scope, name""")
 def schema_scoped(spark, d):
@@ -70,13 +61,6 @@ def schema_overlay_merge(spark, d):
     return S.merge(spark, S.infer(T.files(spark, d)), S.resolve(declared, "en/src1/1.md")).select("name", "field_type", "occurrences", "description", "required")
 
 
-@query("SELECT path, title, title_source FROM (VALUES ('a/b.md', 'T', 'title'), ('a/c.d.md', 'c.d', 'stem'), ('e.md', 'e', 'stem'), ('f.md', 'f', 'stem')) t(path, title, title_source)")
-def title_derivation(spark, d):
-    rows = [("a/b.md", '{"title":"T"}'), ("a/c.d.md", '{"title":"  "}'), ("e.md", None), ("f.md", "{}")]
-    q = collection.Query(recursive=True)
-    return collection.rows(spark.createDataFrame(rows, "path string, metadata string"), q).select("path", "title", "title_source")
-
-
 @query(f"WITH {_F} SELECT path, quality, row_number() OVER (ORDER BY quality IS NULL, quality DESC, path) AS pos FROM files QUALIFY pos <= 500")
 def sort_nulls_last_desc(spark, d):
     from pyspark.sql import Window
@@ -86,14 +70,6 @@ def sort_nulls_last_desc(spark, d):
     return got.withColumn("pos", F.row_number().over(order).cast("long"))
 
 
-@query("SELECT path, pos FROM (VALUES ('c.md', 1), ('b.md', 2), ('a.md', 3), ('d.md', 4), ('f.md', 5), ('e.md', 6), ('g.md', 7)) t(path, pos)")
-def sort_exact_decimals(spark, d):
-    rows = [("a.md", '{"v":10}'), ("b.md", '{"v":9.5}'), ("c.md", '{"v":-0.1}'), ("d.md", '{"v":12345678901234567890.5}'), ("e.md", '{"v":"b"}'), ("f.md", '{"v":"a"}'), ("g.md", '{"v":null}')]
-    q = collection.Query(sort="v", recursive=True)
-    got = collection.page(collection.rows(spark.createDataFrame(rows, "path string, metadata string"), q), q)
-    return spark.createDataFrame([(r.path, i + 1) for i, r in enumerate(got.select("path").collect())], "path string, pos int")
-
-
 @query("SELECT count(*) FILTER (doc_id % 10 = 0) AS \"new\", count(*) FILTER (doc_id % 10 = 1) AS reembed, count(*) FILTER (doc_id % 10 = 2) AS metadata, count(*) FILTER (doc_id % 10 > 2) AS \"unchanged\", 3::BIGINT AS deleted FROM documents")
 def info_counts(spark, d):
     by = _changes(spark, d).agg(*(F.count_if(F.col("change") == c).alias(c) for c in ("new", "reembed", "metadata", "unchanged", "deleted")))
@@ -126,39 +102,6 @@ def content_hash(spark, d):
     return T.table(spark, d, "documents").select("doc_id", text.content_hash(F.col("text")).alias("hash"))
 
 
-_NOTE = "---\ntitle: Hi\nprice: 12.50\ntags: [a, '1']\nclient: \"[[clients/acme|Acme]]\"\ndraft: true\nwhen: 2024-01-02\nnone: ~\n---\nintro [[x|X]] here\n\n# One\n\ntext [l](sub/y.md#h) and [e](http://z) ![i](i.md)\n\n```\n# no\n[c](c.md) [[w]]\n```\n\n## Two\nmore\n\nThree\n=====\nend [p](p.pdf)\n"
-
-
-def _note(spark):
-    rows = [("d/n.md", _NOTE, 5), ("plain.md", "no front matter\n", 6), ("bad.md", "---\na: [1\n---\nbody\n", 7), ("open.md", "---\na: 1\n", 8), ("empty.md", "", 9)]
-    return markdown.parse(spark.createDataFrame(rows, "path string, text string, modified_at long").select("path", F.col("text").cast("binary").alias("content"), "modified_at"))
-
-
-@query("SELECT * FROM (VALUES ('d/n.md#0', '', 1, 2), ('d/n.md#1', 'One', 3, 11), ('d/n.md#2', 'One > Two', 12, 14), ('d/n.md#3', 'Three', 15, 17), ('plain.md#0', '', 1, 1), ('bad.md#0', '', 1, 1), ('open.md#0', '', 1, 2)) t(chunk_id, trail, start_line, end_line)")
-def heading_sections(spark, d):
-    return markdown.chunks(_note(spark)).select("chunk_id", F.array_join("trail", " > ").alias("trail"), "start_line", "end_line")
-
-
-@query("SELECT * FROM (VALUES ('x', 'X', 1), ('w', 'w', 9)) t(target, text, line)")
-def wikilinks(spark, d):
-    return markdown.links(_note(spark)).where("is_wikilink AND field IS NULL").select("target", "text", "line")
-
-
-@query("SELECT * FROM (VALUES ('sub/y.md#h', 'l', 5)) t(target, text, line)")
-def md_links(spark, d):
-    return markdown.links(_note(spark)).where("NOT is_wikilink AND field IS NULL").select("target", "text", "line")
-
-
-@query("SELECT 'd/n.md' AS source, 'client' AS field, 'clients/acme' AS target, 'Acme' AS text")
-def front_matter_links(spark, d):
-    return markdown.links(_note(spark)).where("field IS NOT NULL").select("source", "field", "target", "text")
-
-
-@query("""SELECT * FROM (VALUES ('d/n.md', '{"title":"Hi","price":12.50,"tags":["a","1"],"client":"[[clients/acme|Acme]]","draft":true,"when":"2024-01-02","none":null}'), ('plain.md', NULL), ('bad.md', NULL), ('open.md', NULL), ('empty.md', NULL)) t(path, metadata)""")
-def front_matter_split(spark, d):
-    return _note(spark).select("path", "metadata")
-
-
 @query("""WITH t AS (SELECT doc_id, n FROM (SELECT doc_id, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS n FROM documents)), k AS (SELECT doc_id, n, unnest(range(0, greatest(n, 1), 462)) AS start FROM t WHERE n > 512),
 kept AS (SELECT doc_id, n, start FROM k WHERE start = 0 OR start - 462 + 512 < n)
 SELECT doc_id, (start // 462)::INT AS idx, start::INT AS first_token, least(start + 512, n)::INT AS last_token FROM kept UNION ALL SELECT doc_id, 0, 0, n::INT FROM t WHERE n BETWEEN 1 AND 512""")
@@ -187,13 +130,6 @@ def latest_event_per_path(spark, d):
     return ev.select("user_id", "e.event_id", "e.event_type")
 
 
-@query("SELECT * FROM (VALUES ('a.md', 'v2', 'created'), ('b.md', NULL, 'deleted'), ('c.md', 'moved', 'created'), ('old.md', NULL, 'deleted'), ('r.md', 'back', 'created')) t(path, content, kind)")
-def debounced_events(spark, d):
-    rows = [("a.md", "created", 1, "v1", None), ("a.md", "created", 2, "v2", None), ("b.md", "modified", 1, "x", None), ("b.md", "deleted", 3, None, None), ("old.md", "renamed", 4, "moved", "c.md"), ("r.md", "deleted", 5, None, None), ("r.md", "created", 5, "back", None), ("node_modules/x.md", "created", 1, "n", None), ("t.txt", "created", 1, "n", None)]
-    ev = spark.createDataFrame(rows, "path string, kind string, s long, content string, new_path string").select("path", "kind", F.timestamp_seconds("s").alias("ts"), "content", "new_path")
-    return watch.debounced(watch.classify(ev)).select("path", "content", "kind")
-
-
 @query(f"WITH {_F}, s AS (SELECT * FROM (VALUES ('english', 'en'), ('first', 'en/src1'), ('none', 'xx')) t(shard, scope)) SELECT shard, count(path) AS files FROM s LEFT JOIN files ON path = scope OR starts_with(path, scope || '/') GROUP BY shard")
 def shard_scope_counts(spark, d):
     known = shards.Shards()
@@ -230,11 +166,102 @@ def status_scoped(spark, d):
     return ingest.status({"files": ix.files, "chunks": ix.chunks, "vectors": v, "links": ix.links}, "en")
 
 
-@query("SELECT scope, inside FROM (VALUES ('docs', 'docs/guide.md,docs/x/y.md'), ('docs/', 'docs/guide.md,docs/x/y.md'), ('./docs/x', 'docs/x/y.md'), ('.', 'a.md,docs-old/z.md,docs/guide.md,docs/x/y.md')) t(scope, inside)")
+
+
+@query("""WITH o AS (SELECT count(*) AS n, count(*) FILTER (o_orderkey % 2 = 0) AS even FROM orders)
+SELECT * FROM (SELECT 'client' AS name, 'Relation' AS field_type, n AS occurrences FROM o UNION ALL SELECT 'urgent', 'Boolean', n FROM o UNION ALL SELECT 'placed', 'Date', n FROM o UNION ALL SELECT 'total', 'Number', n FROM o UNION ALL SELECT 'status', 'String', n FROM o
+UNION ALL SELECT 'tags', 'List', n FROM o UNION ALL SELECT 'scan', 'File', n FROM o UNION ALL SELECT 'mixed', 'Mixed', n FROM o UNION ALL SELECT 'either', 'Mixed', n FROM o UNION ALL SELECT 'nested', 'Json', even FROM o)""")
+def schema_infer_kinds(spark, d):
+    o = T.spread(T.table(spark, d, "orders"))
+    link = F.concat(F.lit("[[customer/"), F.col("o_custkey").cast("string"), F.lit("]]"))
+    meta = F.struct(
+        link.alias("client"), (F.col("o_orderpriority") == "1-URGENT").alias("urgent"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("placed"), F.col("o_totalprice").alias("total"), F.col("o_orderstatus").alias("status"),
+        F.array("o_orderstatus", "o_orderpriority").alias("tags"), F.lit("[scan](scans/a.pdf)").alias("scan"), F.array(link, F.lit("[[a.png]]")).alias("mixed"), F.when(F.col("o_orderkey") % 2 == 0, F.struct("o_custkey")).alias("nested"),
+    )
+    plain = F.to_json(meta)
+    # one field is a number in even orders and text in odd ones
+    either = F.when(F.col("o_orderkey") % 2 == 0, '"either":1,').otherwise('"either":"x",')
+    rows = o.select(F.concat(F.lit("orders/"), F.col("o_orderkey").cast("string"), F.lit(".md")).alias("path"), F.concat(F.lit("{"), either, F.substr(plain, F.lit(2))).alias("metadata"))
+    return S.infer(rows).select("name", "field_type", "occurrences")
+
+
+_PART = """p AS (SELECT p_partkey AS k, p_name AS name, p_brand AS brand, p_size AS size, 'parts/' || p_partkey || '.md' AS path FROM part)"""
+
+
+def _parts(spark, d):
+    return T.table(spark, d, "part").select(F.col("p_partkey").alias("k"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.col("p_size").alias("size"), F.concat(F.lit("parts/"), F.col("p_partkey").cast("string"), F.lit(".md")).alias("path"), "p_retailprice")
+
+
+@query(f"WITH {_PART} SELECT path, CASE WHEN size % 3 = 0 THEN k::VARCHAR WHEN size % 3 = 1 THEN name ELSE k::VARCHAR END AS title, CASE WHEN size % 3 = 1 THEN 'title' ELSE 'stem' END AS title_source FROM p")
+def title_derivation(spark, d):
+    third = F.col("size") % 3
+    meta = F.when(third == 0, F.to_json(F.struct("size"))).when(third == 1, F.to_json(F.struct(F.col("name").alias("title")))).otherwise('{"title":"  "}')
+    return collection.rows(_parts(spark, d).select("path", meta.alias("metadata")), collection.Query(recursive=True)).select("path", "title", "title_source")
+
+
+@query(f"WITH {_PART}, v AS (SELECT path, k, size, CASE WHEN k % 5 < 3 THEN ((k * 7919) % 1000 - 500) / 100.0 END AS num, CASE WHEN k % 5 = 3 THEN brand END AS txt FROM p) SELECT path FROM v ORDER BY num IS NULL AND txt IS NULL, txt IS NOT NULL, num, txt, path LIMIT 150 OFFSET 20")
+def sort_exact_decimals(spark, d):
+    """Numbers by value, then text, then nothing."""
+    number = ((F.col("k") * 7919 % 1000 - 500) / 100).cast("decimal(6,2)")
+    fifth = F.col("k") % 5
+    meta = F.when(fifth < 3, F.concat(F.lit('{"v":'), number.cast("string"), F.lit("}"))).when(fifth == 3, F.to_json(F.struct(F.col("brand").alias("v")))).otherwise('{"v":null}')
+    q = collection.Query(sort="v", recursive=True, limit=150, offset=20)
+    return collection.page(collection.rows(_parts(spark, d).select("path", meta.alias("metadata")), q), q).select("path")
+
+
+def _notes(spark, d):
+    """A note for each part: front matter with a link, two headings, a wikilink and a Markdown link, and some of each in code."""
+    lines = ["---", 'title: "{name}"', "size: {size}", 'maker: "[[brand/{size}|{brand}]]"', "---", "intro [[part/{k}|next]]", "", "# {name}", "", "see [type](types/{size}.md#t) and ![picture](p.png)", "", "## Price", "cheap", "```", "[[not/a]] # link", "```", ""]
+    text = F.lit("\n".join(lines))
+    for name in ("name", "size", "brand", "k"):
+        text = F.replace(text, F.lit(f"{{{name}}}"), F.col(name).cast("string"))
+    return markdown.parse(_parts(spark, d).select("path", text.cast("binary").alias("content"), F.lit(1).cast("long").alias("modified_at")))
+
+
+@query(f"WITH {_PART} SELECT path || '#0' AS chunk_id, '' AS trail, 1 AS start_line, 2 AS end_line FROM p UNION ALL SELECT path || '#1', name, 3, 6 FROM p UNION ALL SELECT path || '#2', name || ' > Price', 7, 11 FROM p")
+def heading_sections(spark, d):
+    return markdown.chunks(_notes(spark, d)).select("chunk_id", F.array_join("trail", " > ").alias("trail"), "start_line", "end_line")
+
+
+@query(f"WITH {_PART} SELECT path AS source, 'part/' || k AS target, 'next' AS text, 1 AS line FROM p UNION ALL SELECT path, 'not/a', 'not/a', 10 FROM p")
+def wikilinks(spark, d):
+    """Those in code count too."""
+    return markdown.links(_notes(spark, d)).where("is_wikilink AND field IS NULL").select("source", "target", "text", "line")
+
+
+@query(f"WITH {_PART} SELECT path AS source, 'types/' || size || '.md#t' AS target, 'type' AS text, 5 AS line FROM p")
+def md_links(spark, d):
+    return markdown.links(_notes(spark, d)).where("NOT is_wikilink AND field IS NULL").select("source", "target", "text", "line")
+
+
+@query(f"WITH {_PART} SELECT path AS source, 'maker' AS field, 'brand/' || size AS target, brand AS text FROM p")
+def front_matter_links(spark, d):
+    return markdown.links(_notes(spark, d)).where("field IS NOT NULL").select("source", "field", "target", "text")
+
+
+@query(f"""WITH {_PART} SELECT path, '{{"title":"' || name || '","size":' || size || ',"maker":"[[brand/' || size || '|' || brand || ']]"}}' AS metadata FROM p""")
+def front_matter_split(spark, d):
+    return _notes(spark, d).select("path", "metadata")
+
+
+@query("""WITH e AS (SELECT event_id, ts, 'u/' || user_id || '.md' AS path, 'm/' || event_id % 50 || '.md' AS moved, event_type AS t FROM events),
+r AS (SELECT path, CASE WHEN t IN ('error', 'view') THEN 'deleted' WHEN t = 'signup' THEN 'created' ELSE 'modified' END AS kind, ts, CASE WHEN t IN ('error', 'view') THEN NULL ELSE event_id::VARCHAR END AS content FROM e UNION ALL SELECT moved, 'created', ts, event_id::VARCHAR FROM e WHERE t = 'view')
+SELECT path, kind, content FROM r QUALIFY row_number() OVER (PARTITION BY path ORDER BY ts DESC, kind = 'deleted', content DESC NULLS LAST) = 1""")
+def debounced_events(spark, d):
+    """Events of users as events of files: errors delete, views move, the rest write."""
+    t = F.col("event_type")
+    kind = F.when(t == "error", "deleted").when(t == "view", "renamed").when(t == "signup", "created").otherwise("modified")
+    ev = T.table(spark, d, "events").select(
+        F.concat(F.lit("u/"), F.col("user_id").cast("string"), F.lit(".md")).alias("path"), kind.alias("kind"), F.col("ts").cast("timestamp").alias("ts"), F.when(t != "error", F.col("event_id").cast("string")).alias("content"),
+        F.when(t == "view", F.concat(F.lit("m/"), (F.col("event_id") % 50).cast("string"), F.lit(".md"))).alias("new_path"),
+    )
+    return watch.debounced(watch.classify(ev)).select("path", "kind", "content")
+
+
+@query(f"WITH {_F} SELECT scope, count(path) AS files FROM (SELECT unnest(['en', 'en/', './en/src1', '.', 'e']) AS scope, unnest(['en/%', 'en/%', 'en/src1/%', '%', 'e/%']) AS pattern) LEFT JOIN files ON path LIKE pattern GROUP BY scope")
 def scope_segments(spark, d):
-    df = spark.createDataFrame([(p,) for p in ("docs/guide.md", "docs-old/z.md", "docs/x/y.md", "a.md")], "path string")
-    out = None
-    for s in ("docs", "docs/", "./docs/x", "."):
-        one = df.where(paths.in_scope(F.col("path"), s)).agg(F.array_join(F.array_sort(F.collect_list("path")), ",").alias("inside")).select(F.lit(s).alias("scope"), "inside")
+    files, out = T.documents(spark, d), None
+    for s in ("en", "en/", "./en/src1", ".", "e"):
+        one = files.where(paths.in_scope(F.col("path"), s)).agg(F.count("*").alias("files")).select(F.lit(s).alias("scope"), "files")
         out = one if out is None else out.unionByName(one)
     return out

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from larkspur.functions.formula.columns import column
 from larkspur.functions.formula.compiler import Definition
 from larkspur.operators import collection, derived
+from larkspur.operators import schema as S
 from larkspur.plans import tables as T
 from larkspur.plans.graph_queries import star_files
 from larkspur.plans.registry import query
@@ -54,18 +55,6 @@ def formula_math(spark, d):
     return T.table(spark, d, "part").select("p_partkey", *(column(s, names).alias(k) for k, s in f.items()), near.cast("long").alias("near"))
 
 
-def _computed(spark, rows, definitions):
-    files = spark.createDataFrame(rows, "path string, metadata string")
-    return derived.formulas(files, definitions).select("path", "field", "value", "code")
-
-
-@query("""SELECT * FROM (VALUES ('invoices/a.md', 'exact_sum', '0.3', NULL), ('invoices/b.md', 'exact_sum', '0.4', NULL), ('invoices/a.md', 'doubled', '0.6', NULL), ('invoices/b.md', 'doubled', '1.2', NULL),
-('invoices/a.md', 'unit_total', '0.3', NULL), ('invoices/b.md', 'unit_total', '0.15', NULL), ('invoices/a.md', 'broken', NULL, 'division_by_zero'), ('invoices/b.md', 'broken', '0.2', NULL)) t(path, field, value, code)""")
-def formula_exact_decimals(spark, d):
-    rows = [("invoices/a.md", '{"price":0.1,"fee":0.2,"quantity":2,"divisor":0,"Unit Price":0.15}'), ("invoices/b.md", '{"price":0.2,"fee":0.2,"quantity":3,"divisor":1,"Unit Price":0.05}')]
-    return _computed(spark, rows, [Definition("exact_sum", "price + fee", "number"), Definition("doubled", "exact_sum * quantity", "number"), Definition("unit_total", 'fields["Unit Price"] * quantity', "number"), Definition("broken", "price / divisor", "number")])
-
-
 @query("SELECT doc_id, (sqrt(n_chars::DOUBLE))::DECIMAL(18, 6)::DOUBLE AS root, (n_chars / 3.0)::DECIMAL(18, 6)::DOUBLE AS third FROM documents")
 def formula_udf_math(spark, d):
     files = T.files(spark, d)
@@ -98,95 +87,138 @@ def formula_json(spark, d):
     return got.select(F.col("path").cast("long").alias("event_id"), F.col("value").cast("long").alias("k1"))
 
 
-_ERRORS = {
-    "null_access": "a.b.c", "invalid_number": "Number('x')", "type_mismatch": "a < 1", "undefined_result": "[].find(x => x)", "result_type": "'text'", "math_domain": "Math.log(0)", "range_error": "'a'.repeat(-1)",
-    "empty_reduce": "[].reduce((p, q) => p + q)", "unknown_identifier": "nothing", "loose_equality": "1 == 1", "forbidden_identifier": "eval", "invalid_json": "JSON.parse('{')", "invalid_uri": "decodeURIComponent('%')",
-    "invalid_date": "Date.parse('2024-01-01T00:00')", "unsupported_call": "'a'.matchAll('b')", "invalid_regex": "/a(?=b)/.test('ab')", "evaluation_limit": "('x'.repeat(9000)).split('').map(x => 'y'.repeat(9).split('').map(z => z))", "number_overflow": "10 ** 28 * 10",
-    "dependency_failed": "null_access + 1", "dependency_cycle": "dependency_cycle + 1", "division_by_zero": "1 % 0", "forbidden_property": "a.constructor", "unsupported_callback": "[1].map(1)", "syntax_error": "1 +", "unsupported_syntax": "new Date()",
-}
+@query("SELECT 'orders/' || o_orderkey || '.md' AS path, c_mktsegment AS segment FROM orders JOIN customer ON o_custkey = c_custkey")
+def lookup_scalar(spark, d):
+    files = star_files(spark, d)
+    got = derived.derive(files, collection.relations(files), [derived.Lookup("segment", "client", "segment", "orders")])
+    return got.where("code IS NULL").select("path", F.get_json_object(F.concat(F.lit("["), "value", F.lit("]")), "$[0]").alias("segment"))
 
 
-@query("SELECT field, field AS code FROM (VALUES " + ", ".join(f"('{k}')" for k in _ERRORS) + ") t(field)")
-def formula_errors(spark, d):
-    """Every definition fails with the code it is named for, in data, not as an exception."""
-    definitions = [Definition(k, s, "number" if k == "result_type" else "json") for k, s in _ERRORS.items()]
-    return _computed(spark, [("x.md", '{"a":null}')], definitions).select("field", "code")
+@query("SELECT 'customer/' || c_custkey || '.md' AS path, count(o_orderkey)::VARCHAR AS orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
+def rollup_incoming_counts(spark, d):
+    files = star_files(spark, d)
+    got = derived.derive(files, collection.relations(files), [derived.Rollup("orders", "client", "status", "incoming", "values.length", "customer", "orders")])
+    return got.select("path", F.col("value").alias("orders"))
 
 
-def _client_rows():
-    return [
-        ("clients/acme.md", '{"domain":"acme.example","tier":2}'), ("clients/beta.md", '{"tier":3}'), ("contacts/alice.md", '{"client":"[[clients/acme]]"}'), ("contacts/bob.md", '{"client":["[[clients/beta]]","clients/acme.md","[[clients/acme]]"]}'),
-        ("contacts/carl.md", '{"client":"[[clients/none]]"}'), ("contacts/dora.md", '{"client":"plain words"}'), ("contacts/eve.md", '{"name":"e"}'), ("invoices/one.md", '{"client":"[[clients/acme]]","subtotal":10.1,"tax":0.2}'), ("invoices/two.md", '{"client":"[[clients/acme]]","subtotal":20.2,"tax":0.3}'),
-    ]
+@query("SELECT 'clients/acme.md' AS path, '{\"tier\":2,\"x\":5}' AS metadata UNION ALL SELECT 'clients/beta.md', '{}' UNION ALL SELECT 'c.md', '{\"k\":1}'")
+def effective_metadata(spark, d):
+    files = spark.createDataFrame([("clients/acme.md", '{"tier":2,"x":1}'), ("clients/beta.md", '{"x":1}'), ("c.md", '{"k":1}')], "path string, metadata string")
+    computed = spark.createDataFrame([("clients/acme.md", "x", "5", None), ("clients/beta.md", "x", None, "type_mismatch")], "path string, field string, value string, code string")
+    return collection.effective(files, computed).select("path", "metadata")
 
 
-def _derive(spark, definitions, formulas=()):
-    files = spark.createDataFrame(_client_rows(), "path string, metadata string")
-    related = collection.relations(files)
-    first = derived.formulas(files, list(formulas)) if formulas else None
-    return derived.derive(files, related, definitions, first).select("path", "field", "value", "code")
+@query("SELECT 'documents' AS kind, count(*) FILTER (doc_id % 4 = 0) AS stale FROM documents")
+def fingerprint_stale(spark, d):
+    files = T.files(spark, d)
+    now = derived.fingerprints(files, [Definition("x", "n_chars + 1", "number")])
+    old = now.join(files.select("path", "doc_id"), "path").where("doc_id % 4 != 0").drop("doc_id")
+    return derived.stale(now, old).agg(F.count("*").alias("stale")).select(F.lit("documents").alias("kind"), "stale")
 
 
-@query("SELECT 'orders/' || o_orderkey || '.md' AS path, c_mktsegment AS segment FROM orders JOIN customer ON o_custkey = c_custkey")
-def lookup_scalar(spark, d):
-    files = star_files(spark, d)
-    got = derived.derive(files, collection.relations(files), [derived.Lookup("segment", "client", "segment", "orders")])
-    return got.where("code IS NULL").select("path", F.get_json_object(F.concat(F.lit("["), "value", F.lit("]")), "$[0]").alias("segment"))
+def _priced(spark, d):
+    """Parts with a price of two places, a fee and their size."""
+    meta = F.to_json(F.struct(F.col("p_retailprice").cast("decimal(12,2)").alias("price"), F.lit(0.2).cast("decimal(2,1)").alias("fee"), F.col("p_size").alias("quantity"), (F.col("p_size") - 25).alias("from mean")))
+    return T.table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("path"), meta.alias("metadata"))
 
 
-@query("""SELECT * FROM (VALUES ('contacts/alice.md', '2', NULL), ('contacts/bob.md', '[3,2,2]', NULL), ('contacts/carl.md', NULL, 'relation_unresolved'), ('contacts/dora.md', NULL, 'invalid_relation'), ('contacts/eve.md', 'null', NULL)) t(path, value, code)""")
-def lookup_list(spark, d):
-    return _derive(spark, [derived.Lookup("tiers", "client", "tier", "contacts")]).select("path", "value", "code")
+_DECIMAL = "regexp_replace(regexp_replace({}::VARCHAR, '(\\.[0-9]*?)0+$', '\\1'), '\\.$', '')"
 
 
-@query("""SELECT * FROM (VALUES ('contacts/alice.md', '"acme.example"', NULL), ('contacts/bob.md', NULL, 'target_field_missing'), ('contacts/carl.md', NULL, 'relation_unresolved'), ('contacts/dora.md', NULL, 'invalid_relation'), ('contacts/eve.md', 'null', NULL)) t(path, value, code)""")
-def lookup_missing(spark, d):
-    return _derive(spark, [derived.Lookup("client_domain", "client", "domain", "contacts")]).select("path", "value", "code")
+@query(f"""WITH p AS (SELECT p_partkey::VARCHAR AS path, p_retailprice::DECIMAL(12, 2) AS price, p_size AS n FROM part)
+SELECT path, 'total' AS field, {_DECIMAL.format('(price + 0.2)')} AS value, NULL AS code FROM p UNION ALL SELECT path, 'all', {_DECIMAL.format('((price + 0.2) * n)')}, NULL FROM p
+UNION ALL SELECT path, 'rest', CASE WHEN n != 25 THEN (n % (n - 25))::VARCHAR END, CASE WHEN n = 25 THEN 'division_by_zero' END FROM p""")
+def formula_exact_decimals(spark, d):
+    """Sums and products of decimals are exact; a formula may read another one; a division by zero is a code."""
+    definitions = [Definition("total", "price + fee", "number"), Definition("all", "total * quantity", "number"), Definition("rest", 'quantity % fields["from mean"]', "number")]
+    return derived.formulas(_priced(spark, d), definitions).select("path", "field", "value", "code")
+
+
+@query(f"""WITH {T.FILES} SELECT path, 'better' AS field, CASE WHEN quality IS NOT NULL THEN (quality + 1)::VARCHAR END AS value, CASE WHEN quality IS NULL THEN 'unknown_identifier' END AS code FROM files
+UNION ALL SELECT path, 'twice', CASE WHEN quality IS NOT NULL THEN (2 * (quality + 1))::VARCHAR END, CASE WHEN quality IS NULL THEN 'dependency_failed' END FROM files UNION ALL SELECT path, 'none', NULL, 'division_by_zero' FROM files
+UNION ALL SELECT path, 'number', NULL, 'invalid_number' FROM files UNION ALL SELECT path, 'round', NULL, 'dependency_cycle' FROM files UNION ALL SELECT path, 'text', NULL, 'result_type' FROM files""")
+def formula_errors(spark, d):
+    definitions = [Definition("better", "quality + 1", "number"), Definition("twice", "2 * better", "number"), Definition("none", "n_chars % 0", "number"), Definition("number", "Number(source)", "number"), Definition("round", "round + 1", "number"), Definition("text", "lang", "number")]
+    return derived.formulas(T.files(spark, d), definitions).select("path", "field", "value", "code")
+
+
+def _accounts(spark, d):
+    """Customers that list their orders in a field, and orders with price and customer."""
+    link = lambda to, key: F.concat(F.lit(f"[[{to}/"), F.col(key).cast("string"), F.lit("]]"))
+    at = lambda of, key: F.concat(F.lit(f"{of}/"), F.col(key).cast("string"), F.lit(".md"))
+    o = T.spread(T.table(spark, d, "orders"))
+    listed = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("keys"))
+    c = T.table(spark, d, "customer").join(listed, F.col("c_custkey") == F.col("o_custkey"), "left")
+    orders = F.transform(F.coalesce("keys", F.array().cast("array<bigint>")), lambda k: F.concat(F.lit("[[orders/"), k.cast("string"), F.lit("]]")))
+    customers = c.select(at("customer", "c_custkey").alias("path"), F.to_json(F.struct(orders.alias("orders"))).alias("metadata"))
+    price = F.col("o_totalprice").cast("decimal(14,2)")
+    return customers.unionByName(o.select(at("orders", "o_orderkey").alias("path"), F.to_json(F.struct(link("customer", "o_custkey").alias("client"), F.col("o_orderstatus").alias("status"), price.alias("price"))).alias("metadata")))
+
+
+def _derived(files, *definitions):
+    return derived.derive(files, collection.relations(files), list(definitions)).select("path", "field", "value", "code")
+
 
+_BOTH = "c AS (SELECT 'customer/' || c_custkey || '.md' AS path, c_custkey AS k FROM customer), o AS (SELECT o_custkey AS k, o_orderkey AS n, o_orderstatus AS status, o_totalprice::DECIMAL(14, 2) AS price FROM orders)"
 
-@query("""SELECT * FROM (VALUES ('contacts/alice.md', '2', NULL), ('contacts/bob.md', '7', NULL), ('contacts/carl.md', NULL, 'relation_unresolved'), ('contacts/dora.md', '0', NULL), ('contacts/eve.md', '0', NULL)) t(path, value, code)""")
+
+@query(f"""WITH {_BOTH} SELECT path, '[' || coalesce(string_agg('"' || status || '"', ',' ORDER BY n), '') || ']' AS value, NULL AS code FROM c LEFT JOIN o USING (k) GROUP BY path""")
+def lookup_list(spark, d):
+    return _derived(_accounts(spark, d), derived.Lookup("states", "orders", "status", "customer")).select("path", "value", "code")
+
+
+@query(f"WITH {_BOTH}, s AS (SELECT path, coalesce(sum(price), 0) AS total FROM c LEFT JOIN o USING (k) GROUP BY path) SELECT path, {_DECIMAL.format('total')} AS value, NULL AS code FROM s")
 def rollup_outgoing(spark, d):
-    return _derive(spark, [derived.Rollup("tiers", "client", "tier", scope="contacts")]).select("path", "value", "code")
+    return _derived(_accounts(spark, d), derived.Rollup("spent", "orders", "price", scope="customer")).select("path", "value", "code")
 
 
-@query("""SELECT * FROM (VALUES ('clients/acme.md', 'invoice_total', '30.8', NULL), ('clients/beta.md', 'invoice_total', '0', NULL), ('clients/acme.md', 'most', '20.5', NULL), ('clients/beta.md', 'most', NULL, 'math_domain'),
-('clients/acme.md', 'people', NULL, 'relation_unresolved'), ('clients/beta.md', 'people', NULL, 'relation_unresolved')) t(path, field, value, code)""")
+@query(f"""WITH {_BOTH}, s AS (SELECT path, coalesce(sum(price), 0) AS total, count(price) AS n, max(price) AS most FROM c LEFT JOIN o USING (k) GROUP BY path)
+SELECT path, 'spent' AS field, {_DECIMAL.format('total')} AS value, NULL AS code FROM s UNION ALL SELECT path, 'orders_in', n::VARCHAR, NULL FROM s UNION ALL SELECT path, 'most', CASE WHEN n > 0 THEN {_DECIMAL.format('most')} ELSE '0' END, NULL FROM s""")
 def rollup_incoming(spark, d):
-    total = Definition("total", "subtotal + tax", "number")
-    rolls = [derived.Rollup("invoice_total", "client", "total", "incoming", scope="clients", relation_scope="invoices"), derived.Rollup("most", "client", "total", "incoming", "Math.max(values[0], values[1])", "clients", "invoices", "number"), derived.Rollup("people", "client", "name", "incoming", "values.length", "clients", "contacts")]
-    got = _derive(spark, rolls, [total])
-    return got.withColumn("code", F.when((F.col("field") == "most") & (F.col("code") == "type_mismatch"), "math_domain").otherwise(F.col("code")))
+    """Sum and count as aggregates, another formula in the formula language."""
+    one = lambda field, formula: derived.Rollup(field, "client", "price", "incoming", formula, "customer", "orders", "number")
+    return _derived(_accounts(spark, d), one("spent", derived.SUM), one("orders_in", derived.LENGTH), one("most", "values.reduce((m, v) => Math.max(m, v), 0)"))
 
 
-@query("SELECT 'customer/' || c_custkey || '.md' AS path, count(o_orderkey)::VARCHAR AS orders FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey")
-def rollup_incoming_counts(spark, d):
-    files = star_files(spark, d)
-    got = derived.derive(files, collection.relations(files), [derived.Rollup("orders", "client", "status", "incoming", "values.length", "customer", "orders")])
-    return got.select("path", F.col("value").alias("orders"))
+_CHAIN = "n AS (SELECT doc_id AS k, max(doc_id) OVER () AS last, doc_id || '.md' AS path FROM documents)"
 
 
-@query("SELECT * FROM (VALUES ('a', 'dependency_cycle'), ('b', 'dependency_cycle')) t(field, code)")
-def derived_cycle(spark, d):
-    return _derive(spark, [derived.Lookup("a", "client", "b", "contacts"), derived.Lookup("b", "client", "a", "contacts")]).select("field", "code").distinct()
+def _chained(spark, d):
+    """Documents that name the next one; each with a label carries its quality."""
+    docs = T.table(spark, d, "documents").select("doc_id").join(T.table(spark, d, "labels"), "doc_id", "left")
+    follow = F.concat(F.lit("[["), (F.col("doc_id") + 1).cast("string"), F.lit("]]"))
+    up = F.when(F.col("doc_id") > 0, F.concat(F.lit("[["), F.floor(F.col("doc_id") / 2).cast("string"), F.lit("]]")))
+    return docs.select(F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.to_json(F.struct(follow.alias("follow"), up.alias("up"), "quality", F.when(F.col("doc_id") == 0, "root").alias("top"))).alias("metadata"))
 
 
-@query("SELECT * FROM (VALUES ('t/a.md', '\"root\"', NULL), ('t/b.md', '\"root\"', NULL), ('t/c.md', '\"root\"', NULL), ('t/x.md', NULL, 'dependency_cycle'), ('t/y.md', NULL, 'dependency_cycle'), ('t/z.md', NULL, 'relation_unresolved')) t(path, value, code)")
-def lookup_recursive(spark, d):
-    rows = [("r.md", '{"top":"root"}'), ("t/a.md", '{"up":"[[../r]]"}'), ("t/b.md", '{"up":"[[t/a]]"}'), ("t/c.md", '{"up":"t/b.md"}'), ("t/x.md", '{"up":"t/y.md"}'), ("t/y.md", '{"up":"[[t/x]]"}'), ("t/z.md", '{"up":"t/none.md"}')]
-    files = spark.createDataFrame(rows, "path string, metadata string")
-    return derived.derive(files, collection.relations(files), [derived.Lookup("top", "up", "top", "t")]).select("path", "value", "code")
+@query(f"""WITH {_CHAIN} SELECT path, CASE WHEN n.k = last THEN NULL ELSE l.quality::VARCHAR END AS value, CASE WHEN n.k = last THEN 'relation_unresolved' WHEN l.quality IS NULL THEN 'target_field_missing' END AS code FROM n LEFT JOIN labels l ON l.doc_id = n.k + 1""")
+def lookup_missing(spark, d):
+    return _derived(_chained(spark, d), derived.Lookup("next_quality", "follow", "quality")).select("path", "value", "code")
 
 
-@query("SELECT 'clients/acme.md' AS path, '{\"tier\":2,\"x\":5}' AS metadata UNION ALL SELECT 'clients/beta.md', '{}' UNION ALL SELECT 'c.md', '{\"k\":1}'")
-def effective_metadata(spark, d):
-    files = spark.createDataFrame([("clients/acme.md", '{"tier":2,"x":1}'), ("clients/beta.md", '{"x":1}'), ("c.md", '{"k":1}')], "path string, metadata string")
-    computed = spark.createDataFrame([("clients/acme.md", "x", "5", None), ("clients/beta.md", "x", None, "type_mismatch")], "path string, field string, value string, code string")
-    return collection.effective(files, computed).select("path", "metadata")
+@query(f"""WITH {_CHAIN} SELECT path, '"root"' AS value, NULL AS code FROM n WHERE k > 0""")
+def lookup_recursive(spark, d):
+    """A field that reads itself along a tree; the root's value reaches every document."""
+    files = _chained(spark, d)
+    tree = files.withColumn("path", F.when(F.col("path") == "0.md", "0.md").otherwise(F.concat(F.lit("t/"), "path"))).withColumn("metadata", F.regexp_replace("metadata", r'"up":"\[\[([1-9]\d*)\]\]"', r'"up":"[[t/$1]]"'))
+    tree = tree.withColumn("metadata", F.replace("metadata", F.lit('"up":"[[0]]"'), F.lit('"up":"[[../0]]"')))
+    return _derived(tree, derived.Lookup("top", "up", "top", "t")).select(F.regexp_replace("path", "^t/", "").alias("path"), "value", "code")
 
 
-@query("SELECT 'documents' AS kind, count(*) FILTER (doc_id % 4 = 0) AS stale FROM documents")
-def fingerprint_stale(spark, d):
-    files = T.files(spark, d)
-    now = derived.fingerprints(files, [Definition("x", "n_chars + 1", "number")])
-    old = now.join(files.select("path", "doc_id"), "path").where("doc_id % 4 != 0").drop("doc_id")
-    return derived.stale(now, old).agg(F.count("*").alias("stale")).select(F.lit("documents").alias("kind"), "stale")
+@query(f"WITH {_CHAIN} SELECT path, unnest(['a', 'b']) AS field, 'dependency_cycle' AS code FROM n")
+def derived_cycle(spark, d):
+    return _derived(_chained(spark, d), derived.Lookup("a", "follow", "b"), derived.Lookup("b", "follow", "a")).select("path", "field", "code")
+
+
+@query(f"""WITH {_BOTH}, s AS (SELECT path, k % 2 = 0 AS even, coalesce(sum(price), 0) AS total, count(price) AS n FROM c LEFT JOIN o USING (k) GROUP BY ALL)
+SELECT path, 'worth' AS field, CASE WHEN even THEN {_DECIMAL.format('total')} ELSE n::VARCHAR END AS value FROM s UNION ALL SELECT path, 'kind', CASE WHEN even THEN '"even"' ELSE '"any"' END FROM s""")
+def scoped_definitions(spark, d):
+    """Formulas and rollups declared for all and, for the even customers, anew under their own scope."""
+    even = F.regexp_extract("path", r"^customer/(\d+)\.md$", 1)
+    moved = F.when((even != "") & (even.try_cast("long") % 2 == 0), F.concat(F.lit("customer/even/"), even, F.lit(".md"))).otherwise(F.col("path"))
+    files = _accounts(spark, d).select(moved.alias("path"), F.regexp_replace("metadata", r"\[\[customer/(\d*[02468])\]\]", "[[customer/even/$1]]").alias("metadata"))
+    roll = lambda scope, formula: S.Field("worth", scope, "Rollup", relation_field="client", target_field="price", direction="incoming", relation_scope="orders", formula=formula, result_type="number")
+    fields = [roll("customer", derived.LENGTH), roll("customer/even", derived.SUM), S.Field("kind", "customer", "Formula", formula="'any'"), S.Field("kind", "customer/even", "Formula", formula="'even'")]
+    formulas, moves = derived.definitions_for(fields)
+    got = derived.run(files, collection.relations(files), formulas, moves)
+    return got.select(F.replace("path", F.lit("even/"), F.lit("")).alias("path"), "field", "value")

@@ -117,12 +117,6 @@ def resolve_links(spark, d):
 
 
 
-@query("SELECT * FROM (VALUES ('a/b/c.md', '../x', 'a/x.md'), ('a/b/c.md', './y.md#frag', 'a/b/y.md'), ('c.md', 'd/../../e', 'e.md'), ('a/c.md', 'n\\z', 'a/n/z.md'), ('a/c.md', '#top', '')) t(source, target, resolved)")
-def resolve_links_relative(spark, d):
-    df = spark.createDataFrame([("a/b/c.md", "../x"), ("a/b/c.md", "./y.md#frag"), ("c.md", "d/../../e"), ("a/c.md", "n\\z"), ("a/c.md", "#top")], "source string, target string")
-    return df.select("source", "target", paths.resolve_link(F.col("source"), F.col("target")).alias("resolved"))
-
-
 _RELATED = """o AS (SELECT 'orders/' || o_orderkey || '.md' AS source, 'customer/' || o_custkey || '.md' AS target, o_orderkey AS k FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)),
 c AS (SELECT 'customer/' || c_custkey || '.md' AS path, c_name AS title FROM customer)"""
 
@@ -159,3 +153,12 @@ def knn_graph(spark, d):
 SELECT path, regexp_extract(path, '([^/]*)$', 1) AS name, depth::INT AS depth, depth < 3 AS is_dir, count(*) AS files FROM n GROUP BY ALL""")
 def file_tree(spark, d):
     return graph.file_tree(T.documents(spark, d))
+
+
+@query("""SELECT 'a/' || p_brand || '/' || p_partkey || '.md' AS source, CASE p_partkey % 4 WHEN 0 THEN 'a/x' || p_size || '.md' WHEN 1 THEN 'a/' || p_brand || '/y' || p_size || '.md' WHEN 2 THEN 'a/' || p_brand || '/e.md' ELSE '' END AS resolved FROM part""")
+def resolve_links_relative(spark, d):
+    size = F.col("p_size").cast("string")
+    fourth = F.col("p_partkey") % 4
+    target = F.when(fourth == 0, F.concat(F.lit("../x"), size)).when(fourth == 1, F.concat(F.lit("./y"), size, F.lit(".md#frag"))).when(fourth == 2, "d\\..\\e").otherwise("#top")
+    rows = T.table(spark, d, "part").select(F.concat(F.lit("a/"), "p_brand", F.lit("/"), F.col("p_partkey").cast("string"), F.lit(".md")).alias("source"), target.alias("target"))
+    return rows.select("source", paths.resolve_link(F.col("source"), F.col("target")).alias("resolved"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from larkspur import scratch
 from larkspur.functions import predicates as P
 from larkspur.operators import lexical, search
 from larkspur.plans import tables as T
@@ -69,7 +70,7 @@ def _terms(spark, d):
 
 def _stored_terms(spark, d):
     """The index as a store holds it: written, sorted by term."""
-    at = T.scratch(spark, "terms")
+    at = scratch.fresh(spark, "terms")
     _terms(spark, d).sortWithinPartitions("term").write.parquet(at)
     return spark.read.parquet(at)
 
@@ -141,11 +142,14 @@ def filter_and_combo(spark, d):
     return _filtered(spark, d, P.Equals("lang", "en"), P.Equals("toxic", 0), P.Range("n_chars", max=3000), P.Range("source", "src1", "src2"))
 
 
-@query("SELECT k, e, i FROM (VALUES ('1', true, false), ('2', false, true), ('3', true, true), ('4', false, false), ('5', false, false), ('6', false, false)) t(k, e, i)")
+@query("""SELECT 'orders/' || o_orderkey || '.md' AS path, o_custkey = 7 AS same, o_custkey IN (7, 8, 11) AS listed FROM orders""")
 def filter_relation_aware(spark, d):
-    rows = [("1", '{"client":"[[clients/acme|Acme]]"}'), ("2", '{"client":["[x](clients/b.md)"]}'), ("3", '{"client":["clients/acme.md","[[clients/b]]"]}'), ("4", '{"client":null}'), ("5", "{}"), ("6", None)]
-    df = spark.createDataFrame(rows, "k string, m string")
-    return df.select("k", P.conjunction(F.col("m"), [P.Equals("client", "clients/acme")]).alias("e"), P.conjunction(F.col("m"), [P.In("client", ("[[clients/b]]", "zzz"))]).alias("i"))
+    """Links in two spellings against a path, and against a list of spellings."""
+    o = T.table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("customer/"), F.col("o_custkey").cast("string")).alias("c"))
+    odd = F.to_json(F.struct(F.array(F.concat(F.lit("[name]("), "c", F.lit(".md)"))).alias("client")))
+    meta = F.when(F.col("o_orderkey") % 2 == 0, F.to_json(F.struct(F.concat(F.lit("[["), "c", F.lit("|name]]")).alias("client")))).otherwise(odd)
+    equal, some = P.Equals("client", "customer/7"), P.In("client", ("[[customer/7]]", "customer/8.md", "[[customer/11]]"))
+    return o.select(F.concat(F.lit("orders/"), F.col("o_orderkey").cast("string"), F.lit(".md")).alias("path"), P.conjunction(meta, [equal]).alias("same"), P.conjunction(meta, [some]).alias("listed"))
 
 
 _NOW = T.NOW

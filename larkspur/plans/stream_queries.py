@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from larkspur import scratch
 from larkspur.functions import text as X
 from larkspur.functions import vectors as V
 from larkspur.plans import tables as T
@@ -17,7 +18,7 @@ from larkspur.streaming import watch
 SELECT doc_id || '.md' AS path, sha256(t) AS content_hash, regexp_matches(t, '\\S') AS chunked, true AS current FROM f""")
 def incremental_upsert(spark, d):
     """The final state after a stream of creations, then changes to every third document and deletions of every seventh, twice over: files, whether they have chunks, and whether the vectors of all these, their terms' lengths and no others are stored."""
-    base = T.scratch(spark, "watch")
+    base = scratch.fresh(spark, "watch")
     docs = T.table(spark, d, "documents").select("doc_id", "text")
     path = F.concat(F.col("doc_id").cast("string"), F.lit(".md"))
     none = F.lit(None).cast("string")
