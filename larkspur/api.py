@@ -245,7 +245,35 @@ class Collection:
         return ingest.document_texts(self._table("chunks"))
 
     def clusters(self) -> dict[str, DataFrame]:
-        return clustering.cluster(self.document_vectors(), self.texts())
+        """The full pass over all documents, kept in the store; clusters that are nearly the same as in the last pass keep their id and label."""
+        known, info = self.store.read("cluster_members"), self.store.read("cluster_state")
+        state = info.head() if info is not None else None
+        got = clustering.cluster(self.document_vectors(), self.texts(), known, state.next_id if state else 0, self.store.read("cluster_labels"))
+        self.store.write(**{f"cluster_{n}": df for n, df in got.items()})
+        top = self._table("cluster_members").agg(F.max("cluster_id")).head()[0]
+        self._keep_state(max((top if top is not None else -1) + 1, state.next_id if state else 0), 0)
+        return {n: self._table(f"cluster_{n}") for n in got}
+
+    def _keep_state(self, next_id: int, changes: int) -> None:
+        self.store.write(cluster_state=self.spark.createDataFrame([(next_id, changes)], "next_id int, changes long"))
+
+    def follow_clusters(self, threshold: int = clustering.REBALANCE) -> DataFrame:
+        """Bring the stored clusters up to date with the documents without a full pass: new and changed ones join the cluster of their nearest members, gone ones leave. After `threshold` changes there is a full pass."""
+        known, vectors = self.store.read("cluster_members"), self.document_vectors()
+        if known is None:
+            return self.clusters()["members"]
+        stay = known.join(vectors.select("path"), "path", "left_semi")
+        fresh = vectors.join(known, "path", "left_anti")
+        joined = clustering.assign(fresh, stay, vectors.join(stay, "path", "left_semi"))
+        state = self._table("cluster_state").head()
+        changes = state.changes + fresh.count() + known.count() - stay.count()
+        if clustering.needs_rebalance(changes, threshold):
+            return self.clusters()["members"]
+        old = self._table("cluster_centroids").join(stay.groupBy("cluster_id").agg(F.count("*").alias("n")), "cluster_id")
+        centers = clustering.running_centroid(old, joined.join(vectors, "path").select("cluster_id", "vector")).select("cluster_id", "centroid")
+        self.store.write(cluster_members=stay.unionByName(joined), cluster_centroids=centers)
+        self._keep_state(state.next_id, changes)
+        return self._table("cluster_members")
 
     def topics(self, definitions: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(assigned, unassigned); definitions: topic, description_vector, seed_vectors, threshold."""
@@ -257,7 +285,7 @@ class Collection:
         return shards.analyse(self.document_vectors(), self.texts(), self.shards.get(shard))
 
     def doctor(self) -> DataFrame:
-        return doctor.report(self._table("files"), self._table("chunks"), self._table("vectors"), self.relations(), self._table("links"))
+        return doctor.report(self._table("files"), self._table("chunks"), self._table("vectors"), self.relations(), self._table("links"), sorted({f.relation_target for f in self.overlay if f.relation_target}))
 
     def chunks(self) -> DataFrame:
         return self._table("chunks")

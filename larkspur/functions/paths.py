@@ -127,18 +127,3 @@ def relation_key(value: Column) -> Column:
 def edge_id(source: Column, target: Column, line: Column, field: Column) -> Column:
     place = F.when(field.isNotNull(), F.concat(F.lit("fm."), field)).otherwise(line.cast("string"))
     return F.concat(F.lit("edge:"), source, F.lit("->"), target, F.lit("@"), place)
-
-
-def join_path(source: str, target: str) -> str:
-    """resolve_link() for parsers in Python."""
-    t = target.strip().split("#", 1)[0].replace("\\", "/")
-    if not t:
-        return ""
-    out: list[str] = []
-    for p in (t if t.startswith("/") else f"{source.rpartition('/')[0]}/{t}").split("/"):
-        if p == "..":
-            out[-1:] = []
-        elif p not in ("", "."):
-            out.append(p)
-    found = ("/" if t.startswith("/") else "") + "/".join(out)
-    return found if found.endswith(".md") else found + ".md"

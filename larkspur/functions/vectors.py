@@ -24,11 +24,6 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n > 0, dot(a, b) / n).otherwise(0.0)
 
 
-def clamped_cosine(a: Column, b: Column) -> Column:
-    """In [0, 1], as link boosts use it."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine(a, b)))
-
-
 def literal(v: list[float]) -> Column:
     return F.array(*(F.lit(float(x)) for x in v))
 

@@ -21,6 +21,8 @@ from larkspur.operators import neighbors
 K, SEED, RESOLUTION, PARENT_FACTOR, MIN_SIZE, PARENTS_FROM = 15, 42, 1.0, 0.25, 2, 7
 SAME_ID, SAME_LABEL, TOPIC_FLOOR, DESCRIPTION_WEIGHT = 0.3, 0.6, 0.30, 0.6
 MAX_NODES = 2_000_000
+#: Changes after which clusters are worked out anew.
+REBALANCE = 50
 
 
 def leiden(nodes: list, edges: list[tuple[int, int, float]], resolution: float = RESOLUTION, seed: int = SEED, rounds: int = 100) -> list[int]:
@@ -252,7 +254,14 @@ def running_centroid(old: DataFrame, added: DataFrame) -> DataFrame:
     return both.select("cluster_id", F.when(F.col("m").isNull(), F.col("centroid").cast("array<double>")).otherwise(moved).alias("centroid"), total.alias("n"))
 
 
-def needs_rebalance(changes: int, threshold: int = 50) -> bool:
+def assign_edges(fresh: DataFrame, members: DataFrame, vectors: DataFrame) -> DataFrame:
+    """(edge_id, cluster_id) of new edges: the cluster with the nearest centroid. members: (edge_id, cluster_id); fresh and vectors: (edge_id, vector)."""
+    of = lambda df: df.withColumnRenamed("edge_id", "path")
+    return nearest_centroid(of(fresh), centroids(of(members), of(vectors))).select(F.col("path").alias("edge_id"), "cluster_id")
+
+
+def needs_rebalance(changes: int, threshold: int = REBALANCE) -> bool:
+    """Whether so many documents (or edges) came and went since the last full pass that another one is due."""
     return changes >= threshold
 
 
@@ -308,18 +317,31 @@ def identities(old: DataFrame, new: DataFrame, next_id: int) -> dict[int, tuple[
     return out
 
 
-def cluster(vectors: DataFrame, texts: DataFrame, previous: DataFrame | None = None, next_id: int = 0) -> dict[str, DataFrame]:
-    """The full pass: members, centroids, representatives, keywords, labels. texts: (path, text)."""
-    members = communities(vectors)
-    flat = fold_small(members.select("path", "cluster_id"), vectors)
+def cluster(vectors: DataFrame, texts: DataFrame, previous: DataFrame | None = None, next_id: int = 0, previous_labels: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The full pass: members, parents, centroids, representatives, keywords, labels. texts: (path, text).
+
+    previous: the members of the last pass, whose ids go to the clusters that overlap them most; where nearly all members are the
+    same, the label (cluster_id, label) of the last pass stays too. All tables use the lasting ids.
+    """
+    spark = vectors.sparkSession
+    found = communities(vectors).select("path", "cluster_id", "parent_id")
+    flat = fold_small(found.select("path", "cluster_id"), vectors)
+    same = spark.createDataFrame([], "cluster_id int")
     if previous is not None:
         names = identities(previous, flat, next_id)
-        spark = vectors.sparkSession
         lasting = spark.createDataFrame([(w, i) for w, (i, _) in names.items()], "cluster_id int, lasting int")
+        same = spark.createDataFrame([(i,) for i, kept in names.values() if kept], "cluster_id int")
         flat = flat.join(lasting, "cluster_id").select("path", F.col("lasting").alias("cluster_id"))
+    # what was folded into a cluster may come from another parent: most of its members say which it has
+    votes = flat.join(found.select("path", "parent_id"), "path").groupBy("cluster_id", "parent_id").agg(F.count("*").alias("n"))
+    parents = votes.groupBy("cluster_id").agg(F.max_by("parent_id", F.struct("n", -F.col("parent_id"))).alias("parent_id"))
     centers = centroids(flat, vectors)
     words = keywords(flat.join(texts, "path"))
-    return {"members": flat, "parents": members.select("cluster_id", "parent_id").distinct(), "centroids": centers, "representatives": representatives(flat, vectors, centers), "keywords": words, "labels": labels(words)}
+    named = labels(words)
+    if previous_labels is not None:
+        kept = previous_labels.join(same, "cluster_id", "left_semi").select("cluster_id", F.col("label").alias("old"))
+        named = named.join(kept, "cluster_id", "left").select("cluster_id", F.coalesce("old", "label").alias("label"))
+    return {"members": flat, "parents": parents, "centroids": centers, "representatives": representatives(flat, vectors, centers), "keywords": words, "labels": named}
 
 
 def edge_clusters(edges: DataFrame, vectors: DataFrame, limit: int = 20) -> tuple[DataFrame, DataFrame] | None:
@@ -364,9 +386,3 @@ def primary_topic(assigned: DataFrame) -> DataFrame:
 
 def topic_info(assigned: DataFrame) -> DataFrame:
     return assigned.groupBy("topic").agg(F.count("*").alias("members"), F.avg("score").alias("mean_score"))
-
-
-def topic_fingerprint(topics: DataFrame, settings: dict) -> DataFrame:
-    """One row: a hash of all definitions and settings."""
-    each = topics.select(F.to_json(F.struct(*sorted(topics.columns))).alias("j"))
-    return each.agg(F.sha2(F.concat(F.array_join(F.array_sort(F.collect_list("j")), ""), F.lit(repr(sorted(settings.items())))), 256).alias("fingerprint"))

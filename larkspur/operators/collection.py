@@ -124,8 +124,3 @@ def effective(files: DataFrame, computed: DataFrame) -> DataFrame:
     kept = F.map_filter(old, lambda k, v: ~F.array_contains(F.map_keys("over"), k))
     good = F.map_filter("over", lambda k, v: v.isNotNull())
     return both.withColumn("metadata", F.when(F.col("over").isNull(), F.col("metadata")).otherwise(F.to_json(F.map_concat(kept, good)))).drop("over")
-
-
-def last_per_path(events: DataFrame, path: str = "path", at: str = "ts") -> DataFrame:
-    newest = Window.partitionBy(path).orderBy(F.desc(at))
-    return events.withColumn("r", F.row_number().over(newest)).where("r = 1").drop("r")

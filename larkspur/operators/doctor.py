@@ -25,8 +25,8 @@ def missing_folders(files: DataFrame, folders: list[str]) -> DataFrame:
     return wanted.join(there, "folder", "left_anti")
 
 
-def report(files: DataFrame, chunks: DataFrame, vectors: DataFrame, related: DataFrame, links: DataFrame) -> DataFrame:
-    """(check, findings, ok)."""
+def report(files: DataFrame, chunks: DataFrame, vectors: DataFrame, related: DataFrame, links: DataFrame, folders: list[str] | None = None) -> DataFrame:
+    """(check, findings, ok). folders: where declared relations lead, if they are to be checked."""
     checks = {
         "files_without_chunks": files.select("path").join(chunks.select("path").distinct(), "path", "left_anti"),
         "chunks_without_vector": chunks.select("chunk_id").join(vectors.select("chunk_id"), "chunk_id", "left_anti"),
@@ -36,6 +36,8 @@ def report(files: DataFrame, chunks: DataFrame, vectors: DataFrame, related: Dat
         "broken_links": links.join(files.select(F.col("path").alias("target")), "target", "left_anti").select("source"),
         "vector_sizes": vectors.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count")).offset(1).select("n"),
     }
+    if folders is not None:
+        checks["missing_folders"] = missing_folders(files, folders)
     out = None
     for name, rows in checks.items():
         one = rows.agg(F.count("*").alias("findings")).select(F.lit(name).alias("check"), "findings", (F.col("findings") == 0).alias("ok"))

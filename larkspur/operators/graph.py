@@ -41,14 +41,6 @@ def orphans(files: DataFrame, links: DataFrame) -> DataFrame:
     return out.join(links.select(F.col("target").alias("path")).distinct(), "path", "left_anti")
 
 
-def replace_source(links: DataFrame, fresh: DataFrame, gone: DataFrame | None = None) -> DataFrame:
-    """The table after some sources were parsed again (and others removed)."""
-    old = fresh.select("source").distinct()
-    if gone is not None:
-        old = old.unionByName(gone.select(F.col("path").alias("source"))).distinct()
-    return links.join(old, "source", "left_anti").unionByName(fresh)
-
-
 def bfs(links: DataFrame, seeds: list[str], depth: int) -> DataFrame:
     """(path, hop): documents within `depth` (at most three) links of the seeds in either direction, seeds left out. One join per hop, and only new documents go on."""
     spark = links.sparkSession
@@ -92,12 +84,6 @@ def contexts(mentions: DataFrame) -> DataFrame:
     return mentions.groupBy("paragraph").agg(F.array_sort(F.collect_set("edge_id")).alias("edges"))
 
 
-def semantic_edges(mentions: DataFrame, embed) -> DataFrame:
-    """(edge_id, vector): the embedding of each edge's paragraph; embed: Column of texts to Column of vectors."""
-    once = mentions.select("paragraph").distinct().withColumn("vector", embed(F.col("paragraph")))
-    return mentions.select("edge_id", "paragraph").join(once, "paragraph").select("edge_id", "vector")
-
-
 def strength(edges: DataFrame, edge_vectors: DataFrame, doc_vectors: DataFrame) -> DataFrame:
     """(edge_id, strength): cosine of an edge's context to its target document."""
     return edges.join(edge_vectors, "edge_id").join(doc_vectors.select(F.col("path").alias("target"), F.col("vector").alias("doc")), "target").select("edge_id", V.cosine(F.col("vector"), F.col("doc")).alias("strength"))
@@ -143,11 +129,6 @@ def interned(edges: DataFrame, column: str = "context") -> tuple[DataFrame, Data
     return edges.join(numbered, column, "left").drop(column), numbered
 
 
-def visible_members(members: DataFrame, nodes: DataFrame, group: str = "cluster_id") -> DataFrame:
-    """Groups that have visible members, with how many."""
-    return members.join(nodes.select("path"), "path", "left_semi").groupBy(group).agg(F.count("*").alias("members"))
-
-
 def file_tree(files: DataFrame) -> DataFrame:
     """(path, name, depth, is_dir, files): every folder and file, with the files below; folders first, then by name."""
     parts = F.split("path", "/", -1)

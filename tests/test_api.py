@@ -101,8 +101,40 @@ def test_clusters_status_doctor(vault):
     assert {r.check for r in vault.doctor().where("ok").collect()} >= {"bad_metadata", "chunks_without_vector", "vector_sizes"}
     found = vault.clusters()
     assert found["members"].count() == 6 and found["labels"].count() >= 1
-    vault.shards.add("Cold", "trips/winter")
+    ids = {r.path: r.cluster_id for r in found["members"].collect()}
+    again = vault.clusters()
+    assert {r.path: r.cluster_id for r in again["members"].collect()} == ids  # the same clusters keep their ids
+    assert {r.cluster_id for r in again["parents"].collect()} == {r.cluster_id for r in again["labels"].collect()} == set(ids.values())
+    vault.add_shard("Cold", "trips/winter")
     assert vault.search("crossing", mode="lexical", shard="cold").count() == 1
+    assert Collection(vault.spark, vault.root, vault.store.path).shards.get("cold").path == "trips/winter"
+    assert [(r.shard, r.files) for r in vault.shard_table().collect()] == [("cold", 2)]
+    vault.set_topic("weather", "storm and wind", 0.1, new=True)
+    with pytest.raises(ValueError):
+        vault.set_topic("weather", "x", new=True)
+    vault.set_topic("weather", seeds=("trips/june.md",))
+    assert [(r.topic, r.description, r.seeds) for r in vault.topic_table().collect()] == [("weather", "storm and wind", ["trips/june.md"])]
+    assigned, _ = vault.topics(vault.topic_definitions())
+    assert assigned.where("path = 'trips/june.md'").count() == 1
+    vault.remove_topic("weather")
+    assert vault.topic_table().count() == 0
+
+
+def test_clusters_follow_documents(spark, tmp_path):
+    for i in range(8):
+        (tmp_path / "v").mkdir(exist_ok=True)
+        (tmp_path / "v" / f"{i}.md").write_text(f"note number {i}")
+    c = Collection(spark, str(tmp_path / "v"), str(tmp_path / "s"))
+    c.ingest()
+    before = {r.path: r.cluster_id for r in c.clusters()["members"].collect()}
+    (tmp_path / "v" / "8.md").write_text("another note")
+    (tmp_path / "v" / "0.md").unlink()
+    c.ingest()
+    after = {r.path: r.cluster_id for r in c.follow_clusters().collect()}
+    assert after.keys() == (before.keys() | {"8.md"}) - {"0.md"} and all(after[p] == before[p] for p in after if p in before)
+    assert c.store.read("cluster_state").head().changes == 2 and after["8.md"] in before.values()
+    c.follow_clusters(threshold=2)
+    assert c.store.read("cluster_state").head().changes == 0
 
 
 def test_command_line(vault, spark):
