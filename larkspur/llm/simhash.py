@@ -19,7 +19,9 @@ into pairs of chunks for other tasks: no pairs of a dense group are listed.
 
 Null and empty texts have fingerprint zero and link like any other. A null id
 is never the least of its component unless all are null. Rows with equal ids are
-judged one by one. An empty table gives no rows.
+judged one by one. A very long text is hashed whole, by itself. Other columns, whatever
+their names, are ignored by `cluster` and kept by `representatives`. An empty table
+gives no rows.
 """
 
 from __future__ import annotations

@@ -1,5 +1,7 @@
 """The pipeline's stages, each against brute force on its own input."""
 
+import random
+
 import public_tokenizers
 
 import corpus_pipeline as P
@@ -42,3 +44,29 @@ def test_stages(spark, sf):
         docs = out
     assert sorted((r.doc_id, r.start, r.ids_crc32) for r in P.run(spark, sf).collect())
     assert public_tokenizers.path(P.TOKENIZER)
+
+
+def test_stages_over_odd_rows(spark, sf):
+    """Null ids and texts, blank, very long and repeated texts, clashing names, and no rows at all: stage by stage."""
+    rng = random.Random(6)
+    lines = lambda n: "\n".join(" ".join(f"w{rng.randrange(3000)}" for _ in range(12)) + "." for _ in range(n))
+    good = lines(12)
+    rows = [(1, good), (1, good), (2, good), (None, good + "\nend."), (None, None), (3, None), (4, ""), (5, " \n\t"), (6, "x" * 200_000), (7, lines(4000)), (8, "Menu | Home | News\n" * 30)]
+    names = ["'en' AS lang", "'s' AS source", "length(text) AS n_chars", *(f"{i} AS {c}" for i, c in enumerate("of of_text lines h slot task kept text_0 _first block class key root".split()))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", *names)
+    for odd in (docs, docs.limit(0)):
+        now = shared.saved(odd, "odd")
+        for name, stage in P.STAGES:
+            out = shared.saved(stage(spark, now, sf), name)
+            if name != "packing":
+                assert out.columns == odd.columns
+                now = out
+            kept = sorted((r.doc_id for r in out.collect()), key=str)
+            if odd is not docs:
+                assert kept == []
+            elif name in ("quality_rules", "line_dedup"):
+                assert kept == [1, 1, 2, 7, None]
+            elif name == "packing":
+                assert set(kept) <= {1, 7, None} and 7 in kept
+            else:  # what line dedup left of the copies is empty, so one of them stays
+                assert 7 in kept and len(kept) == 3 and None in kept
