@@ -41,7 +41,7 @@ ORDER, FOLDS, FOLD = 3, 5, 1
 #: Text of a block: a worker holds its n-grams of all lengths, some 30 times as many bytes.
 BLOCK_BYTES = 16 << 20
 #: How many tokens a shorter context counts for; `choose_mass` finds it on training documents (figures in the README).
-MASS = 800.0
+MASS = 200.0
 #: Tokens that one lane of the traversal reads; texts are cut into so many.
 LANE = 256
 #: Distinct tokens that a task of the vocabulary's count holds before it hands them on.

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm import shared
 from larkspur.llm import textkit as T
-from larkspur.llm.tokens import encoder
+from larkspur.llm.tokens import CHUNK, encoder
 
 SIZE, OPEN_WINDOWS, FAN_IN = 1024, 32, 256
 _COLUMNS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "task", "ids"]
@@ -111,7 +111,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, open_windows: int =
 
         coder, task = encoder(tokenizer), TaskContext.get().partitionId()
         packer, part = Packer(size, open_windows, task << _GROUP), None
-        for part, texts in T.chunks(batches):
+        for part, texts in T.chunks(batches, limit=CHUNK):
             for doc, ids in zip(part.column("doc_id").to_pylist(), coder.encode([x.decode() for x in texts]), strict=True):
                 packer.add(doc, 0, ids + end, len(ids) // 4 + 1)
             yield _batch(packer.done, part.schema.field("doc_id").type)

@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 
 CHUNK_BYTES = 4 << 20
+#: Text after which a worker hands freed memory back.
+TRIM_BYTES = 16 << 20
 #: Bytes of text that one block of documents should hold.
 BLOCK_BYTES = 8 << 20
 
@@ -49,6 +51,7 @@ def column_bytes(column: pa.Array) -> list[bytes]:
 
 def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Slices of the batches with at most `limit` bytes of text (or one document) each."""
+    seen = 0
     for batch in batches:
         texts = column_bytes(batch.column(text))
         ends = np.cumsum([len(x) for x in texts], dtype=np.int64)
@@ -57,6 +60,10 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = C
             base = ends[at - 1] if at else 0
             to = max(at + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(at, to - at), texts[at:to]
+            seen += int(ends[to - 1] - base)
+            if seen > TRIM_BYTES:
+                trim()
+                seen = 0
             at = to
     trim()
 

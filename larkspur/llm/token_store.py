@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm import shared
 from larkspur.llm import textkit as T
-from larkspur.llm.tokens import encoder
+from larkspur.llm.tokens import CHUNK, encoder
 
 SHARD_IDS = 2 << 20
 GAMMA = 2.0
@@ -170,7 +170,7 @@ def shards(docs: DataFrame, tokenizer: str, end_id: int = 0, shard_ids: int = SH
         width = 2 if coder.tokenizer.get_vocab_size() <= 1 << 16 else 4
         number, size, before = TaskContext.get().partitionId() << 32, 0, 0
         keys, nth, ids, last, again = [], [], [], object(), 0
-        for part, texts in T.chunks(batches):
+        for part, texts in T.chunks(batches, limit=CHUNK):
             for key, raw in zip(part.column("doc_id").to_pylist(), coder.encode([x.decode() for x in texts]), strict=True):
                 if ids and size + len(raw) // 4 + 1 > shard_ids:
                     yield _batch(_shard(number, before, keys, nth, ids, width), part.schema.field("doc_id").type)

@@ -27,6 +27,8 @@ _SETTLED = [(0x00, 0x1B), (0x20, 0x24F), (0x386, 0x3FF), (0x400, 0x481), (0x5D0,
 #: The English endings that byte-level BPE splits from a word.
 _ENDINGS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
 _OTHER, _LETTER, _NUMBER, _WHITE, _UNSETTLED = range(5)
+#: Bytes of text that are encoded at once.
+CHUNK = 2 << 20
 #: Pre-tokens that a worker keeps.
 CACHE = 1_000_000
 

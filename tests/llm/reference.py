@@ -78,7 +78,7 @@ def op2(docs, size=13):
     return sorted(out, key=str)
 
 
-def op5(docs, mass=800.0, order=3):
+def op5(docs, mass=200.0, order=3):
     import math
     import zlib
     from collections import Counter
