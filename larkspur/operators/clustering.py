@@ -208,6 +208,16 @@ def kmeans(vectors: DataFrame, k: int, seed: int = SEED) -> DataFrame:
     return model.transform(rows).select("path", F.col("prediction").cast("int").alias("cluster_id"))
 
 
+def modularity(edges: DataFrame, members: DataFrame, resolution: float = RESOLUTION) -> DataFrame:
+    """One row: the modularity of a partition (path, cluster_id) of a graph (a, b, weight)."""
+    of = lambda end: members.select(F.col("path").alias(end), F.col("cluster_id").alias(f"{end}_cluster"))
+    rows = edges.join(of("a"), "a").join(of("b"), "b")
+    inside = rows.agg(F.sum("weight").alias("all"), F.sum(F.when(F.col("a_cluster") == F.col("b_cluster"), F.col("weight")).otherwise(0.0)).alias("inside"))
+    ends = rows.select(F.col("a_cluster").alias("c"), "weight").unionByName(rows.select(F.col("b_cluster").alias("c"), "weight")).groupBy("c").agg(F.sum("weight").alias("w"))
+    squares = ends.agg(F.sum(F.col("w") * F.col("w")).alias("squares"))
+    return inside.join(squares).select((F.col("inside") / F.col("all") - resolution * F.col("squares") / (4 * F.col("all") * F.col("all"))).alias("modularity"))
+
+
 def centroids(members: DataFrame, vectors: DataFrame) -> DataFrame:
     """(cluster_id, centroid): normalised mean of the normalised members."""
     rows = members.join(vectors.select("path", V.normalized(F.col("vector")).alias("vector")), "path")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from larkspur.functions import text as X
 from larkspur.functions import vectors as V
 from larkspur.operators import clustering as C
+from larkspur.operators import neighbors
 from larkspur.plans import tables as T
 from larkspur.plans.registry import query
 
@@ -59,7 +60,9 @@ def tfidf_keywords(spark, d):
     return _keywords(spark, d).select("cluster_id", "term", "rank", F.round("score", 4).alias("score"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_TERMS}, kw AS (SELECT lang AS cluster_id, term, row_number() OVER (PARTITION BY lang ORDER BY score DESC, term) AS rank FROM s QUALIFY rank <= 5),
+r AS (SELECT DISTINCT cluster_id, 0 AS i, []::VARCHAR[] AS chosen FROM kw UNION ALL SELECT r.cluster_id, i + 1, CASE WHEN len(chosen) >= 3 OR (NOT contains(term, ' ') AND len(list_filter(chosen, lambda c: contains(c, ' ') AND list_contains(string_split(c, ' '), term))) > 0) THEN chosen ELSE list_append(chosen, term) END FROM r JOIN kw ON kw.cluster_id = r.cluster_id AND kw.rank = i + 1)
+SELECT cluster_id, array_to_string(chosen, ' / ') AS label FROM r WHERE i = 5""")
 def cluster_label(spark, d):
     return C.labels(_keywords(spark, d))
 
@@ -69,6 +72,52 @@ def leiden_communities(spark, d):
     return C.communities(_vectors(spark, d).select("path", "vector"))
 
 
+@query("SELECT count(*) AS documents, true AS once, true AS better_than_labels FROM embeddings")
+def leiden_properties(spark, d):
+    """Every document is in one community, and the modularity is at least that of the labels the vectors were made with."""
+    v = _vectors(spark, d)
+    found = C.communities(v.select("path", "vector")).select("path", "cluster_id")
+    edges = neighbors.graph(v.select(F.col("path").alias("id"), "vector"), C.K)
+    q = [C.modularity(edges, m).withColumnRenamed("modularity", n) for m, n in ((found, "found"), (v.select("path", "cluster_id"), "labels"))]
+    count = found.agg(F.count("*").alias("documents"), (F.count_distinct("path") == F.count("*")).alias("once"))
+    return count.join(q[0]).join(q[1]).select("documents", "once", (F.col("found") >= F.col("labels") - 0.01).alias("better_than_labels"))
+
+
+@query("SELECT count(*) AS documents, true AS once, true AS nearest FROM embeddings")
+def kmeans_properties(spark, d):
+    """Every document is in one cluster, and in that whose mean is nearest, as K-means ends (one in a hundred may lie between two)."""
+    v = _vectors(spark, d)
+    unit = v.select("path", V.normalized(F.col("vector")).alias("vector"))
+    found = C.kmeans(v.select("path", "vector"), 10).select("path", "cluster_id")
+    means = V.means(found.join(unit, "path"), "cluster_id", "vector").agg(F.collect_list(F.struct(F.col("cluster_id").alias("c"), "mean")).alias("ms"))  # one row of ten
+    far = lambda m: F.aggregate(F.zip_with("vector", m["mean"], lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda x, y: x + y)
+    nearest = F.array_min(F.transform("ms", lambda m: F.struct(far(m).alias("d"), m["c"].alias("c"))))["c"]
+    rows = unit.join(F.broadcast(means)).select("path", nearest.alias("near")).join(found, "path")
+    return rows.agg(F.count("*").alias("documents"), (F.count_distinct("path") == F.count("*")).alias("once"), (F.avg((F.col("cluster_id") == F.col("near")).cast("int")) >= 0.99).alias("nearest"))
+
+
+@query("SELECT 'members' AS part, count(*) AS documents, true AS sound FROM embeddings UNION ALL SELECT 'parts', 0, true")
+def cluster_pass_properties(spark, d):
+    """A full pass with a former one: each document once, and every cluster has one centroid, parent, representative and label."""
+    v = _vectors(spark, d)
+    texts = T.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
+    got = C.cluster(v.select("path", "vector"), texts, v.select("path", "cluster_id"), 1000)
+    members = got["members"].agg(F.lit("members").alias("part"), F.count("*").alias("documents"), (F.count("*") == F.count_distinct("path")).alias("sound"))
+    every = got["members"].join(texts, "path").select("cluster_id").distinct()  # clusters without any text have no keywords
+    bad = None
+    for name in ("centroids", "parents", "representatives", "labels"):
+        one = got[name].groupBy("cluster_id").count().join((every if name == "labels" else got["members"].select("cluster_id").distinct()).withColumn("known", F.lit(True)), "cluster_id", "full").where("count IS NULL OR count != 1 OR known IS NULL").select("cluster_id")
+        bad = one if bad is None else bad.unionByName(one)
+    return members.unionByName(bad.agg(F.lit("parts").alias("part"), F.count("*").alias("documents"), (F.count("*") == 0).alias("sound")))
+
+
+@query(f"WITH {T.FILES}, {T.LINKS} SELECT count(*) AS edges, true AS once, true AS few FROM links l JOIN files f ON l.source = f.path JOIN embeddings ON vec_id = doc_id")
+def edge_cluster_properties(spark, d):
+    ix = T.index(spark, d)
+    members, labels = C.edge_clusters(ix.edges, ix.edge_vectors)
+    return members.join(labels, "cluster_id").agg(F.count("*").alias("edges"), (F.count("*") == F.count_distinct("edge_id")).alias("once"), (F.count_distinct("cluster_id") <= 20).alias("few"))
+
+
 @query()
 def kmeans_clusters(spark, d):
     return C.kmeans(_vectors(spark, d).select("path", "vector"), 10)
