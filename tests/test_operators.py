@@ -232,3 +232,17 @@ def test_plans(spark, sf):
     assert "WindowGroupLimit" in near and "Cartesian" not in near and "NestedLoop" not in near
     assert "Cartesian" not in plan(graph.orphans(T.documents(spark, sf), T.links(spark, sf)))
     assert "text" not in plan(docs.select("doc_id").where("n_chars > 5")).split("ReadSchema")[-1]
+
+
+def test_neighbours_in_waves(spark, monkeypatch):
+    """Many waves of small blocks give what one gives."""
+    import numpy as np
+
+    from larkspur.operators import neighbors
+
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([(i, rng.normal(size=4).tolist()) for i in range(60)], "id int, vector array<double>")
+    whole = sorted(tuple(r) for r in neighbors.nearest(rows, rows, 3, skip_self=True).collect())
+    monkeypatch.setattr(neighbors, "WAVE_BYTES", 2 * 7 * 4 * 8)
+    got = sorted(tuple(r) for r in neighbors.nearest(rows, rows, 3, skip_self=True, block=7).collect())
+    assert len(whole) == 180 and [x[:2] for x in got] == [x[:2] for x in whole] and all(abs(a[2] - b[2]) < 1e-9 for a, b in zip(got, whole, strict=True))
