@@ -69,7 +69,7 @@ def packed(docs: DataFrame, count: int, id_col: str, text_col: str, block_bytes:
         if held:
             yield _block(number, held)
 
-    return spread(src.mapInArrow(run, "block long, docs binary"), count, "block")
+    return spread(src.mapInArrow(T.tidied(run), "block long, docs binary"), count, "block")
 
 
 def spread(rows: DataFrame, count: int, key: str) -> DataFrame:

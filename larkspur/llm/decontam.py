@@ -132,7 +132,7 @@ def benchmark_windows(bench: DataFrame, window: int = WINDOW, gram: int = GRAM,
             i, n, h, f = zip(*rows, strict=True) if rows else ((),) * 4
             yield pa.RecordBatch.from_arrays([part.column("item").take(pa.array(i, pa.int64())), pa.array(n, pa.int32()), *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (h, f))], names=["item", "len", "win", "fp"])
 
-    return src.mapInArrow(run, "item string, len int, win long, fp long").distinct()
+    return src.mapInArrow(T.tidied(run), "item string, len int, win long, fp long").distinct()
 
 
 def _small(wins: DataFrame, bound: int):
@@ -156,7 +156,7 @@ def flag(docs: DataFrame, bench: DataFrame, window: int = WINDOW, gram: int = GR
             w = _parsed(texts)
             yield _rows(part, w, *hits(w, index.value, window, gram), [])
 
-    return src.mapInArrow(run, _out(kind))
+    return src.mapInArrow(T.tidied(run), _out(kind))
 
 
 def clean(docs: DataFrame, bench: DataFrame, window: int = WINDOW, gram: int = GRAM, max_broadcast: int = MAX_BROADCAST_WINDOWS, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -177,7 +177,7 @@ def clean(docs: DataFrame, bench: DataFrame, window: int = WINDOW, gram: int = G
             mask, _ = hits(w, index.value, window, gram)
             yield part.filter(pa.array(T.sums(mask, w.first) == 0))
 
-    return src.mapInArrow(run, src.schema)
+    return src.mapInArrow(T.tidied(run), src.schema)
 
 
 def _flag_by_blocks(src: DataFrame, wins: DataFrame, window: int, gram: int, kind: str, block_bytes: int) -> DataFrame:

@@ -252,7 +252,7 @@ def totals(docs: DataFrame, folds: int = FOLDS, fold: int = FOLD, id_col: str =
         key, n, _ = B.inbox(table, "<u8")
         return pa.table({"tokens": pa.array([int(n.sum())]), "kinds": pa.array([len(np.unique(key))])})
 
-    each = B.spread(src.mapInArrow(run, B.letters(1)), count, "reducer").groupBy("slot", "reducer").applyInArrow(B.tidy(add_up), "tokens long, kinds long")
+    each = B.spread(src.mapInArrow(T.tidied(run), B.letters(1)), count, "reducer").groupBy("slot", "reducer").applyInArrow(B.tidy(add_up), "tokens long, kinds long")
     row = each.agg(F.sum("tokens"), F.sum("kinds")).head()
     return row[0] or 0, row[1] or 0
 

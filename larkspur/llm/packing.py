@@ -119,7 +119,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, open_windows: int =
         if part is not None:
             yield _batch(packer.rest(task), part.schema.field("doc_id").type)
 
-    done = shared.saved(src.mapInArrow(first, schema), "packed")
+    done = shared.saved(src.mapInArrow(T.tidied(first), schema), "packed")
     tasks = (done.agg(F.max("task")).head()[0] or 0) + 1
     parts, level, open_ = [done.where("task IS NULL")], 0, done.where("task IS NOT NULL")
     while True:

@@ -140,7 +140,7 @@ def assess(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text
             out, _ = _assess(texts, rules)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), *map(pa.array, out.values())], names=["doc_id", *out])
 
-    return src.mapInArrow(run, f"doc_id {kind}, {SCHEMA}")
+    return src.mapInArrow(T.tidied(run), f"doc_id {kind}, {SCHEMA}")
 
 
 def filter_documents(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text") -> DataFrame:
@@ -156,4 +156,4 @@ def filter_documents(docs: DataFrame, rules: Rules = Rules(), text_col: str = "t
             rows = part.take(pa.array(kept))
             yield pa.RecordBatch.from_arrays([clean if c == text_col else rows.column(c) for c in names], names=names)
 
-    return src.mapInArrow(run, src.schema)
+    return src.mapInArrow(T.tidied(run), src.schema)

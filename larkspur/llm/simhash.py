@@ -95,7 +95,7 @@ def bit_counts(prints: DataFrame) -> tuple[int, np.ndarray]:
         if n:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(4097, dtype=np.int32)), pa.array(np.append(total.ravel(), n))], names=["pair", "n"])
 
-    rows = prints.select("fp").mapInArrow(run, "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
+    rows = prints.select("fp").mapInArrow(T.tidied(run), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect()
     sums = np.zeros(4097, np.int64)
     for r in rows:
         sums[r.pair] = r.n
@@ -242,9 +242,9 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
                 pairs = np.array(forest(np.frombuffer(homes, np.uint64), np.frombuffer(members, np.uint64), distance), np.uint64).reshape(-1, 2).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    met = prints.select("fp").mapInArrow(probe, B.letters(2)).groupBy("reducer").applyInArrow(compare, "a long, b long, share long, homes binary, members binary")
+    met = prints.select("fp").mapInArrow(T.tidied(probe), B.letters(2)).groupBy("reducer").applyInArrow(compare, "a long, b long, share long, homes binary, members binary")
     met = shared.saved(met, "near")
-    rest = met.where("share IS NOT NULL").repartition("share").select("homes", "members").mapInArrow(part_of, "a long, b long")
+    rest = met.where("share IS NOT NULL").repartition("share").select("homes", "members").mapInArrow(T.tidied(part_of), "a long, b long")
     return met.where("share IS NULL").select("a", "b").unionByName(rest)
 
 
@@ -256,7 +256,7 @@ def cluster(docs: DataFrame, shingle: int = SHINGLE, distance: int = DISTANCE, i
         for part, texts in T.chunks(batches):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(fingerprints(texts, shingle).view(np.int64)), part.column("text_hash")], names=["doc_id", "fp", "text_hash"])
 
-    each = shared.saved(src.mapInArrow(run, "doc_id long, fp long, text_hash long"), "prints")
+    each = shared.saved(src.mapInArrow(T.tidied(run), "doc_id long, fp long, text_hash long"), "prints")
     classes = shared.saved(each.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
     roots = components(links(classes, distance))
     rooted = classes.join(roots, classes.fp == roots.node).select("fp", "root", "first")

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Text after which a worker hands freed memory back.
 TRIM_BYTES = 16 << 20
 #: Bytes of text that one block of documents should hold.
@@ -65,7 +65,6 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = C
                 trim()
                 seen = 0
             at = to
-    trim()
 
 
 @functools.cache
@@ -78,6 +77,16 @@ def _heap():
         return None
 
 
+def tidied(run):
+    """A function of batches, after which a worker hands back the memory it took."""
+
+    def whole(batches):
+        yield from run(batches)
+        trim()
+
+    return whole
+
+
 def trim() -> None:
     """Hand freed memory back to the system: a Python worker outlives its task and would hold on to it."""
     pa.default_memory_pool().release_unused()

@@ -184,7 +184,7 @@ def shards(docs: DataFrame, tokenizer: str, end_id: int = 0, shard_ids: int = SH
         if ids:
             yield _batch(_shard(number, before, keys, nth, ids, width), part.schema.field("doc_id").type)
 
-    return ordered.mapInArrow(run, schema)
+    return ordered.mapInArrow(T.tidied(run), schema)
 
 
 def _batch(row: dict, kind: pa.DataType) -> pa.RecordBatch:
@@ -225,7 +225,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 crc = [zlib.crc32(ids[a : a + n].astype("<u4").tobytes()) for a, n in zip(first.tolist(), count.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([keys.values, pa.array(start + first), pa.array(count), pa.array(crc, pa.int64()), pa.array(slot >= 0)], names=["doc_id", "start", "n_tokens", "ids_crc32", "found"])
 
-    return placed.mapInArrow(run, f"doc_id {kind}, start long, n_tokens long, ids_crc32 long, found boolean")
+    return placed.mapInArrow(T.tidied(run), f"doc_id {kind}, start long, n_tokens long, ids_crc32 long, found boolean")
 
 
 def fetch(spark: SparkSession, path: str, keys: list) -> DataFrame:
@@ -261,7 +261,7 @@ def fetch(spark: SparkSession, path: str, keys: list) -> DataFrame:
                     found += [ids[index.first[s] : index.first[s] + index.count[s]].tolist() for s in slot]
                 yield pa.RecordBatch.from_arrays([pa.array(names, kinds), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "ids"])
 
-    return stored.where(near).select("first_key", "last_key", "id_bytes", "index", "payload").mapInArrow(run, f"doc_id {kind}, ids array<long>")
+    return stored.where(near).select("first_key", "last_key", "id_bytes", "index", "payload").mapInArrow(T.tidied(run), f"doc_id {kind}, ids array<long>")
 
 
 def round_trip(docs: DataFrame, tokenizer: str, **options) -> DataFrame:

@@ -107,6 +107,15 @@ def test_urls_links_and_odd_rows(spark):
     assert urls.judge(df.limit(0)).count() == 0
 
 
+def test_urls_many_small_flows_meet(spark):
+    """A blocked host's distrust reaches 900 hosts in small parts, and as a whole the one that links to all of them."""
+    links = {0: ("http://bad.net/x", []), 1: ("http://hub.com/", [f"h{i}.com" for i in range(900)])} | {2 + i: (f"http://h{i}.com/", ["bad.net"]) for i in range(900)}
+    rows = [(i, u, "".join(f'<a href="http://{h}/">x</a>' for h in hs)) for i, (u, hs) in links.items()]
+    got = verdicts(urls.judge(spark.createDataFrame(rows, PAGES)))
+    assert got == sorted(R.op8([(i, u, hs) for i, (u, hs) in links.items()], urls.RULES), key=str)
+    assert {x[1]: x[4] for x in got}["hub.com"] == "block" and {x[1]: x[4] for x in got}["h5.com"] == "allow"
+
+
 def test_plans_are_native(spark, sf):
     for df in (pii.find(spark.read.parquet(f"{sf}/documents.parquet")), pii.candidates(spark.read.parquet(f"{sf}/documents.parquet")), urls.judge(spark.read.parquet(f"{sf}/pages.parquet"))):
         plan = df._jdf.queryExecution().executedPlan().toString()

@@ -36,6 +36,21 @@ def test_quality_keeps_clean_and_rejects_junk(spark):
     assert kept.keys() == {1, 5} and kept[1].n_words == "z" and kept[5].text == clean
 
 
+def test_quality_judges_lines_of_any_length_and_script():
+    rules = quality.Rules()
+    fails = lambda line: quality.line_fails(line.encode(), len(line.split()), rules)
+    for n in (30, 199, 200, 5000):
+        words = " ".join(f"word{i}" for i in range(n))
+        assert fails(words) and not fails(words + ".") and not fails(words.replace("word7 ", "word7! "))
+    for end in (".", "!", "?", "…", "。", "！", "？", "؟", "۔", "।", "॥", "։", "။", "።", "។", ".”", "?)", "!»", ".')"):
+        assert not fails(f"a line that ends well{end}") and not fails(f"it ends{end} and goes on")
+    for end in ("", ",", "ü", "é", "”", "»", "à", "…x", "·"):
+        assert fails(f"a line that does not end{end}")
+    assert not quality.line_fails("no mark in this script".encode(), 5, quality.Rules(needs_sentence=False))
+    # letters whose bytes are those of separators or marks don't count as such
+    assert not fails("él único último país según número público útil música júbilo.") and fails("uno · dos · tres · cuatro · cinco · seis.")
+
+
 def test_decontamination_matches_brute_force(spark, sf):
     cols = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
     docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
