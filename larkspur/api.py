@@ -27,6 +27,8 @@ class Collection:
 
     def __init__(self, spark: SparkSession, root: str, store: str, config: Config = Config(), provider: embedding.Provider | None = None, overlay: list[schemas.Field] | None = None, shard_list: list[shards.Shard] | None = None):
         self.spark, self.root, self.store, self.config, self.provider = spark, root.rstrip("/"), Store(spark, store), config.checked(), provider
+        if provider is None and config.embedding_url:
+            self.provider = embedding.Http(config.embedding_url, config.embedding_model, config.embedding_shape, config.embedding_key_env)
         self.overlay, self.shards = overlay or [], shards.Shards(shard_list if shard_list is not None else self._stored_shards())
 
     # --- shards and topics: short declared lists, kept in the store
@@ -120,7 +122,7 @@ class Collection:
         """What the configuration says about taking documents in."""
         c = self.config
         ignored = tuple(ignore_lines(self.spark, self.root)) if c.ignore_files else ()
-        return ingest.Settings(self.provider, c.embedding_dims, c.embedding_batch, c.source_dirs, c.ignore_patterns, ignored, c.chunk_max_tokens, c.chunk_overlap_tokens)
+        return ingest.Settings(self.provider, c.embedding_dims, c.embedding_batch, c.source_dirs, c.ignore_patterns, ignored, c.chunk_max_tokens, c.chunk_overlap_tokens, c.embedding_at_once)
 
     def parsed(self) -> DataFrame:
         return ingest.parsed(self.spark, self.root, self.settings())

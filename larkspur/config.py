@@ -17,6 +17,13 @@ class Config:
     chunk_overlap_tokens: int = 50
     embedding_dims: int = 64
     embedding_batch: int = 100
+    #: Batches that one task has with the provider at once.
+    embedding_at_once: int = 1
+    #: A provider behind HTTP (see sources.embedding.Http); without a URL the mock embeds.
+    embedding_url: str = ""
+    embedding_model: str = ""
+    embedding_shape: str = "data"
+    embedding_key_env: str = ""
     search_mode: str = "hybrid"
     search_limit: int = 10
     stemming: bool = True
@@ -34,6 +41,8 @@ class Config:
             raise ValueError("chunk_overlap_tokens is at least 0 and less than chunk_max_tokens")
         if self.search_mode not in ("hybrid", "semantic", "lexical", "edge"):
             raise ValueError(f"unknown search mode {self.search_mode}")
+        if self.embedding_at_once < 1 or self.embedding_shape not in ("data", "embeddings"):
+            raise ValueError("embedding_at_once is positive, embedding_shape is data or embeddings")
         if self.decay_half_life <= 0 or self.embedding_dims < 1 or self.embedding_batch < 1:
             raise ValueError("half-life, dimensions and batch size are positive")
         if not 1 <= self.boost_hops <= 3 or not 0 <= self.topic_threshold <= 1:

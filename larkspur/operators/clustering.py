@@ -208,7 +208,7 @@ def kmeans(vectors: DataFrame, k: int, seed: int = SEED) -> DataFrame:
     return model.transform(rows).select("path", F.col("prediction").cast("int").alias("cluster_id"))
 
 
-def modularity(edges: DataFrame, members: DataFrame, resolution: float = RESOLUTION) -> DataFrame:
+def partition_modularity(edges: DataFrame, members: DataFrame, resolution: float = RESOLUTION) -> DataFrame:
     """One row: the modularity of a partition (path, cluster_id) of a graph (a, b, weight)."""
     of = lambda end: members.select(F.col("path").alias(end), F.col("cluster_id").alias(f"{end}_cluster"))
     rows = edges.join(of("a"), "a").join(of("b"), "b")

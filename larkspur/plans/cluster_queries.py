@@ -78,7 +78,7 @@ def leiden_properties(spark, d):
     v = _vectors(spark, d)
     found = C.communities(v.select("path", "vector")).select("path", "cluster_id")
     edges = neighbors.graph(v.select(F.col("path").alias("id"), "vector"), C.K)
-    q = [C.modularity(edges, m).withColumnRenamed("modularity", n) for m, n in ((found, "found"), (v.select("path", "cluster_id"), "labels"))]
+    q = [C.partition_modularity(edges, m).withColumnRenamed("modularity", n) for m, n in ((found, "found"), (v.select("path", "cluster_id"), "labels"))]
     count = found.agg(F.count("*").alias("documents"), (F.count_distinct("path") == F.count("*")).alias("once"))
     return count.join(q[0]).join(q[1]).select("documents", "once", (F.col("found") >= F.col("labels") - 0.01).alias("better_than_labels"))
 

@@ -42,9 +42,11 @@ def star(spark, d):
     return out
 
 
-@query(f"WITH {_STAR} SELECT 'customer/' || c_custkey AS path FROM customer WHERE 'customer/' || c_custkey NOT IN (SELECT 'customer/' || o_custkey FROM orders)")
+@query(f"WITH {_STAR} SELECT 'customer/' || c_custkey AS path FROM customer WHERE 'customer/' || c_custkey NOT IN (SELECT 'customer/' || o_custkey FROM orders) UNION ALL SELECT 'supplier/' || s_suppkey FROM supplier")
 def orphans(spark, d):
+    """Customers without orders, and the suppliers, which no order names."""
     files = T.table(spark, d, "customer").select(F.concat(F.lit("customer/"), F.col("c_custkey").cast("string")).alias("path"))
+    files = files.unionByName(T.table(spark, d, "supplier").select(F.concat(F.lit("supplier/"), F.col("s_suppkey").cast("string")).alias("path")))
     orders = star(spark, d).where(F.col("source").startswith("orders/"))
     return graph.orphans(files, orders)
 
