@@ -10,8 +10,8 @@ of documents:
 4. benchmark decontamination: documents with a benchmark window go;
 5. packing: the ids of what is left in sequences of 1024, a row for each piece.
 
-The third stage is the near-duplicate operator at the similarity that a stage has to reach; 64 bits of a fingerprint can't
-(see the README), so its candidates come from MinHash (`similar`), each verified on whole sets of shingles.
+The third stage links by SimHash fingerprints with the near-duplicate operator's parts and thresholds (`simhash`), each link verified on
+whole sets of shingles. 64 bits can't reach all pairs at that similarity (see the README), so MinHash keys (`similar`) then join what is still apart.
 
 Defined for every stage: a null text has no words, so stage 1 rejects it, as it does blank and very short ones; what later stages get
 has text. Null ids stay null and are told apart by their rows; repeated rows are equal documents, of which stage 3 keeps one. Very

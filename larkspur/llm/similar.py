@@ -1,18 +1,25 @@
-"""Near-duplicates by the similarity of their shingles: MinHash candidates, each verified exactly.
+"""Near-duplicates by the similarity of their shingles: SimHash candidates, then MinHash ones for the rest, each verified exactly.
 
 Two documents link if the Jaccard similarity of their sets of five-word shingles
 (lower case; a shorter text is one shingle) is `least` or more; the result is each
 document's connected component. Documents with equal sets are one class,
-represented once. Each class gets BANDS keys of ROWS least hashes. Classes that
-share a key are candidates, and a pair at 0.8 shares none with a chance of
-(1 - 0.8 ** 5) ** 50 = 2e-9; nothing links without its sets being compared.
-
-In each bucket of a key all classes are compared with the least one first, then, where
-that leaves several components, with one chosen by a hash of class and key, so that a
-class meets another hub in each of its buckets. What is still apart is compared in full,
-bucket by bucket: a worker gets the sets of a bucket (of two pieces of it, if it is
-large), counts what the sets of different components share by products of incidence
-matrices, and gives the links that join them. No pairs of a bucket are listed.
+represented once; nothing links without its sets being compared.
+
+First come SimHash fingerprints of the sets, linked at DISTANCE or fewer bits by the
+parts and thresholds of `simhash`. Each is verified with the nearest of its links and
+the nearest of those to smaller fingerprints, and with those equal to it, so a dense
+group gives no more pairs than twice its members.
+
+Fingerprints can't meet all pairs: at 0.8 the mean distance is about 8 bits. So each
+class also gets BANDS keys of ROWS least hashes. Classes that share a key are candidates,
+and a pair at 0.8 shares none with a chance of (1 - 0.8 ** 5) ** 50 = 2e-9. In each bucket
+of a key that the fingerprints' links haven't joined into one component, all other
+components' classes are compared with the least class first, then, where that leaves
+several components, with one chosen by a hash of class and key, so that a class meets
+another hub in each of its buckets. What is still apart is compared in full, bucket by
+bucket: a worker gets the sets of a bucket (of two pieces of it, if it is large), counts
+what the sets of different components share by products of incidence matrices, and gives
+the links that join them. No pairs of a bucket are listed.
 
 Null and empty texts are one class. Null ids, repeated rows, other columns and empty
 tables are treated as in `simhash`; a very long text is hashed whole.
@@ -32,6 +39,8 @@ from larkspur.llm import textkit as T
 from larkspur.llm.components import components
 
 SHINGLE, LEAST, ROWS, BANDS = 5, "0.8", 5, 50
+#: Bits at which fingerprints are candidates; probes and shuffle grow steeply with it.
+DISTANCE = 6
 #: Shingles hashed at once, so that they stay in the processor's cache.
 STEP = 1 << 15
 #: Bytes of text that a worker takes at once.
@@ -92,7 +101,8 @@ def _prints(batches):
         keys = band_keys(h, bounds).view(np.int64)
         of = np.concatenate([[0], np.cumsum((size > 0) * BANDS)]).astype(np.int32)
         listed = pa.ListArray.from_arrays(pa.array(of), pa.array(keys.ravel()))
-        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(class_ids(h, bounds).view(np.int64)), pa.array(size.astype(np.int64)), listed], names=["doc_id", "text_hash", "class", "size", "keys"])
+        fp = pa.array(simhash.majority(h, bounds).view(np.int64))
+        yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), pa.array(class_ids(h, bounds).view(np.int64)), pa.array(size.astype(np.int64)), fp, listed], names=["doc_id", "text_hash", "class", "size", "print", "keys"])
 
 
 def _sets(batches):
@@ -187,35 +197,63 @@ def _rest(apart: DataFrame, src: DataFrame, classes: DataFrame, least: Fraction)
     return shared.saved(dealt.join(sets, "class").groupBy("key", "x", "y").applyInArrow(run, "a long, b long"), "near")
 
 
-def links(src: DataFrame, classes: DataFrame, least: str = LEAST) -> DataFrame:
-    """Pairs (a, b) of classes that link, enough of them to join each component."""
-    bound = Fraction(least)
-    fits = lambda x, y: F.least(x, y) * bound.denominator >= F.greatest(x, y) * bound.numerator
+def _fits(x: str, y: str, least: Fraction):
+    """Whether sets of these sizes can be similar enough."""
+    return F.least(x, y) * least.denominator >= F.greatest(x, y) * least.numerator
+
+
+def _by_fingerprint(src: DataFrame, classes: DataFrame, least: Fraction, distance: int) -> DataFrame:
+    """Links between classes whose fingerprints differ in `distance` or fewer bits."""
+    full = classes.where("size > 0").select("class", "size", F.col("print").alias("fp"))
+    heads = shared.saved(full.groupBy("fp").agg(F.min(F.struct("class", "size")).alias("head")), "heads")
+    met = simhash.links(heads.select("fp"), distance).toDF("fp", "other")
+    both = met.unionByName(met.select(F.col("other").alias("fp"), F.col("fp").alias("other")))
+    step = F.struct(F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))).alias("bits"), "other")
+    nearest = both.groupBy("fp").agg(F.array(F.min(step), F.min(F.when(F.col("other") < F.col("fp"), step))).alias("steps"))
+    nearest = shared.saved(nearest.select("fp", F.explode(F.array_distinct(F.array_compact("steps"))).alias("step")).select("fp", "step.other"), "nearest")
+    across = nearest.join(heads, "fp").select("other", F.col("head").alias("x")).join(heads.withColumnRenamed("fp", "other"), "other").select("x", F.col("head").alias("y"))
+    within = full.join(heads, "fp").where(F.col("class") != F.col("head.class")).select(F.col("head").alias("x"), F.struct("class", "size").alias("y"))
+    pairs = across.unionByName(within).where(_fits("x.size", "y.size", least))
+    return _verified(pairs.select(F.least("x.class", "y.class").alias("a"), F.greatest("x.class", "y.class").alias("b")), src, classes, least)
+
+
+def _by_hub(apart: DataFrame, order, src: DataFrame, classes: DataFrame, least: Fraction) -> DataFrame:
+    """Links of the classes of each bucket to the first one by `order`, where they are of another component."""
+    hubs = shared.saved(apart.groupBy("key").agg(F.min(F.struct(order.alias("h"), "class", "size", "root")).alias("hub")), "hubs")
+    pairs = apart.join(hubs, "key").where((F.col("root") != F.col("hub.root")) & _fits("size", "hub.size", least))
+    return _verified(pairs.select(F.least("class", "hub.class").alias("a"), F.greatest("class", "hub.class").alias("b")), src, classes, least)
+
+
+def _by_keys(found: DataFrame, src: DataFrame, classes: DataFrame, least: Fraction) -> DataFrame:
+    """The links found, and those that join what shares a key and is similar but still apart."""
     each = shared.saved(classes.select("class", "size", F.explode("keys").alias("key")), "keys")
-    full = shared.saved(each.groupBy("key").agg(F.min(F.struct("class", "size")).alias("hub"), F.count("*").alias("n")).where("n > 1"), "full")
+    full = shared.saved(each.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "full")
     met = shared.saved(each.join(full, "key"), "met")
-    found = _verified(met.where((F.col("class") != F.col("hub.class")) & fits(F.col("size"), F.col("hub.size"))).select(F.col("hub.class").alias("a"), F.col("class").alias("b")), src, classes, bound)
-    apart = _apart(met.where("n > 2"), found)
-    hubs = shared.saved(apart.groupBy("key").agg(F.min(F.struct(F.xxhash64("class", "key").alias("h"), "class", "size", "root")).alias("hub")), "hubs")
-    again = apart.join(hubs, "key").where((F.col("root") != F.col("hub.root")) & fits(F.col("size"), F.col("hub.size")))
-    found = found.unionByName(_verified(again.select(F.least("class", "hub.class").alias("a"), F.greatest("class", "hub.class").alias("b")), src, classes, bound))
-    return found.unionByName(_rest(_apart(met.where("n > 2"), found), src, classes, bound))
+    found = found.unionByName(_by_hub(_apart(met, found), F.col("class"), src, classes, least))
+    found = found.unionByName(_by_hub(_apart(met.where("n > 2"), found), F.xxhash64("class", "key"), src, classes, least))
+    return found.unionByName(_rest(_apart(met.where("n > 2"), found), src, classes, least))
+
+
+def links(src: DataFrame, classes: DataFrame, least: str = LEAST, distance: int = DISTANCE) -> DataFrame:
+    """Pairs (a, b) of classes that link, enough of them to join each component."""
+    bound = Fraction(least)
+    return _by_keys(_by_fingerprint(src, classes, bound, distance), src, classes, bound)
 
 
-def cluster(docs: DataFrame, least: str = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def cluster(docs: DataFrame, least: str = LEAST, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
     """A row for each document: the least id of its component, its class and the hash of its text."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(text_col).alias("text_hash"))
     src = src.withColumn("key_id", F.coalesce("doc_id", F.lit(-(2**63))))
-    each = shared.saved(src.select("doc_id", "text", "text_hash").mapInArrow(T.tidied(_prints), "doc_id long, text_hash long, class long, size long, keys array<long>"), "prints")
+    each = shared.saved(src.select("doc_id", "text", "text_hash").mapInArrow(T.tidied(_prints), "doc_id long, text_hash long, class long, size long, print long, keys array<long>"), "prints")
     at = F.min(F.struct(F.coalesce("doc_id", F.lit(-(2**63))).alias("id"), F.col("text_hash").alias("hash"))).alias("at")
-    classes = shared.saved(each.groupBy("class").agg(F.min("doc_id").alias("first"), at, F.any_value("size").alias("size"), F.any_value("keys").alias("keys")), "classes")
-    roots = components(links(src, classes, least))
+    classes = shared.saved(each.groupBy("class").agg(F.min("doc_id").alias("first"), at, F.any_value("size").alias("size"), F.any_value("print").alias("print"), F.any_value("keys").alias("keys")), "classes")
+    roots = components(links(src, classes, least, distance))
     rooted = classes.join(roots, classes["class"] == roots.node, "left").select("class", F.coalesce("root", "class").alias("root"), "first")
     least_id = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = shared.saved(rooted.join(least_id, "root").select(F.col("class").alias("of"), "component_id"), "named")
     return each.join(named, each["class"] == named.of).select("doc_id", "component_id", F.col("class").alias("fp"), "text_hash")
 
 
-def representatives(docs: DataFrame, least: str = LEAST, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def representatives(docs: DataFrame, least: str = LEAST, id_col: str = "doc_id", text_col: str = "text", distance: int = DISTANCE) -> DataFrame:
     """One document of each component, with all its columns, chosen as in `simhash`."""
-    return simhash.chosen(docs, cluster(docs, least, id_col, text_col), id_col, text_col)
+    return simhash.chosen(docs, cluster(docs, least, id_col, text_col, distance), id_col, text_col)
