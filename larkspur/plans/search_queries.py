@@ -69,9 +69,10 @@ def _terms(spark, d):
 
 
 def _stored_terms(spark, d):
-    """The index as a store holds it: written, sorted by term."""
+    """The index as a store holds it: written in pieces of some thousand documents, each sorted by term in memory."""
     at = scratch.fresh(spark, "terms")
-    _terms(spark, d).sortWithinPartitions("term").write.parquet(at)
+    docs = T.pieces(T.documents(spark, d).select(F.col("doc_id").alias("chunk_id"), "path", F.col("text").alias("content")), "chunk_id")
+    lexical.terms(docs, plain=False).sortWithinPartitions("term", "chunk_id").write.option("compression", "zstd").parquet(at)
     return spark.read.parquet(at)
 
 
@@ -145,7 +146,7 @@ def filter_and_combo(spark, d):
 @query("""SELECT 'orders/' || o_orderkey || '.md' AS path, o_custkey = 7 AS same, o_custkey IN (7, 8, 11) AS listed FROM orders""")
 def filter_relation_aware(spark, d):
     """Links in two spellings against a path, and against a list of spellings."""
-    o = T.table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("customer/"), F.col("o_custkey").cast("string")).alias("c"))
+    o = T.dealt(T.table(spark, d, "orders"), "o_orderkey").select("o_orderkey", F.concat(F.lit("customer/"), F.col("o_custkey").cast("string")).alias("c"))
     odd = F.to_json(F.struct(F.array(F.concat(F.lit("[name]("), "c", F.lit(".md)"))).alias("client")))
     meta = F.when(F.col("o_orderkey") % 2 == 0, F.to_json(F.struct(F.concat(F.lit("[["), "c", F.lit("|name]]")).alias("client")))).otherwise(odd)
     equal, some = P.Equals("client", "customer/7"), P.In("client", ("[[customer/7]]", "customer/8.md", "[[customer/11]]"))
