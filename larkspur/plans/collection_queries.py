@@ -172,7 +172,7 @@ def status_scoped(spark, d):
 SELECT * FROM (SELECT 'client' AS name, 'Relation' AS field_type, n AS occurrences FROM o UNION ALL SELECT 'urgent', 'Boolean', n FROM o UNION ALL SELECT 'placed', 'Date', n FROM o UNION ALL SELECT 'total', 'Number', n FROM o UNION ALL SELECT 'status', 'String', n FROM o
 UNION ALL SELECT 'tags', 'List', n FROM o UNION ALL SELECT 'scan', 'File', n FROM o UNION ALL SELECT 'mixed', 'Mixed', n FROM o UNION ALL SELECT 'either', 'Mixed', n FROM o UNION ALL SELECT 'nested', 'Json', even FROM o)""")
 def schema_infer_kinds(spark, d):
-    o = T.spread(T.table(spark, d, "orders"))
+    o = T.dealt(T.table(spark, d, "orders"), "o_orderkey")
     link = F.concat(F.lit("[[customer/"), F.col("o_custkey").cast("string"), F.lit("]]"))
     meta = F.struct(
         link.alias("client"), (F.col("o_orderpriority") == "1-URGENT").alias("urgent"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("placed"), F.col("o_totalprice").alias("total"), F.col("o_orderstatus").alias("status"),
@@ -215,7 +215,7 @@ def _notes(spark, d):
     text = F.lit("\n".join(lines))
     for name in ("name", "size", "brand", "k"):
         text = F.replace(text, F.lit(f"{{{name}}}"), F.col(name).cast("string"))
-    return markdown.parse(_parts(spark, d).select("path", text.cast("binary").alias("content"), F.lit(1).cast("long").alias("modified_at")))
+    return markdown.parse(T.dealt(_parts(spark, d), "k").select("path", text.cast("binary").alias("content"), F.lit(1).cast("long").alias("modified_at")))
 
 
 @query(f"WITH {_PART} SELECT path || '#0' AS chunk_id, '' AS trail, 1 AS start_line, 2 AS end_line FROM p UNION ALL SELECT path || '#1', name, 3, 6 FROM p UNION ALL SELECT path || '#2', name || ' > Price', 7, 11 FROM p")
