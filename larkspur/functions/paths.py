@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from larkspur.functions.let import let
+
 
 def normalized(path: Column) -> Column:
     """Slashes only, no leading ./ and no trailing slash."""
@@ -52,7 +54,7 @@ def stem(path: Column) -> Column:
 
 def title(metadata_title: Column, path: Column) -> Column:
     """The non-blank title, or else the file's stem."""
-    return F.coalesce(F.nullif(F.trim(metadata_title), F.lit("")), stem(path))
+    return F.coalesce(let(F.trim(metadata_title), lambda t: F.when(t != "", t)), stem(path))
 
 
 def title_source(metadata_title: Column) -> Column:
@@ -69,8 +71,13 @@ def _folded(parts: Column) -> Column:
     return F.aggregate(parts, empty, step)
 
 
+def _joined(path: Column) -> Column:
+    """A path without empty parts and . and with .. taken back; most have none of these."""
+    return let(path, lambda p: F.when(~p.rlike(r"(?:^|/)\.{0,2}(?:/|$)"), p).otherwise(F.array_join(_folded(F.split(p, "/", -1)), "/")))
+
+
 def with_md(path: Column) -> Column:
-    return F.when(path.endswith(".md"), path).otherwise(F.concat(path, F.lit(".md")))
+    return let(path, lambda p: F.when(p.endswith(".md"), p).otherwise(F.concat(p, F.lit(".md"))))
 
 
 def _clean_target(target: Column) -> Column:
@@ -79,19 +86,24 @@ def _clean_target(target: Column) -> Column:
 
 def resolve_link(source: Column, target: Column) -> Column:
     """The document that a body link names, seen from its source's folder; empty if the target is only a fragment."""
-    t = _clean_target(target)
-    joined = F.when(t.startswith("/"), t).otherwise(F.concat_ws("/", parent(source), t))
-    lead = F.when(t.startswith("/"), "/").otherwise("")
-    return F.when(F.length(t) == 0, "").otherwise(with_md(F.concat(lead, F.array_join(_folded(F.split(joined, "/", -1)), "/"))))
+
+    def of(t):
+        joined = F.when(t.startswith("/"), t).otherwise(F.concat_ws("/", parent(source), t))
+        lead = F.when(t.startswith("/"), "/").otherwise("")
+        return F.when(F.length(t) == 0, "").otherwise(with_md(F.concat(lead, _joined(joined))))
+
+    return let(_clean_target(target), of)
 
 
 def relation_candidates(source: Column, target: Column, folder: str | None = None) -> Column:
     """Documents that a relation may name, in order of preference: with a slash from the root, then from the source's folder; else in the declared folder, or else beside the source."""
-    t = F.regexp_replace(F.trim(_clean_target(target)), "^/+", "")
-    root = with_md(F.array_join(_folded(F.split(t, "/", -1)), "/"))
-    beside = resolve_link(source, t)
-    near = F.array(with_md(F.concat(F.lit(folder.rstrip("/") + "/"), t))) if folder is not None else F.array(beside)
-    return F.when(F.length(t) == 0, F.array().cast("array<string>")).when(F.contains(t, F.lit("/")), F.array_distinct(F.array(root, beside))).otherwise(near)
+
+    def of(t):
+        root, beside = with_md(_joined(t)), resolve_link(source, t)
+        near = F.array(with_md(F.concat(F.lit(folder.rstrip("/") + "/"), t))) if folder is not None else F.array(beside)
+        return F.when(F.length(t) == 0, F.array().cast("array<string>")).when(F.contains(t, F.lit("/")), F.array_distinct(F.array(root, beside))).otherwise(near)
+
+    return let(F.regexp_replace(F.trim(_clean_target(target)), "^/+", ""), of)
 
 
 def is_external(target: Column) -> Column:
@@ -105,23 +117,29 @@ _BARE = r"^\s*(\S+\.md)\s*$"
 
 def link_target(value: Column) -> Column:
     """The target of a value that is as a whole a link ([[target|text]], [text](target) or a bare path.md); null if it is none."""
-    wiki = F.trim(F.regexp_replace(F.regexp_extract(value, _WIKI, 1), r"(?s)\|.*$", ""))
-    md = F.trim(F.regexp_extract(value, _MD, 2))
-    bare = F.regexp_extract(value, _BARE, 1)
-    target = F.when(value.rlike(_WIKI), wiki).when(value.rlike(_MD), md).when(value.rlike(_BARE), bare)
-    return F.when((F.length(target) > 0) & ~is_external(target), target)
+
+    def of(v):
+        wiki = F.trim(F.regexp_replace(F.regexp_extract(v, _WIKI, 1), r"(?s)\|.*$", ""))
+        md = F.trim(F.regexp_extract(v, _MD, 2))
+        return F.when(v.rlike(_WIKI), wiki).when(v.rlike(_MD), md).when(v.rlike(_BARE), F.regexp_extract(v, _BARE, 1))
+
+    return let(let(value, of), lambda t: F.when((F.length(t) > 0) & ~is_external(t), t))
 
 
 def link_kind(target: Column) -> Column:
     """relation for documents, file for other extensions."""
-    ext = F.lower(F.regexp_extract(F.regexp_replace(target, "#.*$", ""), r"[^/.][^/]*\.([^./]+)$", 1))
-    return F.when(target.isNull(), F.lit(None)).when(ext.isin("", "md", "markdown"), "relation").otherwise("file")
+
+    def of(t):
+        ext = F.lower(F.regexp_extract(F.regexp_replace(t, "#.*$", ""), r"[^/.][^/]*\.([^./]+)$", 1))
+        return F.when(t.isNull(), F.lit(None)).when(ext.isin("", "md", "markdown"), "relation").otherwise("file")
+
+    return let(target, of)
 
 
 def relation_key(value: Column) -> Column:
     """What two spellings of a relation have in common; null if the value is no link."""
     t = F.regexp_replace(F.trim(_clean_target(link_target(value))), "^/+", "")
-    return F.nullif(F.regexp_replace(t, r"\.md$", ""), F.lit(""))
+    return let(F.regexp_replace(t, r"\.md$", ""), lambda k: F.when(k != "", k))
 
 
 def edge_id(source: Column, target: Column, line: Column, field: Column) -> Column:

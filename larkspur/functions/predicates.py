@@ -16,6 +16,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from larkspur.functions import paths
+from larkspur.functions.let import let
 
 
 @dataclass(frozen=True)
@@ -62,32 +63,38 @@ def parse(text: str) -> Equals:
 
 def field(metadata: Column, name: str) -> Column:
     """JSON text of a top-level field; SQL null if it is missing, the text null if it is null."""
+    return field_of(F.try_parse_json(metadata), name)
+
+
+def field_of(parsed: Column, name: str) -> Column:
+    """The same of metadata that is parsed already, for several fields of one document."""
     safe = name.replace("\\", "\\\\").replace("'", "\\'")
-    v = F.try_variant_get(F.try_parse_json(metadata), f"$['{safe}']", "variant")
-    return F.when(F.is_variant_null(v), "null").otherwise(F.to_json(v))
+    return let(F.try_variant_get(parsed, f"$['{safe}']", "variant"), lambda v: F.when(F.is_variant_null(v), "null").otherwise(F.to_json(v)))
 
 
 def plain(value: Column) -> Column:
     """Text of a JSON value: strings without quotes, others as JSON."""
-    return F.when(value.startswith('"'), F.get_json_object(F.concat(F.lit("["), value, F.lit("]")), "$[0]")).otherwise(value)
+    return let(value, lambda v: F.when(v.startswith('"'), F.get_json_object(F.concat(F.lit("["), v, F.lit("]")), "$[0]")).otherwise(v))
 
 
 def decimal(value: Column) -> Column:
     """Exact number of a JSON number; null for other values."""
-    return F.when(value.rlike(r"^-?[0-9]"), value.try_cast("decimal(38,18)"))
+    return let(value, lambda v: F.when(v.rlike(r"^-?[0-9]"), v.try_cast("decimal(38,18)")))
 
 
 def _text(value: object) -> str:
     return str(value) if isinstance(value, Decimal) else json.dumps(value, ensure_ascii=False)
 
 
-def _same(value: Column, wanted: object) -> Column:
-    same = value == _text(wanted)
-    if isinstance(wanted, str):
-        key = paths.relation_key(plain(value))
-        link = paths.relation_key(F.lit(wanted))
-        same = same | (value.startswith('"') & (key == F.coalesce(link, F.lit(wanted.removesuffix(".md")))))
-    return F.coalesce(same, F.lit(False))
+def _same(value: Column, wanted: tuple) -> Column:
+    """Whether a value is one of those wanted. Its key as a relation is worked out once for all of them, and only for a text that is none of them as it stands."""
+    same = F.coalesce(value.isin(*map(_text, wanted)), F.lit(False))
+    texts = [w for w in wanted if isinstance(w, str)]
+    if not texts:
+        return same
+    keys = [F.coalesce(paths.relation_key(F.lit(w)), F.lit(w.removesuffix(".md"))) for w in texts]
+    linked = F.when(value.startswith('"'), let(paths.relation_key(plain(value)), lambda key: key.isin(*keys)))
+    return F.when(same, True).otherwise(F.coalesce(linked, F.lit(False)))
 
 
 def _items(value: Column) -> Column:
@@ -96,43 +103,42 @@ def _items(value: Column) -> Column:
     return F.transform(each, lambda v: F.coalesce(F.to_json(v), F.lit("null")))
 
 
-def _any(value: Column, test) -> Column:
-    return F.when(value.startswith("["), F.exists(_items(value), test)).otherwise(test(value))
+def _any(value: Column, wanted: tuple) -> Column:
+    """Whether a value, or an item of a list, is one of those wanted."""
+    each = let(value, lambda v: F.when(v.startswith("["), _items(v)).otherwise(F.array(v)))
+    return F.coalesce(F.exists(each, lambda v: _same(v, wanted)), F.lit(False))
 
 
 def _bound(value: Column, bound: object, low: bool) -> Column:
     number = isinstance(bound, (int, float, Decimal)) and not isinstance(bound, bool)
-    text = plain(value)
     other = F.lit(bound if isinstance(bound, str) else _text(bound))
-    as_text = text >= other if low else text <= other
+    as_text = plain(value) >= other if low else plain(value) <= other
     if not number:
         return as_text
-    exact = decimal(value)
     edge = F.lit(str(bound)).cast("decimal(38,18)")
-    return F.when(exact.isNotNull(), exact >= edge if low else exact <= edge).otherwise(as_text)
+    return let(decimal(value), lambda exact: F.when(exact.isNotNull(), exact >= edge if low else exact <= edge).otherwise(as_text))
 
 
 def condition(metadata: Column, one: Filter) -> Column:
     value = field(metadata, one.field)
     if isinstance(one, Exists):
-        out = value.isNotNull() & (value != "null")
+        out = let(value, lambda v: v.isNotNull() & (v != "null"))
     elif isinstance(one, Equals):
-        out = _any(value, lambda v: _same(v, one.value))
+        out = _any(value, (one.value,))
     elif isinstance(one, In):
-        out = F.lit(False)
-        for w in one.values:
-            out = out | _any_of(value, w)
+        out = _any(value, tuple(one.values)) if one.values else F.lit(False)
     else:
-        out = value.isNotNull()
-        if one.min is not None:
-            out = out & _bound(value, one.min, True)
-        if one.max is not None:
-            out = out & _bound(value, one.max, False)
-    return F.coalesce(out, F.lit(False))
 
+        def within(v):
+            out = v.isNotNull()
+            if one.min is not None:
+                out = out & _bound(v, one.min, True)
+            if one.max is not None:
+                out = out & _bound(v, one.max, False)
+            return out
 
-def _any_of(value: Column, wanted: object) -> Column:
-    return F.coalesce(_any(value, lambda v: _same(v, wanted)), F.lit(False))
+        out = let(value, within)
+    return F.coalesce(out, F.lit(False))
 
 
 def conjunction(metadata: Column, filters: list[Filter]) -> Column:
