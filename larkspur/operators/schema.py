@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.functions import paths
+from larkspur.functions.let import let
 from larkspur.functions.predicates import plain
 
 SAMPLES = 20
@@ -38,8 +39,9 @@ class Field:
 
 def entries(files: DataFrame, *keep: str) -> DataFrame:
     """(keep ..., name, value): a row for each top-level field of a JSON object; value is its JSON text."""
-    rows = files.select(*keep, F.explode(F.from_json("metadata", "map<string,variant>")).alias("name", "v"))
-    return rows.select(*keep, "name", F.coalesce(F.to_json("v"), F.lit("null")).alias("value"))
+    # values become text inside the generator: a filter on them would be pushed below a projection and write each one twice
+    each = F.transform(F.map_entries(F.from_json("metadata", "map<string,variant>")), lambda e: F.struct(e["key"].alias("name"), F.coalesce(F.to_json(e["value"]), F.lit("null")).alias("value")))
+    return files.select(*keep, F.explode(each).alias("e")).select(*keep, "e.name", "e.value")
 
 
 def _kind_of_text(text: Column) -> Column:
@@ -48,27 +50,36 @@ def _kind_of_text(text: Column) -> Column:
 
 def infer_type(value: Column) -> Column:
     """Type of a JSON text. Links come first; lists of only document links or only file links keep that type, mixed ones are Mixed."""
-    text = plain(value)
-    kind = _kind_of_text(text)
-    items = F.transform(F.from_json(value, "array<variant>"), lambda v: F.coalesce(F.to_json(v), F.lit("null")))
-    nested = F.exists(items, lambda x: x.startswith("[") | x.startswith("{"))
-    kinds = F.transform(items, lambda x: F.when(x.startswith('"'), F.coalesce(_kind_of_text(plain(x)), F.lit("none"))).otherwise("none"))
-    of_list = (
-        F.when(F.size(items) == 0, "List").when(nested, "Json").when(F.array_contains(kinds, "none"), "List")
-        .when(F.size(F.array_distinct(kinds)) > 1, "Mixed").when(F.get(kinds, F.lit(0)) == "relation", "Relation").otherwise("File")
-    )
-    return (
-        F.when(value.isin("true", "false"), "Boolean").when(value.rlike("^-?[0-9]"), "Number").when(value.startswith("["), of_list).when(value.startswith("{"), "Json")
-        .when(value == "null", "String").when(kind == "relation", "Relation").when(kind == "file", "File").when(text.rlike(r"^\d{4}-\d\d-\d\d(?:$|T)"), "Date").otherwise("String")
-    )
+
+    def of_kinds(kinds):
+        return F.when(F.array_contains(kinds, "none"), "List").when(F.size(F.array_distinct(kinds)) > 1, "Mixed").when(F.get(kinds, F.lit(0)) == "relation", "Relation").otherwise("File")
+
+    def of_list(items):
+        nested = F.exists(items, lambda x: x.startswith("[") | x.startswith("{"))
+        kinds = F.transform(items, lambda x: F.when(x.startswith('"'), F.coalesce(_kind_of_text(plain(x)), F.lit("none"))).otherwise("none"))
+        return F.when(F.size(items) == 0, "List").when(nested, "Json").otherwise(let(kinds, of_kinds))
+
+    def of_text(text):
+        return let(_kind_of_text(text), lambda kind: F.when(kind == "relation", "Relation").when(kind == "file", "File").when(text.rlike(r"^\d{4}-\d\d-\d\d(?:$|T)"), "Date").otherwise("String"))
+
+    def of(v):
+        items = F.transform(F.from_json(v, "array<variant>"), lambda x: F.coalesce(F.to_json(x), F.lit("null")))
+        return (
+            F.when(v.isin("true", "false"), "Boolean").when(v.rlike("^-?[0-9]"), "Number").when(v.startswith("["), let(items, of_list)).when(v.startswith("{"), "Json")
+            .when(v == "null", "String").otherwise(let(plain(v), of_text))
+        )
+
+    return let(value, of)
 
 
 def infer(files: DataFrame, scope: str = "") -> DataFrame:
     """(name, field_type, occurrences, samples): nulls don't count, differing types are Mixed, samples are the first 20 of the sorted distinct values."""
-    rows = entries(files.where(paths.in_scope(F.col("path"), scope)), "path").where("value != 'null'")
-    typed = rows.select("name", infer_type(F.col("value")).alias("t"), plain(F.col("value")).alias("sample"))
+    rows = entries(files.where(paths.in_scope(F.col("path"), scope))).where("value != 'null'")
+    # equal values of a field are looked at once; the condition keeps both readers' columns alike, so that they share the exchange
+    once = rows.groupBy("name", "value").agg(F.count("*").alias("n")).where("n > 0")
+    typed = once.select("name", "n", infer_type(F.col("value")).alias("t"), plain(F.col("value")).alias("sample"))
     # distinct values per field are narrowed before they are gathered
-    counts = typed.groupBy("name").agg(F.count("*").alias("occurrences"), F.min("t").alias("a"), F.max("t").alias("b"))
+    counts = typed.groupBy("name").agg(F.sum("n").alias("occurrences"), F.min("t").alias("a"), F.max("t").alias("b"))
     from pyspark.sql import Window
 
     first = typed.select("name", "sample").distinct().withColumn("r", F.row_number().over(Window.partitionBy("name").orderBy("sample"))).where(F.col("r") <= SAMPLES)
