@@ -16,6 +16,7 @@ from larkspur import scratch
 from larkspur.functions import paths, predicates
 from larkspur.functions.formula import columns as C
 from larkspur.functions.formula.compiler import Definition
+from larkspur.functions.let import let
 
 SUM, LENGTH = "values.reduce((sum, value) => sum + value, 0)", "values.length"
 #: Rounds of a field that reads itself along relations.
@@ -131,7 +132,7 @@ def derive(files: DataFrame, related: DataFrame, definitions: list[Lookup | Roll
     """All lookups and rollups. related: collection.relations(files)."""
     # only the fields that some definition reads are taken out of the metadata
     wanted = sorted({n for d in definitions for n in (d.relation, d.target_field)})
-    each = F.array(*(F.struct(F.lit(n).alias("field"), predicates.field(F.col("metadata"), n).alias("value")) for n in wanted))
+    each = let(F.try_parse_json("metadata"), lambda m: F.array(*(F.struct(F.lit(n).alias("field"), predicates.field_of(m, n).alias("value")) for n in wanted)))
     values = files.select("path", F.explode(each).alias("v")).select("path", "v.field", "v.value", F.lit(None).cast("string").alias("code")).where("value IS NOT NULL")
     if formula_results is not None:
         values = _over(values, formula_results.select("path", "field", "value", "code"))

@@ -146,9 +146,10 @@ def _accounts(spark, d):
     """Customers that list their orders in a field, and orders with price and customer."""
     link = lambda to, key: F.concat(F.lit(f"[[{to}/"), F.col(key).cast("string"), F.lit("]]"))
     at = lambda of, key: F.concat(F.lit(f"{of}/"), F.col(key).cast("string"), F.lit(".md"))
-    o = T.spread(T.table(spark, d, "orders"))
+    o = T.table(spark, d, "orders")
     listed = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list("o_orderkey")).alias("keys"))
-    c = T.table(spark, d, "customer").join(listed, F.col("c_custkey") == F.col("o_custkey"), "left")
+    c = T.dealt(T.table(spark, d, "customer").join(listed, F.col("c_custkey") == F.col("o_custkey"), "left"), "c_custkey")
+    o = T.dealt(o, "o_orderkey")
     orders = F.transform(F.coalesce("keys", F.array().cast("array<bigint>")), lambda k: F.concat(F.lit("[[orders/"), k.cast("string"), F.lit("]]")))
     customers = c.select(at("customer", "c_custkey").alias("path"), F.to_json(F.struct(orders.alias("orders"))).alias("metadata"))
     price = F.col("o_totalprice").cast("decimal(14,2)")
